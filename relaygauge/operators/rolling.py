@@ -35,10 +35,12 @@ def rolling_averages(
     windows: Sequence[tuple[str, int]] = WINDOWS,
     emit_every: int = 1,
     block_seconds: int = BLOCK_SECONDS,
+    between: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Latency events: the truncated average and count of each non-empty window.
 
-    ``second`` is the end of the window; windows end at multiples of ``emit_every``.
+    ``second`` is the end of the window; windows end at multiples of ``emit_every`` and, if
+    ``between`` is given, after its first and not after its last second.
     """
     if emit_every < 1:
         raise ValueError("emit_every is at least one second")
@@ -73,6 +75,11 @@ def rolling_averages(
         F.sum("dt").over(upto).alias("total"),
         F.sum("dc").over(upto).alias("cnt"),
     )
+    if between is not None:
+        after, last = between
+        states = states.withColumns(
+            {"at": F.greatest("at", F.lit(after + 1)), "until": F.least("until", F.lit(last + 1))}
+        )
     # Changes at one instant all see its final state; only the last of them spans time.
     first_emission = int_div(F.col("at") + (emit_every - 1), emit_every) * emit_every
     return (

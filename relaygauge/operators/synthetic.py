@@ -51,10 +51,11 @@ def size_bounded_ids(ids: DataFrame, budget: int, shape: Shape) -> DataFrame:
 def metric_records(ids: DataFrame, shape: Shape) -> DataFrame:
     """Metric records for rows (id, created_ms): id 0, one timing, a value of fixed length."""
     length = F.lit(shape.longest - shape.shortest + 1).cast("bigint")
-    return ids.select(
+    valued = ids.withColumn("value", utf8_bytes(hashed_text(shape.seed, F.col("id"), length)))
+    return valued.select(
         F.lit(0).cast("bigint").alias("id"),
         F.create_map(F.lit("created"), nanos_of_millis(F.col("created_ms"))).alias("timings"),
-        utf8_bytes(hashed_text(shape.seed, F.col("id"), length)).alias("value"),
+        "value",
     )
 
 
