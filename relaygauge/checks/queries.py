@@ -124,7 +124,7 @@ def message_positions(spark, folder):
 
 
 def _line_topic(spark, folder):
-    return lines.lines_to_messages(fx.document_lines(spark, folder), "doc_id", "lines", fx.PARTITIONS)
+    return lines.lines_to_messages(fx.table(spark, folder, "documents"), "doc_id", "text", "lines", fx.PARTITIONS)
 
 
 @query

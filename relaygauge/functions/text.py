@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from relaygauge.functions.numbers import int_div
 
-LINE_BREAK = r"\r\n|\r|\n"
-
-
 def utf8_bytes(text: Column) -> Column:
     return F.encode(text, "UTF-8")
 
@@ -19,11 +16,25 @@ def utf8_text(value: Column) -> Column:
     return F.make_valid_utf8(value.cast("string"))
 
 
+def _with_newlines(text: Column) -> Column:
+    """Every kind of line break as a newline, so that lines split on one character."""
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
 def split_lines(text: Column) -> Column:
     """Lines of a text as a line reader yields them: inner empty lines stay, the empty
     rest after a final line break does not."""
-    parts = F.split(text, LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    broken = _with_newlines(text)
+    body = F.when(broken.endswith("\n"), F.left(broken, F.char_length(broken) - 1)).otherwise(broken)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
+
+
+def count_lines(text: Column) -> Column:
+    """The number of lines, without making them."""
+    broken = _with_newlines(text)
+    breaks = F.octet_length(broken) - F.octet_length(F.replace(broken, F.lit("\n"), F.lit("")))
+    rest = ((text != "") & ~broken.endswith("\n")).cast("int")
+    return breaks + rest
 
 
 def hashed_length(seed: str, row_id: Column, shortest: int, longest: int) -> Column:

@@ -19,33 +19,13 @@ def timings_from_map(timings: Column) -> Column:
     )
 
 
-def _pair(first: Column, last: Column) -> Column:
-    return F.struct(
-        F.concat(first["key"], F.lit("-"), last["key"]).alias("eventname"),
-        (last["value"] - first["value"]).alias("latency"),
-    )
-
+def later_marks(timings: Column, marks: Column, place: Column, mark: Column) -> Column:
+    """The marks that form a pair with the one at ``place`` (from 0) of the distinct ``marks``.
 
-def timing_pairs(timings: Column) -> Column:
-    """Every two-element combination of the marks, as (eventname, latency).
-
-    The marks form a multiset: equal (key, value) marks count once, in order of first
-    appearance, and a mark that is repeated also pairs with itself.
+    Marks form a multiset: equal (key, value) marks count once, in order of first appearance,
+    and a mark that is repeated also pairs with itself.  The search for repeats is made only in
+    records that have any.
     """
-    marks = F.array_distinct(timings)
-    ordered = F.flatten(
-        F.transform(
-            marks,
-            lambda first, i: F.transform(
-                F.slice(marks, i + 2, F.size(marks)), lambda last: _pair(first, last)
-            ),
-        )
-    )
-    repeated = F.filter(
-        marks,
-        lambda mark: F.size(F.filter(timings, lambda other: other.eqNullSafe(mark))) > 1,
-    )
-    # The quadratic search for repeats runs only in records that have any.
-    return F.when(F.size(marks) == F.size(timings), ordered).otherwise(
-        F.concat(ordered, F.transform(repeated, lambda mark: _pair(mark, mark)))
-    )
+    after = F.slice(marks, place + 2, F.size(marks))
+    repeated = F.size(F.filter(timings, lambda other: other.eqNullSafe(mark))) > 1
+    return F.when((F.size(marks) < F.size(timings)) & repeated, F.concat(after, F.array(mark))).otherwise(after)

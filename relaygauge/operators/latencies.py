@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relaygauge.functions.timings import timing_pairs
+from relaygauge.functions.timings import later_marks
 from relaygauge.schemas import SERIES_KEY
 
 # The tags every latency record carries.
@@ -36,9 +36,22 @@ def incomplete_records(records: DataFrame) -> DataFrame:
 
 
 def latency_pairs(records: DataFrame) -> DataFrame:
-    """One row per record and pair of timing marks: the series key, arrival and latency."""
-    pairs = F.inline(timing_pairs(F.col("timings")))
-    return complete_records(records).select("topic", "partition", "consumerid", "arrived_at", pairs)
+    """One row per record and two-element combination of its timing marks: the series key,
+    arrival and latency.  Rows unfold where the record lies."""
+    source = ["topic", "partition", "consumerid", "arrived_at"]
+    firsts = (
+        complete_records(records)
+        .select(*source, "timings", F.array_distinct("timings").alias("marks"))
+        .select("*", F.posexplode_outer("marks").alias("place", "first"))
+    )
+    partners = later_marks(F.col("timings"), F.col("marks"), F.col("place"), F.col("first"))
+    # Outer forms, as Spark would otherwise evaluate each array twice, to filter out empty ones.
+    pairs = firsts.select(*source, "first", F.explode_outer(partners).alias("last"))
+    return pairs.where(F.col("last").isNotNull()).select(
+        *source,
+        F.concat("first.key", F.lit("-"), "last.key").alias("eventname"),
+        (F.col("last.value") - F.col("first.value")).alias("latency"),
+    )
 
 
 def latency_buckets(records: DataFrame) -> DataFrame:

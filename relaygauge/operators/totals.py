@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 BUCKET_BITS = (15, 27)
 
 
-def whole_number_levels(number: Column, outer: Sequence[Column] = ()) -> list[list[Column]]:
+def whole_number_levels(
+    number: Column, outer: Sequence[Column] = (), bits: Sequence[int] = BUCKET_BITS
+) -> list[list[Column]]:
     """Bucket columns for rows ordered by ``outer`` and then by a whole number."""
-    return [[*outer, F.shiftright(number, bits)] for bits in BUCKET_BITS]
+    return [[*outer, F.shiftright(number, b)] for b in bits]
 
 
 def _continue_from(
