@@ -7,65 +7,30 @@ from __future__ import annotations
 
 import sys
 import time
-from collections import Counter
-from decimal import Decimal
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-import duckdb  # noqa: E402
-
-import __spark_entry__ as entry  # noqa: E402
+from relaygauge.checks.compare import differences  # noqa: E402
+from relaygauge.checks.queries import QUERIES  # noqa: E402
 from relaygauge.session import local_session  # noqa: E402
 
 
-def _plain(value):
-    if isinstance(value, Decimal):
-        return int(value) if value == value.to_integral_value() else float(value)
-    return value
-
-
-def compare(spark, name: str, folder: str) -> str:
-    started = time.time()
-    frame = entry.queries()[name](spark, folder)
-    order = sorted(range(len(frame.columns)), key=lambda i: frame.columns[i])
-    mine = Counter(tuple(_plain(row[i]) for i in order) for row in frame.collect())
-    spent = time.time() - started
-    sql = entry.oracle_sql().get(name)
-    if sql is None:
-        return f"rows only {sum(mine.values())} ({spent:.1f} s)"
-    con = duckdb.connect()
-    for file in Path(folder).glob("*.parquet"):
-        con.sql(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
-    cursor = con.execute(sql)
-    names = [c[0] for c in cursor.description]
-    if sorted(names) != sorted(frame.columns):
-        return f"COLUMNS DIFFER {sorted(frame.columns)} {sorted(names)}"
-    place = sorted(range(len(names)), key=lambda i: names[i])
-    theirs = Counter(tuple(_plain(row[i]) for i in place) for row in cursor.fetchall())
-    if mine == theirs:
-        return f"ok {sum(mine.values())} rows ({spent:.1f} s)"
-    only_mine, only_theirs = mine - theirs, theirs - mine
-    return (
-        f"ROWS DIFFER {sum(mine.values())} {sum(theirs.values())}"
-        f"\n  spark: {list(only_mine)[:2]}\n  sql:   {list(only_theirs)[:2]}"
-    )
-
-
 def main() -> None:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(entry.queries())
+    names = sys.argv[2:] or list(QUERIES)
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
-    bad = 0
+    agreed = 0
     for name in names:
+        started = time.time()
         try:
-            outcome = compare(spark, name, folder)
+            rows, difference = differences(spark, name, folder)
         except Exception as error:  # report and go on with the next query
-            outcome = "FAILED " + str(error)[:1500]
-        bad += not outcome.startswith(("ok", "rows only"))
-        print(f"{name}: {outcome}", flush=True)
-    print(f"{len(names) - bad} of {len(names)} agree")
+            rows, difference = 0, f"failed: {str(error)[:1500]}"
+        agreed += difference is None
+        print(f"{name}: {difference or 'ok'}, {rows} rows ({time.time() - started:.1f} s)", flush=True)
+    print(f"{agreed} of {len(names)} agree")
 
 
 if __name__ == "__main__":
