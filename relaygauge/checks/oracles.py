@@ -233,6 +233,7 @@ SELECT test_id, count(*) FILTER (WHERE topic = 'src') AS source_total,
 FROM msg GROUP BY test_id""",
     "validation_report": f"WITH {_report()} SELECT * FROM report UNION ALL {MISSING}",
     "validation_report_strict": f"WITH {_report('md5(payload)')} SELECT * FROM report",
+    "validation_report_fingerprint": f"WITH {_report()} SELECT * FROM report UNION ALL {MISSING}",
     "verdict_lines": f"""WITH {_report()}
 SELECT test_id, 0 AS line_no, '***** TEST RESULTS *****' AS line FROM report
 UNION ALL SELECT test_id, 1, count_line FROM report

@@ -14,7 +14,7 @@ from relaygauge.functions.keys import row_key, separated_row_key
 from relaygauge.functions.numbers import int_div
 from relaygauge.functions.text import utf8_bytes, utf8_text
 from relaygauge.operators import archive, digests, latencies, lines, positions, rolling, series, synthetic, verdicts
-from relaygauge.plans.validation import validate
+from relaygauge.plans.validation import validate, validate_by_fingerprint
 from relaygauge.schemas import EVENT_KEY, LATENCY_EVENT, TIMINGS
 from relaygauge.session import shared_folder
 from relaygauge.sinks.text import report_lines
@@ -187,6 +187,12 @@ def validation_report_strict(spark, folder):
     return validate(fx.marked_archive(spark, folder), fx.tests(spark), fx.MARKER, strict=True)
 
 
+@query
+def validation_report_fingerprint(spark, folder):
+    messages = fx.marked_archive(spark, folder)
+    return validate_by_fingerprint(messages, fx.tests(spark), fx.MARKER, wanted=_wanted(spark))
+
+
 @query
 def verdict_lines(spark, folder):
     return report_lines(validation_report(spark, folder))

@@ -12,6 +12,7 @@ from relaygauge.operators.positions import (
     bucketed_positions,
     bucketed_row_key_positions,
     dense_positions,
+    positions_in_slices,
     slice_number,
 )
 
@@ -65,6 +66,14 @@ def slice_digests(messages: DataFrame, slice_size: int = SLICE_SIZE, strict: boo
     return _digest(counted, buckets, slice_size)
 
 
+def digests_of_slices(
+    messages: DataFrame, slices: DataFrame, slice_size: int = SLICE_SIZE, strict: bool = False
+) -> DataFrame:
+    """The digests of some ``slices`` (test_id, slice) only; other payloads are not shuffled."""
+    counted, buckets = positions_in_slices(_with_text(messages, strict), slices, slice_size)
+    return _digest(counted, buckets, slice_size).join(slices, ["test_id", "slice"], "left_semi")
+
+
 def slice_digests_dense(messages: DataFrame, slice_size: int = SLICE_SIZE, strict: bool = False) -> DataFrame:
     """As ``slice_digests`` where offsets have no gaps: one shuffle, straight to the slices."""
     counted = dense_positions(_with_text(messages, strict))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from relaygauge.functions.keys import row_key_digits
 from relaygauge.functions.numbers import int_div
-from relaygauge.operators.totals import bucketed_total, whole_number_levels
+from relaygauge.operators.totals import bucket_totals, bucketed_total, continued_total, whole_number_levels
 
 TOPIC_KEY = ["test_id", "topic"]
 SLICE_SIZE = 1000  # fixed value: messages per compared slice
@@ -17,10 +17,36 @@ SLICE_SIZE = 1000  # fixed value: messages per compared slice
 PREFIX_LENGTHS = (8, 4)
 
 
+# Rows up to which partition bounds are held as a local table, and so broadcast.
+LOCAL_BOUNDS = 100_000
+
+
+def _levels() -> list[list[Column]]:
+    return whole_number_levels(F.col("offset"), outer=[F.col("partition")])
+
+
 def bucketed_positions(messages: DataFrame) -> tuple[DataFrame, list[str]]:
     """Messages with ``position`` (from 1), and the bucket columns they are partitioned by."""
-    levels = whole_number_levels(F.col("offset"), outer=[F.col("partition")])
-    return bucketed_total(messages, TOPIC_KEY, ["partition", "offset"], levels, F.lit(1), "position")
+    return bucketed_total(messages, TOPIC_KEY, ["partition", "offset"], _levels(), F.lit(1), "position")
+
+
+def positions_in_slices(
+    messages: DataFrame, slices: DataFrame, slice_size: int
+) -> tuple[DataFrame, list[str]]:
+    """As ``bucketed_positions``, but only for the buckets that reach into the given ``slices``
+    (test_id, slice); other messages are left out before the shuffle."""
+    bases = bucket_totals(messages, TOPIC_KEY, _levels(), F.lit(1))
+    first, last = F.col("_before"), F.col("_before") + F.col("_sum") - 1
+    reached = bases.select(
+        "*", F.explode(F.sequence(int_div(first, slice_size), int_div(last, slice_size))).alias("slice")
+    )
+    buckets = [name for name in bases.columns if name.startswith("_bucket")]
+    touched = reached.join(slices, ["test_id", "slice"], "left_semi").select(*TOPIC_KEY, *buckets, "_before").distinct()
+    located = messages.withColumns(dict(zip(buckets, _levels()[0])))
+    chosen = located.join(touched, [*TOPIC_KEY, *buckets], "left_semi")
+    return continued_total(
+        chosen, touched, TOPIC_KEY, ["partition", "offset"], _levels(), F.lit(1), "position"
+    )
 
 
 def message_positions(messages: DataFrame) -> DataFrame:
@@ -40,18 +66,30 @@ def dense_positions(messages: DataFrame) -> DataFrame:
     )
     earlier = W.partitionBy(*TOPIC_KEY).orderBy("partition").rowsBetween(W.unboundedPreceding, -1)
     dense = F.col("_last") - F.col("_first") + 1 == F.col("_n")
-    starts = bounds.select(
+    starts = _local_if_small(bounds.select(
         *TOPIC_KEY,
         "partition",
         F.when(dense, F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first"))
         .otherwise(F.raise_error(F.lit("offsets have gaps; use message_positions")))
         .alias("_shift"),
-    )
+    ))
     return messages.join(starts, [*TOPIC_KEY, "partition"]).select(
         *messages.columns, (F.col("offset") + F.col("_shift") + 1).alias("position")
     )
 
 
+def _local_if_small(table: DataFrame) -> DataFrame:
+    """A table of one row per topic partition, held locally if it is as short as expected.
+
+    Spark knows the size of a local table and broadcasts it, so that the messages, of which one
+    partition may hold most, are not shuffled for the join.  A longer one is joined as it is.
+    """
+    rows = table.limit(LOCAL_BOUNDS + 1).collect()
+    if len(rows) > LOCAL_BOUNDS:
+        return table
+    return table.sparkSession.createDataFrame(rows, table.schema)
+
+
 def bucketed_row_key_positions(messages: DataFrame) -> tuple[DataFrame, list[str]]:
     """As ``bucketed_positions`` in the textual order of joined row keys, where offset 10
     comes before offset 2."""

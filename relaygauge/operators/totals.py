@@ -32,52 +32,81 @@ def _continue_from(
     frame = W.partitionBy(*within).rowsBetween(W.unboundedPreceding, W.currentRow)
     if base is None:
         return rows.withColumn(total, F.sum(value).over(frame.orderBy(*order)))
-    both = rows.withColumn("_row", F.lit(1)).unionByName(
-        base.withColumn("_row", F.lit(0)), allowMissingColumns=True
-    )
+    carried = base.select(*within, F.col("_before").alias(value), F.lit(0).alias("_row"))
+    both = rows.withColumn("_row", F.lit(1)).unionByName(carried, allowMissingColumns=True)
     summed = both.withColumn(total, F.sum(value).over(frame.orderBy("_row", *order)))
     return summed.where("_row = 1").drop("_row")
 
 
-def bucketed_total(
+def _names(levels: Sequence[Sequence[Column]]) -> list[list[str]]:
+    return [[f"_bucket{i}_{j}" for j in range(len(level))] for i, level in enumerate(levels)]
+
+
+def _located(rows: DataFrame, levels: Sequence[Sequence[Column]], value: Column) -> DataFrame:
+    named = {n: c for names, level in zip(_names(levels), levels) for n, c in zip(names, level)}
+    columns = {n: c for n, c in named.items() if n not in rows.columns}
+    return rows.withColumns(columns).withColumn("_value", value.cast("bigint"))
+
+
+def bucket_totals(
+    rows: DataFrame, keys: Sequence[str], levels: Sequence[Sequence[Column]], value: Column
+) -> DataFrame:
+    """One row per key and finest bucket: the total ``_before`` it and its own ``_sum``."""
+    keys, names = list(keys), _names(levels)
+    sums = []
+    source = _located(rows, levels, value)
+    for i in range(len(names)):
+        source = source.groupBy(*keys, *[n for level in names[i:] for n in level]).agg(
+            F.sum("_value").alias("_value")
+        )
+        sums.append(source)
+
+    base = None
+    for i in reversed(range(len(names))):
+        within = keys + (names[i + 1] if i + 1 < len(names) else [])
+        running = _continue_from(sums[i], base, within, names[i], "_value", "_running")
+        base = running.select(
+            *keys, *names[i], (F.col("_running") - F.col("_value")).alias("_before"), F.col("_value").alias("_sum")
+        )
+    return base
+
+
+def continued_total(
     rows: DataFrame,
+    bases: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     levels: Sequence[Sequence[Column]],
     value: Column,
     total: str,
 ) -> tuple[DataFrame, list[str]]:
-    """``rows`` with the inclusive running sum of ``value`` per ``keys`` in ``order``, and the
-    names of the finest bucket columns.
+    """``rows`` with their inclusive running sum, continued from ``bases`` (``bucket_totals``),
+    and the names of the finest bucket columns, by which the result is hash partitioned.
 
-    ``levels`` lists bucket columns, finest first.  Each must rise with ``order`` and be fixed
-    by the level before it; no two rows of one key may be equal in ``order``.  The result is
-    hash partitioned by keys and finest bucket.
+    ``rows`` may be fewer than those the bases were made of, if they hold whole buckets.
     """
-    keys = list(keys)
-    names = [[f"_bucket{i}_{j}" for j in range(len(level))] for i, level in enumerate(levels)]
-    located = rows.withColumns(
-        {n: c for level, cols in zip(names, levels) for n, c in zip(level, cols)}
-    ).withColumn("_value", value.cast("bigint"))
+    finest = _names(levels)[0]
+    located = _located(rows, levels[:1], value)
+    within = list(keys) + finest
+    return _continue_from(located, bases, within, list(order), "_value", total).drop("_value"), finest
 
-    sums = []
-    source = located
-    for i in range(len(names)):
-        above = [n for level in names[i:] for n in level]
-        source = source.groupBy(*keys, *above).agg(F.sum("_value").alias("_value"))
-        sums.append(source)
 
-    base = None
-    for i in reversed(range(len(names))):
-        within = keys + (names[i + 1] if i + 1 < len(names) else [])
-        running = _continue_from(sums[i], base, within, names[i], "_value", "_running")
-        base = running.select(*keys, *names[i], (F.col("_running") - F.col("_value")).alias("_value"))
+def bucketed_total(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    levels: Sequence[Sequence[Column]],
+    value: Column,
+    total: str,
+) -> tuple[DataFrame, list[str]]:
+    """``rows`` with the inclusive running sum of ``value`` per ``keys`` in ``order``, and the
+    names of the finest bucket columns, by which the result is hash partitioned.
 
-    coarser = [n for level in names[1:] for n in level if n not in names[0]]
-    counted = _continue_from(
-        located.drop(*coarser), base, keys + names[0], list(order), "_value", total
-    )
-    return counted.drop("_value"), names[0]
+    ``levels`` lists bucket columns, finest first.  Each must rise with ``order`` and be fixed
+    by the level before it; no two rows of one key may be equal in ``order``.
+    """
+    bases = bucket_totals(rows, keys, levels, value)
+    return continued_total(rows, bases, keys, order, levels, value, total)
 
 
 def running_total(

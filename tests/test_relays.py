@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relaygauge.operators import archive, digests, positions
-from relaygauge.plans.validation import validate
+from relaygauge.plans.validation import validate, validate_by_fingerprint
 from relaygauge.schemas import MESSAGE, TEST
 
 PARTITIONS, PER_PARTITION, SLICE = 4, 70, 100
@@ -93,6 +93,33 @@ def test_verdicts(relays, strict):
             assert report[name].order_preserved == model(copy()), name
 
 
+def test_fingerprints_give_the_same_report(relays, tmp_path):
+    messages, tests = relays
+    one = validate(messages, tests, "END", SLICE)
+    two = validate_by_fingerprint(messages, tests, "END", SLICE, folder=str(tmp_path))
+    assert sorted(one.collect()) == sorted(two.collect())
+
+
+def test_a_moved_boundary_before_a_change(spark, tmp_path):
+    """The first doubtful slice has the same text, a later one has not."""
+    copy = regrouped()
+    copy[(3, 60)] = "other"
+    rows = [("t", topic, p, o, text) for topic, c in (("src", source()), ("dst", copy)) for (p, o), text in c.items()]
+    messages = spark.createDataFrame(rows, SCHEMA)
+    tests = spark.createDataFrame([("t", "src", "dst")], TEST)
+    row = validate_by_fingerprint(messages, tests, slice_size=SLICE, folder=str(tmp_path)).first()
+    assert (row.order_preserved, row.first_difference) == (False, 2)
+    assert validate(messages, tests, slice_size=SLICE).first() == row
+
+
+def test_texts_of_chosen_slices(relays):
+    messages, tests = relays
+    chosen = tests.sparkSession.createDataFrame([("none", 1), ("drop", 2), ("drop", 0)], "test_id STRING, slice BIGINT")
+    every = digests.slice_digests(messages, SLICE).join(chosen, ["test_id", "slice"], "left_semi")
+    some = digests.digests_of_slices(messages, chosen, SLICE).select(every.columns)
+    assert every.count() == 6 and every.exceptAll(some).isEmpty() and some.exceptAll(every).isEmpty()
+
+
 def test_markers_count_unless_dropped(relays):
     messages, _ = relays
     raw = {(r.test_id, r.topic): r.total for r in archive.topic_counts(messages).collect()}
