@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from relaygauge.functions.clock import epoch_micros
 from relaygauge.functions.frames import build_frame
@@ -12,7 +13,7 @@ from relaygauge.operators.archive import end_markers, register_tests
 from relaygauge.operators.latencies import latency_buckets
 from relaygauge.operators.lines import text_lines
 from relaygauge.operators.rolling import rolling_averages
-from relaygauge.schemas import MESSAGE
+from relaygauge.schemas import LATENCY_RECORD, MESSAGE
 
 PARTITIONS = 4
 MARKER = "end-of-stream"
@@ -137,6 +138,20 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     return records_of(events(spark, folder))
 
 
+RECORD_FIELDS = StructType([f for f in LATENCY_RECORD.fields if f.name != "arrived_at"])
+
+
+def framed_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Latency records as a topic of framed JSON."""
+    body = utf8_bytes(F.to_json(F.struct("tag", "timings")))
+    frame = build_frame(F.lit(7), body)
+    broken = F.concat(F.unhex(F.lit("01")), F.substr(frame, F.lit(2)))
+    return records(spark, folder).select(
+        F.when(F.col("event_type") == "error", broken).otherwise(frame).alias("value"),
+        F.col("arrived_at").alias("timestamp"),
+    )
+
+
 def records_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
     """Records of which some lack a tag or all tags."""
     gaps = F.when(F.col("event_type") == "error", F.map_filter("tag", lambda k, _: k != "consumerId")).when(

@@ -245,7 +245,7 @@ UNION ALL SELECT 'absent', 0, 'There is no such test ''absent'''""",
 SELECT event_id, CASE WHEN topic <> 'signup' THEN topic END AS topic,
   CASE WHEN topic <> 'signup' THEN "partition" END AS "partition",
   CASE WHEN topic NOT IN ('signup', 'error') THEN consumerid END AS consumerid,
-  CASE topic WHEN 'signup' THEN 'topic' WHEN 'error' THEN 'consumerId' END AS problem
+  CASE topic WHEN 'signup' THEN 'topic' WHEN 'error' THEN 'consumerId' END AS missing_tag
 FROM rec""",
     "timing_pairs": f"WITH {PAIRS} SELECT * FROM pairs",
     "timing_pairs_repeated": f"""WITH {PAIRS}
@@ -265,12 +265,17 @@ SELECT topic, "partition", consumerid, 'produced-created', created + 5 - produce
     },
     "rolling_all_windows": f"WITH {BUCKETS} " + " UNION ALL ".join(_rolling(unit, n, 60) for unit, n in WINDOWS),
     "rolling_10second_native": f"WITH {BUCKETS} {_rolling('second', 10, 1)}",
+    "latency_from_frames": f"""WITH {BUCKETS}, valid AS (SELECT * FROM buckets WHERE topic <> 'error')
+{_rolling('minute', 1, 60, 'valid')}""",
     # Results
     "events_upsert": f"""WITH {RESULTS}
 SELECT topic, "partition", consumerid, eventname, "second", operation,
   CASE WHEN topic = 'purchase' THEN value + 1 ELSE value END AS value, cnt FROM results""",
     "events_history": f"""WITH {RESULTS}
 SELECT * FROM charted WHERE topic = 'click' AND "second" > 1705320000 - 3600""",
+    "history_json": f"""WITH {RESULTS}
+SELECT "second", "partition", consumerid, eventname, {_event_json(CHART_NAMES)} AS json
+FROM charted WHERE topic = 'click' AND "second" > 1705320000 - 3600""",
     "live_feed": f"""WITH {RESULTS} SELECT * FROM charted WHERE "partition" <> '3'""",
     "event_json": f"""WITH {RESULTS}
 SELECT topic, "second", "partition", consumerid, eventname, operation, {_event_json(CHART_NAMES)} AS json FROM results""",
@@ -318,6 +323,13 @@ SELECT id, {_text('relay', 'id', 'n')} AS line FROM sized""",
   SELECT id, n, coalesce(sum(n + 1) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
   FROM sized)
 SELECT id, n AS n_bytes, md5({_text('relay', 'id', 'n')}) AS line_md5 FROM before WHERE b < 10000000""",
+    "dataset_topic": f"""WITH {_synthetic(('relay', 1024, 5000))}, before AS (
+  SELECT id, n, coalesce(sum(n + 1) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+  FROM sized)
+SELECT 'dataset' AS topic, CAST(id % 4 AS INTEGER) AS "partition",
+  row_number() OVER (PARTITION BY id % 4 ORDER BY id) - 1 AS "offset",
+  md5({_text('relay', 'id', 'n')}) AS value_md5
+FROM before WHERE b < 10000000""",
     "metric_records": f"""WITH {EV}
 SELECT CAST(0 AS BIGINT) AS id, t // 1000 * 1000000 AS created, {_text('relay', 'event_id', '191')} AS value FROM ev""",
     # Streams

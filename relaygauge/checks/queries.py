@@ -14,6 +14,9 @@ from relaygauge.functions.keys import row_key, separated_row_key
 from relaygauge.functions.numbers import int_div
 from relaygauge.functions.text import utf8_bytes, utf8_text
 from relaygauge.operators import archive, digests, latencies, lines, positions, rolling, series, synthetic, verdicts
+from relaygauge.plans.dashboard import history_json as dashboard_history
+from relaygauge.plans.dataset import dataset_topic as numbered_dataset
+from relaygauge.plans.latency import decode_latency_topic, latency_report
 from relaygauge.plans.validation import validate, validate_by_fingerprint
 from relaygauge.schemas import EVENT_KEY, LATENCY_EVENT, TIMINGS
 from relaygauge.session import shared_folder
@@ -222,7 +225,7 @@ def latency_scan(spark, folder):
 @query
 def tag_extract(spark, folder):
     return latencies.extract_tags(fx.records_with_gaps(spark, folder)).select(
-        "event_id", "topic", "partition", "consumerid", "problem"
+        "event_id", "topic", "partition", "consumerid", "missing_tag"
     )
 
 
@@ -270,6 +273,16 @@ def rolling_10second_native(spark, folder):
     return rolling.native_rolling_averages(fx.buckets(spark, folder), "second", 10)
 
 
+@query
+def latency_from_frames(spark, folder):
+    """Framed JSON records to minute averages; frames of error events have another format."""
+    framed = fx.framed_records(spark, folder)
+    schema = records.RecordSchema(7, "latency", fields=fx.RECORD_FIELDS, required="timings")
+    known = spark.createDataFrame([(7, "latency", "record")], "schema_id BIGINT, name STRING, kind STRING")
+    decoded = decode_latency_topic(framed, known, [schema])
+    return latency_report(decoded.where("problem IS NULL"), [("minute", 1)], emit_every=60)
+
+
 # Results
 
 
@@ -289,6 +302,11 @@ def events_history(spark, folder):
     return series.events_history(fx.results(spark, folder), "click", HISTORY_NOW)
 
 
+@query
+def history_json(spark, folder):
+    return dashboard_history(fx.results(spark, folder), "click", HISTORY_NOW)
+
+
 @query
 def live_feed(spark, folder):
     """Result values of which those of one partition are cut off and so skipped."""
@@ -450,6 +468,12 @@ def size_bounded_lines(spark, folder):
     return made.select("id", F.octet_length("line").alias("n_bytes"), F.md5("line").alias("line_md5"))
 
 
+@query
+def dataset_topic(spark, folder):
+    numbered = numbered_dataset(_ids(spark, folder), DATASET_BYTES, DATASET_SHAPE, "dataset", fx.PARTITIONS)
+    return numbered.select("topic", "partition", "offset", F.md5("value").alias("value_md5"))
+
+
 @query
 def metric_records(spark, folder):
     at = int_div(epoch_micros(F.col("ts")), 1000)

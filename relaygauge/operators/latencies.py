@@ -18,21 +18,21 @@ def missing_tag() -> Column:
 
 
 def extract_tags(records: DataFrame) -> DataFrame:
-    """Records with their tags as columns and ``problem`` naming a missing tag."""
+    """Records with their tags as columns, ``missing_tag`` naming one a record lacks."""
     return records.select(
-        "*", *[F.col("tag")[tag].alias(name) for tag, name in TAGS.items()], missing_tag().alias("problem")
+        "*", *[F.col("tag")[tag].alias(name) for tag, name in TAGS.items()], missing_tag().alias("missing_tag")
     )
 
 
 def complete_records(records: DataFrame) -> DataFrame:
     tagged = extract_tags(records)
-    return tagged.where("problem IS NULL").drop("problem")
+    return tagged.where("missing_tag IS NULL").drop("missing_tag")
 
 
 def incomplete_records(records: DataFrame) -> DataFrame:
     """The quarantine: records lacking a tag, with the tag's name."""
     tagged = extract_tags(records)
-    return tagged.where("problem IS NOT NULL").select(*records.columns, "problem")
+    return tagged.where("missing_tag IS NOT NULL").select(*records.columns, "missing_tag")
 
 
 def latency_pairs(records: DataFrame) -> DataFrame:

@@ -91,23 +91,18 @@ def decode_records(
     its row and gets a ``problem``.
     """
     rows = framed.join(catalogue.select("schema_id", "name", "kind"), "schema_id", "left")
-    body = F.col("body")
+    body, kind = F.col("body"), F.col("kind")
+    by_id = {s.schema_id: s for s in schemas if s.kind == "record"}
+    rows = rows.withColumns(
+        {f"_decoded{i}": F.when(F.col("schema_id") == i, decode(body, s)) for i, s in by_id.items()}
+    )
     record = F.lit(None).cast(target)
-    for schema in schemas:
-        if schema.kind == "record":
-            decoded = decode(body, schema)
-            # A body that is no such record decodes to nulls only.
-            valid = decoded[schema.required or schema.fields.names[0]].isNotNull()
-            record = F.when(
-                (F.col("schema_id") == schema.schema_id) & valid, conform(decoded, schema.fields, target)
-            ).otherwise(record)
-    kind = F.col("kind")
-    decoded = rows.withColumns(
-        {
-            "record": record,
-            "text": F.when(kind == "string", utf8_text(body)),
-            "bytes": F.when(kind == "bytes", body),
-        }
+    for i, schema in by_id.items():
+        own = F.col(f"_decoded{i}")
+        record = F.when(_fits(own, schema), conform(own, schema.fields, target)).otherwise(record)
+    decoded = evaluated_once(rows, "record", record).drop(*[f"_decoded{i}" for i in by_id])
+    decoded = decoded.withColumns(
+        {"text": F.when(kind == "string", utf8_text(body)), "bytes": F.when(kind == "bytes", body)}
     )
     problem = (
         F.when(F.col("problem").isNotNull(), F.col("problem"))
@@ -117,6 +112,20 @@ def decode_records(
     return decoded.withColumn("problem", problem)
 
 
+def evaluated_once(rows: DataFrame, name: str, column: Column) -> DataFrame:
+    """``rows`` with a costly column that later filters refer to, not repeat.
+
+    Spark moves filters below a projection and puts the column's expression in for each mention
+    of it; a body would be parsed many times.  It does not move them below a generator.
+    """
+    return rows.select("*", F.explode_outer(F.array(column)).alias(name))
+
+
+def _fits(decoded: Column, schema: RecordSchema) -> Column:
+    """Whether a value was such a record: one that was not decodes to nulls only."""
+    return decoded[schema.required or schema.fields.names[0]].isNotNull()
+
+
 def decode_with_fallback(
     values: DataFrame,
     schemas: Sequence[RecordSchema],
@@ -126,14 +135,18 @@ def decode_with_fallback(
 ) -> DataFrame:
     """Each value decoded by the first of the schemas that fits it, chosen row by row.
 
-    Adds ``schema`` (null if none fits) and ``record``.
+    Adds ``schema`` (null if none fits) and ``record``.  A schema is tried only on values that
+    none before it fits.
     """
     if not schemas:
         raise ValueError("no schemas given")
+    tried, rows = F.lit(False), values
     name, record = F.lit(None).cast("string"), F.lit(None).cast(target)
-    for schema in reversed(schemas):
-        decoded = decode(F.col(value), schema)
-        fits = decoded[schema.required or schema.fields.names[0]].isNotNull()
-        name = F.when(fits, F.lit(schema.name)).otherwise(name)
-        record = F.when(fits, conform(decoded, schema.fields, target)).otherwise(record)
-    return values.select("*", name.alias("schema"), record.alias("record"))
+    for i, schema in enumerate(schemas):
+        own = F.col(f"_decoded{i}")
+        rows = rows.withColumn(f"_decoded{i}", F.when(~tried, decode(F.col(value), schema)))
+        tried = tried | F.coalesce(_fits(own, schema), F.lit(False))
+        name = F.coalesce(name, F.when(_fits(own, schema), F.lit(schema.name)))
+        record = F.coalesce(record, F.when(_fits(own, schema), conform(own, schema.fields, target)))
+    chosen = F.struct(name.alias("schema"), record.alias("record"))
+    return evaluated_once(rows, "_chosen", chosen).select(*values.columns, "_chosen.*")

@@ -46,7 +46,7 @@ def test_missing_tags_are_set_aside(spark):
     rows = [(TAG, [("a", 1), ("b", 2)]), ({"topic": "t", "partition": "0"}, []), (None, []), ({}, [])]
     frame = records(spark, rows)
     assert latencies.complete_records(frame).count() == 1
-    assert sorted(r.problem for r in latencies.incomplete_records(frame).collect()) == ["consumerId", "topic", "topic"]
+    assert sorted(r.missing_tag for r in latencies.incomplete_records(frame).collect()) == ["consumerId", "topic", "topic"]
     assert latencies.latency_buckets(frame).count() == 1
 
 
