@@ -12,6 +12,7 @@ from relaygauge.operators.positions import (
     bucketed_positions,
     bucketed_row_key_positions,
     dense_positions,
+    message_positions,
     positions_in_slices,
     slice_number,
 )
@@ -84,6 +85,29 @@ def slice_digests_dense(messages: DataFrame, slice_size: int = SLICE_SIZE, stric
     )
 
 
+def slice_fingerprints(messages: DataFrame, slice_size: int = SLICE_SIZE, dense: bool = False) -> DataFrame:
+    """As ``slice_digests``, with 128-bit prints of the messages' places and payloads as digests.
+
+    Prints of messages combine in any order, so tasks combine theirs before the shuffle.  With
+    ``dense`` offsets no message is shuffled at all, else only its print and place.
+    """
+    text = F.coalesce("payload", F.lit(""))
+    prints = messages.select(
+        *TOPIC_KEY,
+        "partition",
+        "offset",
+        F.xxhash64(text).alias("_print0"),
+        F.xxhash64(F.lit(1), text).alias("_print1"),
+    )
+    placed = dense_positions(prints) if dense else message_positions(prints)
+    combined = [F.hex(F.bit_xor(F.xxhash64("position", f"_print{i}"))) for i in (0, 1)]
+    return (
+        placed.withColumn("slice", slice_number(F.col("position"), slice_size))
+        .groupBy(*TOPIC_KEY, "slice")
+        .agg(F.count(F.lit(1)).alias("messages"), F.concat_ws("-", *combined).alias("digest"))
+    )
+
+
 def slice_digests_by_row_key(
     messages: DataFrame, slice_size: int = SLICE_SIZE, strict: bool = False
 ) -> DataFrame:

@@ -55,25 +55,37 @@ def message_positions(messages: DataFrame) -> DataFrame:
     return counted.drop(*buckets)
 
 
+def _partition_bounds(messages: DataFrame) -> DataFrame:
+    """First and last offset and the number of messages of each partition."""
+    return messages.groupBy(*TOPIC_KEY, "partition").agg(
+        F.min("offset").alias("_first"), F.max("offset").alias("_last"), F.count(F.lit(1)).alias("_n")
+    )
+
+
+def _gapless() -> Column:
+    return F.col("_last") - F.col("_first") + 1 == F.col("_n")
+
+
+def has_dense_offsets(messages: DataFrame) -> bool:
+    """Whether no partition has a gap in its offsets; reads keys and offsets only."""
+    return _partition_bounds(messages).where(~_gapless()).isEmpty()
+
+
 def dense_positions(messages: DataFrame) -> DataFrame:
     """Messages with ``position`` where offsets have no gaps: no sort of the messages at all.
 
     Only the bounds of each partition are computed.  A gap fails the job instead of giving
     wrong positions.
     """
-    bounds = messages.groupBy(*TOPIC_KEY, "partition").agg(
-        F.min("offset").alias("_first"), F.max("offset").alias("_last"), F.count(F.lit(1)).alias("_n")
-    )
     earlier = W.partitionBy(*TOPIC_KEY).orderBy("partition").rowsBetween(W.unboundedPreceding, -1)
-    dense = F.col("_last") - F.col("_first") + 1 == F.col("_n")
-    starts = _local_if_small(bounds.select(
+    starts = _partition_bounds(messages).select(
         *TOPIC_KEY,
         "partition",
-        F.when(dense, F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first"))
+        F.when(_gapless(), F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first"))
         .otherwise(F.raise_error(F.lit("offsets have gaps; use message_positions")))
         .alias("_shift"),
-    ))
-    return messages.join(starts, [*TOPIC_KEY, "partition"]).select(
+    )
+    return messages.join(_local_if_small(starts), [*TOPIC_KEY, "partition"]).select(
         *messages.columns, (F.col("offset") + F.col("_shift") + 1).alias("position")
     )
 

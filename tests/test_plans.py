@@ -67,6 +67,13 @@ def test_dense_digests_shuffle_once(spark, messages):
     assert shuffled(text).count("hashpartitioning") == 1 and "BroadcastHashJoin" in text
 
 
+def test_prints_combine_before_the_shuffle(messages):
+    dense = messages.where("test_id = 'faithful'").withColumn("partition", F.lit(0))
+    text = plan(digests.slice_fingerprints(dense, dense=True))
+    assert "partial_bit_xor" in text and "Sort" not in text
+    assert "payload" not in text.split("partial_bit_xor")[0]
+
+
 def test_counting_reads_no_payload(messages):
     text = plan(messages.groupBy("test_id", "topic").count())
     assert "payload" not in text

@@ -112,6 +112,18 @@ def test_a_moved_boundary_before_a_change(spark, tmp_path):
     assert validate(messages, tests, slice_size=SLICE).first() == row
 
 
+@pytest.mark.parametrize("relay", list(RELAYS))
+def test_prints_differ_where_messages_do(relays, relay):
+    messages, tests = relays
+    messages = messages.where((F.col("test_id") == relay) & (F.col("payload") != "END"))
+    dense = positions.has_dense_offsets(messages)
+    assert dense == (relay != "drop")
+    tests = tests.where(F.col("test_id") == relay)
+    strict = digests.compare_slices(digests.slice_digests(messages, SLICE, strict=True), tests)
+    prints = digests.compare_slices(digests.slice_fingerprints(messages, SLICE, dense), tests)
+    assert sorted(strict.select("slice", "same").collect()) == sorted(prints.select("slice", "same").collect())
+
+
 def test_texts_of_chosen_slices(relays):
     messages, tests = relays
     chosen = tests.sparkSession.createDataFrame([("none", 1), ("drop", 2), ("drop", 0)], "test_id STRING, slice BIGINT")
@@ -156,6 +168,13 @@ def test_dense_and_general_paths_agree(relays):
     assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
 
 
+def test_dense_offsets_are_recognised(relays):
+    messages, _ = relays
+    clean = messages.where("payload <> 'END'")
+    assert positions.has_dense_offsets(clean.where("test_id <> 'drop'"))
+    assert not positions.has_dense_offsets(clean)
+
+
 def test_dense_path_refuses_gaps(relays):
     messages, _ = relays
     with pytest.raises(Exception, match="offsets have gaps"):
