@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -485,6 +486,19 @@ def metric_records(spark, folder):
 # Streams, each drained into tables below the shared folder
 
 
+@contextmanager
+def _state_sized_to_cores(spark):
+    """A stream keeps the number of state partitions it starts with, and Spark does not merge
+    small ones; a session's default for large batch shuffles is too many for a drained check."""
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def _event_stream(spark, folder):
     schema = fx.events(spark, folder).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
@@ -502,7 +516,8 @@ def stream_message_archive(spark, folder):
         F.col("event_id").alias("offset"),
         F.coalesce(marked, utf8_bytes(fx.payload())).alias("value"),
     )
-    archive_stream(envelopes, "faithful", fx.MARKER, root, f"{root}/checkpoint", DRAIN).awaitTermination()
+    with _state_sized_to_cores(spark):
+        archive_stream(envelopes, "faithful", fx.MARKER, root, f"{root}/checkpoint", DRAIN).awaitTermination()
     archived = read_messages(spark, root).groupBy("test_id", "topic").agg(F.count(F.lit(1)).alias("archived"))
     return read_counters(spark, root).join(archived, ["test_id", "topic"])
 
@@ -510,7 +525,8 @@ def stream_message_archive(spark, folder):
 def _latency_job(spark, folder):
     root = shared_folder(spark, "latency")
     stream = fx.records_of(_event_stream(spark, folder)).select("tag", "timings", "arrived_at")
-    latency_stream(stream, root, f"{root}/checkpoint", [("second", 10)], trigger=DRAIN).awaitTermination()
+    with _state_sized_to_cores(spark):
+        latency_stream(stream, root, f"{root}/checkpoint", [("second", 10)], trigger=DRAIN).awaitTermination()
     return root
 
 
