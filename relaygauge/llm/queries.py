@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from relaygauge.llm.decontamination import contamination
 from relaygauge.llm.frames import crc_remainder
+from relaygauge.llm.jaccard_join import near_duplicates
 from relaygauge.llm.language_id import identify_languages, language_samples
+from relaygauge.llm.licenses import license_scan
 from relaygauge.llm.mixing import mix_sources
+from relaygauge.llm.quality import quality
 from relaygauge.llm.token_counts import token_counts
 from relaygauge.llm.toxicity import fit_on_labels, toxicity
 
@@ -29,12 +32,44 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify_languages(docs, samples).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rate")
 
 
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    scan = license_scan(_read(spark, folder, "documents"))
+    base = F.filter("places", lambda p: p["base"])
+
+    def joined(places):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+
+    starts = F.transform(base, lambda p: p["start"])
+    return scan.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.col("places")).alias("labels"),
+        "score",
+    )
+
+
 def op5_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, copies."""
     mixed = mix_sources(_read(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, class_id, text_class, n_links, n_link_texts."""
+    return near_duplicates(_read(spark, folder, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules."""
+    judged = quality(_read(spark, folder, "documents"))
+    return judged.select(*[c for c in judged.columns if c != "failed"], F.array_join("failed", ",").alias("failed_rules"))
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
@@ -66,7 +101,10 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
+    "op4_license_scan": op4_license_scan,
     "op5_source_mix": op5_source_mix,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
