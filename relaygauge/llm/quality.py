@@ -23,8 +23,8 @@ SPREADS = 4  # how many spreads beyond the inner quantiles a value may lie
 # word lengths in hundredths.
 RULES = {
     "symbols": (lambda: 1000 * F.col("n_symbols") / F.greatest("word_chars", F.lit(1)), 25, False),
-    "dup_lines": (lambda: 1000 * F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), 60, False),
-    "repeats": (lambda: 1000 * F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)), 60, False),
+    "dup_lines": (lambda: 1000 * F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), 120, False),
+    "repeats": (lambda: 1000 * F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)), 75, False),
     "word_length": (lambda: 100 * F.col("word_chars") / F.greatest("n_words", F.lit(1)), 50, True),
 }
 

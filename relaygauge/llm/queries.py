@@ -14,6 +14,7 @@ from relaygauge.llm.language_id import identify_languages, language_samples
 from relaygauge.llm.licenses import license_scan
 from relaygauge.llm.mixing import mix_sources
 from relaygauge.llm.quality import quality
+from relaygauge.llm.suffix_dedup import suffix_dedup
 from relaygauge.llm.token_counts import token_counts
 from relaygauge.llm.toxicity import fit_on_labels, toxicity
 
@@ -24,6 +25,18 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    rest = suffix_dedup(_read(spark, folder, "documents"))
+    return rest.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rate."""
     docs = _read(spark, folder, "documents")
@@ -100,6 +113,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op4_license_scan": op4_license_scan,
     "op5_source_mix": op5_source_mix,
