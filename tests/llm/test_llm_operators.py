@@ -93,6 +93,20 @@ def test_copies_across_many_blocks(spark):
     assert len(result[0].kept) == len(text) and len(result[3].kept) == 0
 
 
+def test_blocks_longer_than_a_slice(spark, monkeypatch):
+    """Groups may come in any order; anchors must be the same each time."""
+    from relaygauge.llm import suffix_dedup as module
+
+    monkeypatch.setattr(module, "SLICE", 700)
+    rng = random.Random(11)
+    passage = prose(rng, 60)
+    texts = [prose(rng, 30) + passage[rng.randrange(200) :] for _ in range(30)]
+    frames = [pd.DataFrame({"_order": np.arange(30), "_text": [t.encode() for t in texts], "_block": 0}) for _ in range(2)]
+    frames[1] = frames[1].sample(frac=1, random_state=1)
+    first, second = (module._send_anchors(50, 1)(f)["anchors"][0] for f in frames)
+    assert first == second
+
+
 def test_whole_characters(spark):
     text = "äöü" * 20
     rows = [(1, "." + text), (2, "é" + text + "ß"), (3, "x" + text)]
