@@ -48,7 +48,11 @@ def _digests(positions: str, item: str = "payload") -> str:
 
 
 def _compared(item: str = "payload") -> str:
-    return f"""{POS}, digests AS ({_digests('pos', item)}),
+    return f"{POS}, {_slices(item)}"
+
+
+def _slices(item: str) -> str:
+    return f"""digests AS ({_digests('pos', item)}),
 compared AS (
   SELECT coalesce(s.test_id, d.test_id) AS test_id, coalesce(s.slice, d.slice) AS slice,
          coalesce(s.digest, md5('')) AS source_digest, coalesce(s.messages, 0) AS source_messages,
@@ -59,7 +63,11 @@ compared AS (
 
 
 def _report(item: str = "payload") -> str:
-    return f"""{_compared(item)}, totals AS (
+    return f"{POS}, {_verdict(item)}"
+
+
+def _verdict(item: str = "payload") -> str:
+    return f"""{_slices(item)}, totals AS (
   SELECT test_id, CAST(sum(source_messages) AS BIGINT) AS source_total,
          CAST(sum(destination_messages) AS BIGINT) AS destination_total,
          bool_and(same) AS order_preserved, min(slice) FILTER (WHERE NOT same) AS first_difference
@@ -97,28 +105,41 @@ BUCKETS = f"""{PAIRS}, buckets AS (
          CAST(sum(latency) AS BIGINT) AS total, count(*) AS cnt
   FROM pairs GROUP BY ALL)"""
 
-# Watermark of the drained stream: the latest arrival in milliseconds, less ten seconds.
-CLOSED = f"""{BUCKETS}, closed AS (
-  SELECT * FROM buckets
-  WHERE ("second" + 1) * 1000 <= (SELECT max(t) // 1000 - 10000 FROM ev))"""
-
 WINDOWS = [("second", 10), ("second", 30), ("minute", 1), ("minute", 5), ("minute", 10), ("minute", 15)]
 
 
-def _rolling(unit: str, length: int, every: int, source: str = "buckets") -> str:
+def _rolling(unit: str, length: int, source: str = "buckets") -> str:
     span = length * (1 if unit == "second" else 60)
     return f"""SELECT topic, "partition", consumerid, eventname, ending AS "second",
     'avg{length}{unit}' AS operation, CAST(sum(total) AS BIGINT) // CAST(sum(cnt) AS BIGINT) AS value,
     CAST(sum(cnt) AS BIGINT) AS cnt
-  FROM (SELECT *, unnest(range((("second" + {every}) // {every}) * {every}, "second" + {span} + 1, {every})) AS ending
-        FROM {source})
+  FROM (SELECT *, unnest(range("second" + 1, "second" + {span} + 1)) AS ending FROM {source})
   GROUP BY ALL"""
 
 
+def _spans(unit: str, length: int) -> str:
+    """Windows that end from one change of their buckets to the next, cut moment every sixth hour."""
+    span = length * (1 if unit == "second" else 60)
+    series = 'topic, "partition", consumerid, eventname'
+    return f"""SELECT {series}, 'avg{length}{unit}' AS operation, greatest(moment, k * 21600) AS "from",
+    least(til, (k + 1) * 21600) AS "until", total // cnt AS value, cnt
+  FROM (
+    SELECT *, unnest(range(moment // 21600, (til - 1) // 21600 + 1)) AS k
+    FROM (
+      SELECT {series}, moment, lead(moment) OVER w AS til, CAST(sum(dt) OVER w AS BIGINT) AS total, CAST(sum(dc) OVER w AS BIGINT) AS cnt
+      FROM (
+        SELECT {series}, moment, sum(dt) AS dt, sum(dc) AS dc FROM (
+          SELECT {series}, "second" + 1 AS moment, total AS dt, cnt AS dc FROM buckets
+          UNION ALL SELECT {series}, "second" + 1 + {span}, -total, -cnt FROM buckets)
+        GROUP BY ALL)
+      WINDOW w AS (PARTITION BY {series} ORDER BY moment))
+    WHERE cnt > 0)"""
+
+
 RESULTS = f"""{BUCKETS}, results AS (
-  {_rolling('second', 10, 60)}
+  {_rolling('second', 10)}
   UNION ALL
-  {_rolling('minute', 1, 60)}),
+  {_rolling('second', 30)}),
 charted AS (SELECT * FROM results WHERE operation = 'avg10second')"""
 
 LONG = f"""{RESULTS}, long AS (
@@ -130,8 +151,7 @@ LONG = f"""{RESULTS}, long AS (
 def _points(line: str) -> str:
     return f"""WITH {LONG}
 SELECT {line}, "second" // 3600 * 3600 AS hour,
-  string_agg("second" || ':' || eventname || ':' || topic || ':' || y, ';'
-             ORDER BY "second", eventname, topic, y) AS points
+  string_agg("second" || ':' || eventname || ':' || y, ';' ORDER BY "second", eventname, y) AS points
 FROM long GROUP BY {line}, hour"""
 
 
@@ -176,9 +196,9 @@ CHART_NAMES = {"consumerid": "consumerId", "eventname": "eventName", "cnt": "cou
 ORACLES: dict[str, str] = {
     # Topics and archive
     "topic_scan": f"""WITH {EV}
-SELECT 'dropped' AS test_id, 'src' AS topic, part AS "partition", event_id AS "offset", payload FROM ev
-UNION ALL
-SELECT 'dropped', 'dst', part, event_id, payload FROM ev WHERE event_id <> 777""",
+SELECT 'dropped' AS test_id, topic, part AS "partition", event_id AS "offset",
+  CASE WHEN event_type = 'error' THEN chr(65533) || 'FF' || hex(encode(props)) ELSE payload END AS payload
+FROM ev CROSS JOIN (VALUES ('src'), ('dst')) t(topic) WHERE NOT (topic = 'dst' AND event_id = 777)""",
     "topic_counts": f"WITH {MARKED} SELECT test_id, topic, count(*) AS total FROM marked GROUP BY ALL",
     "archive_counts": f"""WITH {MARKED}
 SELECT test_id, topic, count(*) AS total FROM marked WHERE payload <> 'end-of-stream' GROUP BY ALL""",
@@ -219,8 +239,9 @@ SELECT 'lines' AS test_id, *, row_number() OVER (ORDER BY "partition", "offset")
   SELECT 'lines' AS test_id, *, row_number() OVER (ORDER BY "partition", "offset") AS position FROM topic_lines)
 {_digests('pos')}""",
     "slice_digests_rowkey": f"""WITH {MSG}, pos AS (
-  SELECT *, row_number() OVER (PARTITION BY test_id, topic
-    ORDER BY CAST("partition" AS VARCHAR) || CAST("offset" AS VARCHAR)) AS position FROM msg)
+  SELECT m.test_id, m.topic, m.payload, row_number() OVER (PARTITION BY m.test_id, m.topic
+    ORDER BY (e.user_id % 16) || CAST(m."offset" AS VARCHAR), e.user_id % 16) AS position
+  FROM msg m JOIN ev e ON e.event_id = m."offset")
 {_digests('pos')}""",
     "slice_compare": f"WITH {_compared()} SELECT * FROM compared",
     "order_verdict": f"""WITH {_compared()}
@@ -234,13 +255,22 @@ FROM msg GROUP BY test_id""",
     "validation_report": f"WITH {_report()} SELECT * FROM report UNION ALL {MISSING}",
     "validation_report_strict": f"WITH {_report('md5(payload)')} SELECT * FROM report",
     "validation_report_fingerprint": f"WITH {_report()} SELECT * FROM report UNION ALL {MISSING}",
+    "validation_report_gapless": f"""WITH {LINES}, runs(test_id, topic) AS (
+  VALUES ('lines', 'lines'), ('lines', 'copied'), ('edited', 'lines'), ('edited', 'copied')),
+pos AS (
+  SELECT test_id, CASE runs.topic WHEN 'lines' THEN 'src' ELSE 'dst' END AS topic,
+         CASE WHEN test_id = 'edited' AND runs.topic = 'copied' AND "partition" = 1 AND "offset" = 2 THEN '!'
+              ELSE payload END AS payload,
+         row_number() OVER (PARTITION BY test_id, runs.topic ORDER BY "partition", "offset") AS position
+  FROM topic_lines CROSS JOIN runs),
+{_verdict()} SELECT * FROM report""",
     "verdict_lines": f"""WITH {_report()}
 SELECT test_id, 0 AS line_no, '***** TEST RESULTS *****' AS line FROM report
 UNION ALL SELECT test_id, 1, count_line FROM report
 UNION ALL SELECT test_id, 2, order_line FROM report
 UNION ALL SELECT 'absent', 0, 'There is no such test ''absent'''""",
     # Latencies
-    "latency_scan": f"WITH {REC} SELECT * FROM rec",
+    "latency_scan": f"WITH {REC} SELECT * FROM rec WHERE arrived_us >= 1705320000000000",
     "tag_extract": f"""WITH {REC}
 SELECT event_id, CASE WHEN topic <> 'signup' THEN topic END AS topic,
   CASE WHEN topic <> 'signup' THEN "partition" END AS "partition",
@@ -260,13 +290,13 @@ UNION ALL
 SELECT topic, "partition", consumerid, 'produced-created', created + 5 - produced, arrived_us FROM rec WHERE topic = 'click'""",
     "latency_buckets": f"WITH {BUCKETS} SELECT * FROM buckets",
     **{
-        f"rolling_{n}{unit}": f"WITH {BUCKETS} {_rolling(unit, n, 1 if unit == 'second' else 60)}"
+        f"rolling_{n}{unit}": f"WITH {BUCKETS} {(_rolling if n * (unit == 'minute') <= 1 else _spans)(unit, n)}"
         for unit, n in WINDOWS
     },
-    "rolling_all_windows": f"WITH {BUCKETS} " + " UNION ALL ".join(_rolling(unit, n, 60) for unit, n in WINDOWS),
-    "rolling_10second_native": f"WITH {BUCKETS} {_rolling('second', 10, 1)}",
+    "rolling_all_windows": f"WITH {BUCKETS} " + " UNION ALL ".join(_spans(unit, n) for unit, n in WINDOWS),
+    "rolling_10second_native": f"WITH {BUCKETS} {_rolling('second', 10)}",
     "latency_from_frames": f"""WITH {BUCKETS}, valid AS (SELECT * FROM buckets WHERE topic <> 'error')
-{_rolling('minute', 1, 60, 'valid')}""",
+{_rolling('second', 10, 'valid')}""",
     # Results
     "events_upsert": f"""WITH {RESULTS}
 SELECT topic, "partition", consumerid, eventname, "second", operation,
@@ -282,11 +312,11 @@ SELECT topic, "second", "partition", consumerid, eventname, operation, {_event_j
     "result_topic_values": f"""WITH {RESULTS}
 SELECT 'dataset-latencies' AS topic, {_event_json({})} AS json FROM results""",
     "series_long": f"""WITH {LONG} SELECT *, "second" * 1000000 AS time FROM long""",
-    "series_points": _points('consumerid, field, "partition", eventname'),
-    "series_points_merged": _points('consumerid, field, "partition"'),
+    "series_points": _points('topic, consumerid, field, "partition", eventname'),
+    "series_points_merged": _points('topic, consumerid, field, "partition"'),
     "series_extent": f"""WITH {LONG}
-SELECT consumerid, field, min("second") AS first_second, max("second") AS last_second,
-  min(y) AS lowest, max(y) AS highest FROM long GROUP BY consumerid, field""",
+SELECT topic, consumerid, field, min("second") AS first_second, max("second") AS last_second,
+  min(y) AS lowest, max(y) AS highest FROM long GROUP BY topic, consumerid, field""",
     # Records
     "wire_frame_split": f"""WITH {FRAMES}
 SELECT event_id, CAST(schema_id AS BIGINT) AS schema_id, body, problem FROM split""",
@@ -315,7 +345,7 @@ FROM events""",
     "lines_to_messages": f"WITH {LINES} SELECT * FROM topic_lines",
     "line_topic_values": f"""WITH {LINES}
 SELECT 'dataset' AS topic, md5(line) AS value_md5, octet_length(encode(line)) AS n_bytes FROM ls""",
-    "line_export": f"WITH {LINES} SELECT doc_id, line_no, line || chr(10) AS line FROM ls",
+    "line_export": f"WITH {LINES} SELECT line || chr(10) AS line FROM ls",
     "replay": "SELECT event_id, props, CAST(r AS INTEGER) AS round FROM events CROSS JOIN range(3) AS x(r)",
     "synthetic_lines": f"""WITH {_synthetic(('relay', 10, 200))}
 SELECT id, {_text('relay', 'id', 'n')} AS line FROM sized""",
@@ -334,9 +364,10 @@ FROM before WHERE b < 10000000""",
 SELECT CAST(0 AS BIGINT) AS id, t // 1000 * 1000000 AS created, {_text('relay', 'event_id', '191')} AS value FROM ev""",
     # Streams
     "stream_message_archive": f"""WITH {EV}
-SELECT 'faithful' AS test_id, 'src' AS topic, count(*) AS total,
-  count(*) FILTER (WHERE event_type <> 'error') AS archived FROM ev""",
-    "stream_latency_buckets": f"WITH {CLOSED} SELECT * FROM closed",
-    "stream_rolling_10second": f"""WITH {CLOSED}, rolled AS ({_rolling('second', 10, 1, 'closed')})
-SELECT * FROM rolled WHERE "second" <= (SELECT max("second") + 1 FROM closed)""",
+SELECT 'faithful' AS test_id, 'src' AS topic, part AS "partition", event_id AS "offset", payload,
+  (SELECT count(*) FROM ev) AS total
+FROM ev WHERE event_type <> 'error'""",
+    "stream_relay_check": f"WITH {_report()} SELECT *, true AS ended FROM report WHERE test_id = 'dropped'",
+    "stream_latency_buckets": f"WITH {BUCKETS} SELECT * FROM buckets",
+    "stream_rolling_10second": f"WITH {BUCKETS} {_rolling('second', 10)}",
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +17,13 @@ from relaygauge.operators import archive, digests, latencies, lines, positions,
 from relaygauge.plans.dashboard import history_json as dashboard_history
 from relaygauge.plans.dataset import dataset_topic as numbered_dataset
 from relaygauge.plans.latency import decode_latency_topic, latency_report
+from relaygauge.plans.relay import check_relay
 from relaygauge.plans.validation import validate, validate_by_fingerprint
 from relaygauge.schemas import EVENT_KEY, LATENCY_EVENT, TIMINGS
 from relaygauge.session import shared_folder
-from relaygauge.sinks.text import report_lines
+from relaygauge.sinks import tables
+from relaygauge.sinks import topics as topic_sinks
+from relaygauge.sinks.text import report_lines, write_lines
 from relaygauge.sinks.topics import event_values, framed_values, line_values
 from relaygauge.sources import catalogue, records, results, topics
 from relaygauge.streaming import DRAIN
@@ -32,6 +34,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 HISTORY_NOW = 1_705_320_000  # 2024-01-15 12:00:00
+SECOND_BY_SECOND = (("second", 10), ("second", 30), ("minute", 1))
 LINE_SHAPE = synthetic.Shape("relay", 10, 200)
 DATASET_SHAPE = synthetic.Shape("relay", 1024, 5000)
 DATASET_BYTES = 10_000_000
@@ -48,8 +51,15 @@ def query(function: Query) -> Query:
 @query
 def topic_scan(spark, folder):
     events = fx.events(spark, folder)
-    copy = fx.topic_rows(events.where(F.col("event_id") != fx.CHANGED_EVENT), "dst")
-    return archive.project_messages(topics.topics_union(fx.topic_rows(events, "src"), copy), "dropped")
+    """Both topics as files; errors are bytes that are no UTF-8."""
+    root = shared_folder(spark, "topics")
+    broken = F.when(F.col("event_type") == "error", F.concat(F.unhex(F.lit("FF")), utf8_bytes("props")))
+    rows = fx.topic_rows(events.withColumn("_broken", broken), "src", broken=F.col("_broken"))
+    topic_sinks.write_topic(rows, "parquet", f"{root}/src")
+    copy = rows.where(F.col("offset") != fx.CHANGED_EVENT).withColumn("topic", F.lit("dst"))
+    topic_sinks.write_topic(copy, "parquet", f"{root}/dst")
+    read = [topics.read_topic(spark, "parquet", f"{root}/{t}") for t in ("src", "dst")]
+    return archive.project_messages(topics.topics_union(*read), "dropped")
 
 
 @query
@@ -154,7 +164,8 @@ def slice_digests_dense(spark, folder):
 
 @query
 def slice_digests_rowkey(spark, folder):
-    return digests.slice_digests_by_row_key(fx.archive(spark, folder))
+    """Twelve and more partitions: joined keys collide and follow by partition."""
+    return digests.slice_digests_by_row_key(fx.archive(spark, folder, partitions=16))
 
 
 def _compared(spark, folder):
@@ -197,6 +208,20 @@ def validation_report_fingerprint(spark, folder):
     return validate_by_fingerprint(messages, fx.tests(spark), fx.MARKER, wanted=_wanted(spark))
 
 
+@query
+def validation_report_gapless(spark, folder):
+    """The fingerprint path where offsets have no gaps, in the lines of the documents."""
+    source = archive.project_messages(_line_topic(spark, folder), "lines")
+    copy = source.withColumn("topic", F.lit("copied"))
+    edited = (F.col("partition") == 1) & (F.col("offset") == 2)
+    broken = copy.withColumns(
+        {"test_id": F.lit("edited"), "payload": F.when(edited, F.lit("!")).otherwise(F.col("payload"))}
+    )
+    messages = source.unionByName(copy).unionByName(source.withColumn("test_id", F.lit("edited"))).unionByName(broken)
+    tests = archive.register_tests(spark, [("lines", "lines", "copied"), ("edited", "lines", "copied")])
+    return validate_by_fingerprint(messages, tests)
+
+
 @query
 def verdict_lines(spark, folder):
     return report_lines(validation_report(spark, folder))
@@ -219,7 +244,7 @@ def _flat_record():
 
 @query
 def latency_scan(spark, folder):
-    start = 1_704_067_200_000_000  # 2024-01-01, before the first event
+    start = HISTORY_NOW * 1_000_000  # in the midst of the events
     return topics.from_latest(fx.records(spark, folder), start, "arrived_at").select(*_flat_record())
 
 
@@ -251,22 +276,32 @@ def latency_buckets(spark, folder):
     return fx.buckets(spark, folder)
 
 
-def _rolling(unit, length, emit_every):
+def _rolling(unit, length):
+    def run(spark, folder):
+        return rolling.rolling_averages(fx.buckets(spark, folder), [(unit, length)])
+
+    run.__name__ = f"rolling_{length}{unit}"
+    return run
+
+
+def _rolling_spans(unit, length):
+    """Long windows without loss: windows at consecutive seconds over the same buckets are one row."""
+
     def run(spark, folder):
-        return rolling.rolling_averages(fx.buckets(spark, folder), [(unit, length)], emit_every)
+        return rolling.rolling_spans(fx.buckets(spark, folder), [(unit, length)])
 
     run.__name__ = f"rolling_{length}{unit}"
     return run
 
 
 for _unit, _length in rolling.WINDOWS:
-    query(_rolling(_unit, _length, 1 if _unit == "second" else 60))
+    query((_rolling if (_unit, _length) in SECOND_BY_SECOND else _rolling_spans)(_unit, _length))
 
 
 @query
 def rolling_all_windows(spark, folder):
-    """All six windows in one pass over the buckets."""
-    return rolling.rolling_averages(fx.buckets(spark, folder), emit_every=60)
+    """All six windows in one pass over the buckets, every second of them."""
+    return rolling.rolling_spans(fx.buckets(spark, folder))
 
 
 @query
@@ -276,12 +311,11 @@ def rolling_10second_native(spark, folder):
 
 @query
 def latency_from_frames(spark, folder):
-    """Framed JSON records to minute averages; frames of error events have another format."""
+    """Framed JSON records to averages of ten seconds; frames of error events have another format."""
     framed = fx.framed_records(spark, folder)
     schema = records.RecordSchema(7, "latency", fields=fx.RECORD_FIELDS, required="timings")
-    known = spark.createDataFrame([(7, "latency", "record")], "schema_id BIGINT, name STRING, kind STRING")
-    decoded = decode_latency_topic(framed, known, [schema])
-    return latency_report(decoded.where("problem IS NULL"), [("minute", 1)], emit_every=60)
+    decoded = decode_latency_topic(framed, [schema])
+    return latency_report(decoded.where("problem IS NULL"), [("second", 10)])
 
 
 # Results
@@ -291,11 +325,11 @@ def latency_from_frames(spark, folder):
 def events_upsert(spark, folder):
     """Events evaluated again for one topic replace the first ones."""
     first = fx.results(spark, folder)
-    versions = F.sequence(F.lit(0).cast("bigint"), (F.col("topic") == "purchase").cast("bigint"))
-    versioned = first.select("*", F.explode(versions).alias("version")).withColumn(
-        "value", F.col("value") + F.col("version")
-    )
-    return archive.latest_by_key(versioned, EVENT_KEY, "version").select(*LATENCY_EVENT.names)
+    again = first.where("topic = 'purchase'").withColumn("value", F.col("value") + 1)
+    path = shared_folder(spark, "events")
+    tables.write_batch(first, path, 0, ["topic"])
+    tables.write_batch(again, path, 1, ["topic"])
+    return tables.read_table(spark, path, LATENCY_EVENT, EVENT_KEY)
 
 
 @query
@@ -335,7 +369,7 @@ def series_long(spark, folder):
 
 def _points(spark, folder, merge):
     charted = series.series_points(series.chart_events(fx.results(spark, folder)), merge)
-    text = F.transform("points", lambda p: F.concat_ws(":", p["second"].cast("string"), p["eventname"], p["topic"], p["y"].cast("string")))
+    text = F.transform("points", lambda p: F.concat_ws(":", p["second"].cast("string"), p["eventname"], p["y"].cast("string")))
     return charted.withColumn("points", F.array_join(text, ";"))
 
 
@@ -377,13 +411,16 @@ _TARGET = StructType([StructField("id", LongType()), StructField("timings", TIMI
 
 @query
 def record_decode(spark, folder):
-    schemas = [records.RecordSchema(1, "counter", fields=_COUNTER)]
-    known = spark.createDataFrame(
-        [(1, "counter", "record"), (2, "label", "string"), (3, "blob", "bytes")],
-        "schema_id BIGINT, name STRING, kind STRING",
-    )
+    """Schemas come from their texts, as a catalogue holds them."""
+    texts = [
+        ("a", '{"type":"record","name":"counter","fields":[{"name":"k","type":["null","long"]}]}'),
+        ("b", '{"type":"string","name":"label"}'),
+        ("c", '{"type":"bytes","name":"blob"}'),
+    ]
+    known = catalogue.catalogue(spark.createDataFrame(texts, "origin STRING, value STRING"))
+    schemas = catalogue.record_schemas(known, {"counter": 1, "label": 2, "blob": 3})
     framed = records.split_frames(fx.frames(spark, folder))
-    return records.decode_records(framed, known, schemas, _COUNTER).select(
+    return records.decode_records(framed, schemas, _COUNTER).select(
         "event_id", "name", F.col("record")["k"].alias("k"), "text", F.hex("bytes").alias("bytes"), "problem"
     )
 
@@ -445,7 +482,10 @@ def line_topic_values(spark, folder):
 
 @query
 def line_export(spark, folder):
-    return lines.newline_terminated(fx.document_lines(spark, folder))
+    """The export as its files hold it; lines come back in no order."""
+    root = shared_folder(spark, "export")
+    write_lines(fx.document_lines(spark, folder).select("line"), root)
+    return spark.read.text(root).select(F.concat("value", F.lit("\n")).alias("line"))
 
 
 @query
@@ -486,19 +526,6 @@ def metric_records(spark, folder):
 # Streams, each drained into tables below the shared folder
 
 
-@contextmanager
-def _state_sized_to_cores(spark):
-    """A stream keeps the number of state partitions it starts with, and Spark does not merge
-    small ones; a session's default for large batch shuffles is too many for a drained check."""
-    setting = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(min(int(before), spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
-
-
 def _event_stream(spark, folder):
     schema = fx.events(spark, folder).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
@@ -516,17 +543,36 @@ def stream_message_archive(spark, folder):
         F.col("event_id").alias("offset"),
         F.coalesce(marked, utf8_bytes(fx.payload())).alias("value"),
     )
-    with _state_sized_to_cores(spark):
-        archive_stream(envelopes, "faithful", fx.MARKER, root, f"{root}/checkpoint", DRAIN).awaitTermination()
-    archived = read_messages(spark, root).groupBy("test_id", "topic").agg(F.count(F.lit(1)).alias("archived"))
-    return read_counters(spark, root).join(archived, ["test_id", "topic"])
+    archive_stream(envelopes, "faithful", fx.MARKER, root, f"{root}/checkpoint", DRAIN).awaitTermination()
+    return read_messages(spark, root).join(read_counters(spark, root), ["test_id", "topic"])
+
+
+@query
+def stream_relay_check(spark, folder):
+    """Both topics streamed and archived until every partition has ended, then validated."""
+    root = shared_folder(spark, "relay")
+    events = fx.events(spark, folder)
+    copy = events.where(F.col("event_id") != fx.CHANGED_EVENT)
+    tests = archive.register_tests(spark, [("dropped", "src", "dst")])
+    partitions = {"src": fx.PARTITIONS, "dst": fx.PARTITIONS}
+    ends = archive.marker_values(tests, partitions, fx.MARKER).select(
+        "topic",
+        "partition",
+        F.lit(fx.AFTER_ALL_OFFSETS).alias("offset"),
+        F.lit(None).cast("timestamp").alias("timestamp"),
+        F.lit(None).cast("binary").alias("key"),
+        "value",
+    )
+    for rows in (fx.topic_rows(events, "src"), fx.topic_rows(copy, "dst"), ends):
+        topic_sinks.write_topic(rows, "parquet", f"{root}/topics")
+    stream = topics.stream_topic(spark, "parquet", f"{root}/topics")
+    return check_relay(stream, tests, "dropped", fx.MARKER, f"{root}/archive", f"{root}/checkpoint", partitions, DRAIN)
 
 
 def _latency_job(spark, folder):
     root = shared_folder(spark, "latency")
     stream = fx.records_of(_event_stream(spark, folder)).select("tag", "timings", "arrived_at")
-    with _state_sized_to_cores(spark):
-        latency_stream(stream, root, f"{root}/checkpoint", [("second", 10)], trigger=DRAIN).awaitTermination()
+    latency_stream(stream, root, f"{root}/checkpoint", [("second", 10)], trigger=DRAIN).awaitTermination()
     return root
 
 

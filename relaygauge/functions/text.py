@@ -16,6 +16,14 @@ def utf8_text(value: Column) -> Column:
     return F.make_valid_utf8(value.cast("string"))
 
 
+def faithful_text(value: Column) -> Column:
+    """Bytes as text that differs where they do: U+FFFD and the bytes in hexadecimal where they are
+    no UTF-8, or begin as such a text would."""
+    text = value.cast("string")
+    plain = F.is_valid_utf8(text) & ~F.startswith(text, F.lit("\ufffd"))
+    return F.when(value.isNotNull(), F.when(plain, text).otherwise(F.concat(F.lit("\ufffd"), F.hex(value))))
+
+
 def _with_newlines(text: Column) -> Column:
     """Every kind of line break as a newline, so that lines split on one character."""
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))

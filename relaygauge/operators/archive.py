@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaygauge.functions.keys import row_key
-from relaygauge.functions.text import utf8_text
+from relaygauge.functions.text import faithful_text, utf8_bytes
 from relaygauge.schemas import MESSAGE, MESSAGE_KEY, TEST
 
 SOURCE = "source"
@@ -16,10 +17,10 @@ DESTINATION = "destination"
 
 
 def project_messages(envelopes: DataFrame, test_id: str | Column) -> DataFrame:
-    """Topic rows as messages of one test, the value as text."""
+    """Topic rows as messages of one test, the value as text that loses no byte."""
     run = F.lit(test_id) if isinstance(test_id, str) else test_id
     return envelopes.select(
-        run.alias("test_id"), "topic", "partition", "offset", utf8_text(F.col("value")).alias("payload")
+        run.alias("test_id"), "topic", "partition", "offset", faithful_text(F.col("value")).alias("payload")
     )
 
 
@@ -32,20 +33,36 @@ def drop_markers(messages: DataFrame, marker: str) -> DataFrame:
     return messages.where(~is_marker(marker))
 
 
-def end_markers(tests: DataFrame, partitions: int, marker: str) -> DataFrame:
-    """One marker for each partition of both topics of each test."""
-    if partitions < 1:
+Partitions = int | Mapping[str, int]
+
+
+def end_markers(tests: DataFrame, partitions: Partitions, marker: str) -> DataFrame:
+    """One marker for each partition of both topics of each test.
+
+    ``partitions`` is the number of each topic's, by its name, or one number for all topics.
+    """
+    counts = [partitions] if isinstance(partitions, int) else list(partitions.values())
+    if not counts or min(counts) < 1:
         raise ValueError("a topic has at least one partition")
     topics = F.explode(F.array("source_topic", "destination_topic")).alias("topic")
+    number = F.lit(partitions) if isinstance(partitions, int) else F.lit(None).cast("int")
+    for topic, n in {} if isinstance(partitions, int) else partitions.items():
+        number = F.when(F.col("topic") == topic, n).otherwise(number)
     return tests.select("test_id", topics).select(
         "test_id",
         "topic",
-        F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))).alias("partition"),
+        F.explode(F.sequence(F.lit(0), number - 1)).alias("partition"),
         F.lit(marker).alias("payload"),
     )
 
 
-def stream_progress(messages: DataFrame, tests: DataFrame, partitions: int, marker: str) -> DataFrame:
+def marker_values(tests: DataFrame, partitions: Partitions, marker: str) -> DataFrame:
+    """The end markers as rows for a topic: (topic, partition, value)."""
+    markers = end_markers(tests, partitions, marker).select("topic", "partition").distinct()
+    return markers.select("topic", "partition", utf8_bytes(F.lit(marker)).alias("value"))
+
+
+def stream_progress(messages: DataFrame, tests: DataFrame, partitions: Partitions, marker: str) -> DataFrame:
     """Markers seen and whether reading is done, for each expected (test, topic, partition).
 
     A partition is done with its first marker, so copied markers do no harm and the two topics
@@ -56,7 +73,12 @@ def stream_progress(messages: DataFrame, tests: DataFrame, partitions: int, mark
         .groupBy("test_id", "topic", "partition")
         .agg(F.count(F.lit(1)).alias("markers"))
     )
-    expected = end_markers(tests, partitions, marker).drop("payload")
+    return expected_progress(seen, tests, partitions)
+
+
+def expected_progress(seen: DataFrame, tests: DataFrame, partitions: Partitions) -> DataFrame:
+    """Counted markers (test, topic, partition, markers) against the partitions that should show one."""
+    expected = end_markers(tests, partitions, "").drop("payload")
     markers = F.coalesce("markers", F.lit(0))
     return expected.join(seen, ["test_id", "topic", "partition"], "left").select(
         "test_id", "topic", "partition", markers.alias("markers"), (markers > 0).alias("done")
@@ -98,12 +120,16 @@ def archive_messages_by_row_key(messages: DataFrame, version: str) -> DataFrame:
     return latest_by_key(keyed, ["id"], version)
 
 
-def register_tests(spark: SparkSession, tests: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """Test rows (test_id, source_topic, destination_topic) to append to the registry."""
-    for test in tests:
-        if len(test) != 3 or not all(test):
-            raise ValueError("a test needs an id, a source topic and a destination topic")
-    return spark.createDataFrame(list(tests), TEST)
+def register_tests(spark: SparkSession, tests: Sequence[tuple[str, ...]]) -> DataFrame:
+    """Test rows (test_id, source_topic, destination_topic) to append to the registry.
+
+    A test given by its topics alone gets an id of its own.
+    """
+    rows = [tuple(test) if len(test) == 3 else (str(uuid4()), *test) for test in tests]
+    for row in rows:
+        if len(row) != 3 or not all(row):
+            raise ValueError("a test needs a source topic and a destination topic, and an id if any")
+    return spark.createDataFrame(rows, TEST)
 
 
 def lookup_tests(tests: DataFrame, wanted: DataFrame) -> DataFrame:

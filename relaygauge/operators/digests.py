@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relaygauge.operators.archive import DESTINATION, SOURCE, test_roles
+from relaygauge.operators.archive import DESTINATION, SOURCE, latest_by_key, test_roles
 from relaygauge.operators.positions import (
     SLICE_SIZE,
     TOPIC_KEY,
@@ -16,9 +16,10 @@ from relaygauge.operators.positions import (
     positions_in_slices,
     slice_number,
 )
+from relaygauge.schemas import MESSAGE_KEY
 
 
-def _with_text(messages: DataFrame, strict: bool) -> DataFrame:
+def _with_text(messages: DataFrame, strict: bool, *more: str) -> DataFrame:
     """Messages reduced to what a digest needs, as ``_text``.
 
     In strict mode that is the digest of each payload, so that neither a moved message boundary
@@ -26,7 +27,7 @@ def _with_text(messages: DataFrame, strict: bool) -> DataFrame:
     """
     text = F.coalesce("payload", F.lit(""))
     return messages.select(
-        *TOPIC_KEY, "partition", "offset", (F.md5(text) if strict else text).alias("_text")
+        *TOPIC_KEY, "partition", "offset", (F.md5(text) if strict else text).alias("_text"), *more
     )
 
 
@@ -68,10 +69,19 @@ def slice_digests(messages: DataFrame, slice_size: int = SLICE_SIZE, strict: boo
 
 
 def digests_of_slices(
-    messages: DataFrame, slices: DataFrame, slice_size: int = SLICE_SIZE, strict: bool = False
+    messages: DataFrame,
+    slices: DataFrame,
+    slice_size: int = SLICE_SIZE,
+    keys: DataFrame | None = None,
+    version: str | None = None,
 ) -> DataFrame:
-    """The digests of some ``slices`` (test_id, slice) only; other payloads are not shuffled."""
-    counted, buckets = positions_in_slices(_with_text(messages, strict), slices, slice_size)
+    """The digests of some ``slices`` (test_id, slice) only; other payloads are not shuffled.
+
+    Of messages with a ``version`` the newest of each counts; ``keys`` then has each message once.
+    """
+    texts = _with_text(messages, False, *([version] if version else []))
+    newest = (lambda chosen: latest_by_key(chosen, MESSAGE_KEY, version)) if version else (lambda chosen: chosen)
+    counted, buckets = positions_in_slices(texts, slices, slice_size, keys, newest)
     return _digest(counted, buckets, slice_size).join(slices, ["test_id", "slice"], "left_semi")
 
 
@@ -85,21 +95,31 @@ def slice_digests_dense(messages: DataFrame, slice_size: int = SLICE_SIZE, stric
     )
 
 
-def slice_fingerprints(messages: DataFrame, slice_size: int = SLICE_SIZE, dense: bool = False) -> DataFrame:
-    """As ``slice_digests``, with 128-bit prints of the messages' places and payloads as digests.
+def message_prints(messages: DataFrame, version: str | None = None) -> DataFrame:
+    """The keys of messages with two 64-bit prints of the payload, made where the message lies.
 
-    Prints of messages combine in any order, so tasks combine theirs before the shuffle.  With
-    ``dense`` offsets no message is shuffled at all, else only its print and place.
+    Of messages with a ``version`` the newest of each counts: prints settle that, not payloads.
     """
     text = F.coalesce("payload", F.lit(""))
     prints = messages.select(
-        *TOPIC_KEY,
-        "partition",
-        "offset",
+        *MESSAGE_KEY,
         F.xxhash64(text).alias("_print0"),
         F.xxhash64(F.lit(1), text).alias("_print1"),
+        *([version] if version else []),
     )
-    placed = dense_positions(prints) if dense else message_positions(prints)
+    return latest_by_key(prints, MESSAGE_KEY, version) if version else prints
+
+
+def slice_fingerprints(
+    prints: DataFrame, slice_size: int = SLICE_SIZE, dense: bool = False, bounds: DataFrame | None = None
+) -> DataFrame:
+    """As ``slice_digests``, with 128-bit prints of the messages' places and payloads as digests.
+
+    ``prints`` comes from ``message_prints``.  Prints of messages combine in any order, so tasks
+    combine theirs before the shuffle.  They rest on a fast hash, not a cryptographic one: chance
+    makes no two alike, but someone who chooses payloads could.  Use ``strict`` digests against that.
+    """
+    placed = dense_positions(prints, bounds) if dense else message_positions(prints)
     combined = [F.hex(F.bit_xor(F.xxhash64("position", f"_print{i}"))) for i in (0, 1)]
     return (
         placed.withColumn("slice", slice_number(F.col("position"), slice_size))

@@ -30,40 +30,39 @@ def _emissions(first: Column, end: Column, every: int) -> Column:
     return F.sequence(start, end - 1, F.lit(every).cast("bigint"))
 
 
-def rolling_averages(
+def rolling_spans(
     buckets: DataFrame,
     windows: Sequence[tuple[str, int]] = WINDOWS,
-    emit_every: int = 1,
     block_seconds: int = BLOCK_SECONDS,
-    between: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Latency events: the truncated average and count of each non-empty window.
+    """(series, operation, from, until, value, cnt): all non-empty windows without loss, those that
+    end at consecutive seconds over the same buckets as one row.
 
-    ``second`` is the end of the window; windows end at multiples of ``emit_every`` and, if
-    ``between`` is given, after its first and not after its last second.
+    A bucket starts and ends at most one row per window, however long that is; rows are cut at
+    blocks of time.
     """
-    if emit_every < 1:
-        raise ValueError("emit_every is at least one second")
     spans = [(average_label(unit, n), window_seconds(unit, n)) for unit, n in windows]
     if block_seconds < max(span for _, span in spans):
         raise ValueError("a block is at least as long as the longest window")
 
+    # Shuffled as they are, a row per bucket and block it is seen from; windows and changes
+    # unfold where the series of a block lies.
+    longest = max(span for _, span in spans)
+    enter = F.col("second") + 1
+    reach = F.sequence(int_div(enter, block_seconds), int_div(enter + longest - 1, block_seconds))
+    placed = buckets.select("*", F.explode(reach).alias("block")).repartition(*SERIES_KEY, "block")
     span_rows = F.array(
         *[F.struct(F.lit(o).alias("operation"), F.lit(s).cast("bigint").alias("span")) for o, s in spans]
     )
-    enter = F.col("second") + 1
     leave = enter + F.col("span")
-    placed = buckets.select("*", F.inline(span_rows)).select(
-        "*",
-        F.explode(F.sequence(int_div(enter, block_seconds), int_div(leave - 1, block_seconds))).alias("block"),
-    )
     start = F.col("block") * block_seconds
     end = start + block_seconds
     changes = F.array(
         F.struct(F.greatest(enter, start).alias("at"), F.col("total").alias("dt"), F.col("cnt").alias("dc")),
         F.struct(leave.alias("at"), (-F.col("total")).alias("dt"), (-F.col("cnt")).alias("dc")),
     )
-    changed = placed.select(*SERIES_KEY, "operation", "block", F.inline(changes)).where(F.col("at") < end)
+    seen = placed.select("*", F.inline(span_rows)).where((enter < end) & (leave > start))
+    changed = seen.select(*SERIES_KEY, "operation", "block", F.inline(changes)).where(F.col("at") < end)
 
     series = W.partitionBy(*SERIES_KEY, "operation", "block").orderBy("at")
     upto = series.rangeBetween(W.unboundedPreceding, W.currentRow)
@@ -75,20 +74,38 @@ def rolling_averages(
         F.sum("dt").over(upto).alias("total"),
         F.sum("dc").over(upto).alias("cnt"),
     )
-    if between is not None:
-        after, last = between
-        states = states.withColumns(
-            {"at": F.greatest("at", F.lit(after + 1)), "until": F.least("until", F.lit(last + 1))}
-        )
     # Changes at one instant all see its final state; only the last of them spans time.
-    first_emission = int_div(F.col("at") + (emit_every - 1), emit_every) * emit_every
+    return states.where((F.col("cnt") > 0) & (F.col("at") < F.col("until"))).select(
+        *SERIES_KEY,
+        "operation",
+        F.col("at").alias("from"),
+        "until",
+        int_div(F.col("total"), F.col("cnt")).alias("value"),
+        "cnt",
+    )
+
+
+def rolling_averages(
+    buckets: DataFrame,
+    windows: Sequence[tuple[str, int]] = WINDOWS,
+    emit_every: int = 1,
+    block_seconds: int = BLOCK_SECONDS,
+) -> DataFrame:
+    """Latency events: the truncated average and count of each non-empty window.
+
+    ``second`` is the end of the window; windows end at multiples of ``emit_every``.
+    """
+    if emit_every < 1:
+        raise ValueError("emit_every is at least one second")
+    states = rolling_spans(buckets, windows, block_seconds)
+    first_emission = int_div(F.col("from") + (emit_every - 1), emit_every) * emit_every
     return (
-        states.where((F.col("cnt") > 0) & (first_emission < F.col("until")))
+        states.where(first_emission < F.col("until"))
         .select(
             *SERIES_KEY,
-            F.explode(_emissions(F.col("at"), F.col("until"), emit_every)).alias("second"),
+            F.explode(_emissions(F.col("from"), F.col("until"), emit_every)).alias("second"),
             "operation",
-            int_div(F.col("total"), F.col("cnt")).alias("value"),
+            "value",
             "cnt",
         )
         .select(*LATENCY_EVENT.names)

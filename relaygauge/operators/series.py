@@ -35,13 +35,13 @@ def series_long(events: DataFrame) -> DataFrame:
 
 
 def series_points(events: DataFrame, merge_eventnames: bool = False) -> DataFrame:
-    """Ordered points of each line of each chart, one row per line and hour.
+    """Ordered points of each line of each topic's chart, one row per line and hour.
 
     The hour bounds the size of an array.  ``merge_eventnames`` draws all pairs of a partition
     as one line.
     """
-    line = ["consumerid", "field", "partition"] + ([] if merge_eventnames else ["eventname"])
-    point = F.struct("second", "eventname", "topic", "y")
+    line = ["topic", "consumerid", "field", "partition"] + ([] if merge_eventnames else ["eventname"])
+    point = F.struct("second", "eventname", "y")
     return (
         series_long(events)
         .groupBy(*line, (int_div(F.col("second"), HISTORY_SECONDS) * HISTORY_SECONDS).alias("hour"))
@@ -50,10 +50,10 @@ def series_points(events: DataFrame, merge_eventnames: bool = False) -> DataFram
 
 
 def series_extent(events: DataFrame) -> DataFrame:
-    """Axis bounds of each chart: a chart per consumer and field."""
+    """Axis bounds of each chart: a chart per topic, consumer and field."""
     return (
         series_long(events)
-        .groupBy("consumerid", "field")
+        .groupBy("topic", "consumerid", "field")
         .agg(
             F.min("second").alias("first_second"),
             F.max("second").alias("last_second"),

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 # Widths of the buckets of a whole-number order, finest first, as powers of two.
 BUCKET_BITS = (15, 27)
+# Bits by which a search narrows the range of an order down at a time.
+STEP_BITS = 14
 
 
 def whole_number_levels(
@@ -127,13 +129,16 @@ def cut_at_budget(rows: DataFrame, order: str, size: Column, budget: int) -> Dat
 
     The last row kept may overshoot the budget, by less than its own size.  Rows are never
     shuffled: totals per bucket tell which bucket holds the cut, a running sum inside that one
-    bucket finds it, and the scan then filters on a plain bound.
+    bucket finds it, and the scan then filters on a plain bound.  The range of ``order`` says how
+    often buckets are divided, so that each step has STEP_BITS bits of parts whatever numbers are used.
     """
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        return rows
     sized = rows.select(F.col(order).alias("_at"), size.cast("bigint").alias("_value"))
     spent = F.lit(0).cast("bigint")
-    # Each window below sees one bucket's parts only, so one task is enough: the coarse
-    # buckets of the whole order, the fine ones of one coarse, the rows of one fine bucket.
-    for bits in reversed(BUCKET_BITS):
+    # Each window below sees the parts of one bucket only, so one task is enough.
+    for bits in reversed(range(STEP_BITS, (high - low).bit_length(), STEP_BITS)):
         bucket = F.shiftright(F.col("_at"), bits)
         sums = sized.groupBy(bucket.alias("_at")).agg(F.sum("_value").alias("_value"))
         last = _last_below(sums, spent, budget)

@@ -18,7 +18,6 @@ _RECORD = StructType([f for f in LATENCY_RECORD.fields if f.name != "arrived_at"
 
 def decode_latency_topic(
     envelopes: DataFrame,
-    catalogue: DataFrame,
     schemas: Sequence[RecordSchema],
     decode: Decoder = json_body,
 ) -> DataFrame:
@@ -26,7 +25,7 @@ def decode_latency_topic(
 
     Timings may be an array of marks or a map of them.  Works on streams as well.
     """
-    decoded = decode_records(split_frames(envelopes), catalogue, schemas, _RECORD, decode)
+    decoded = decode_records(split_frames(envelopes), schemas, _RECORD, decode)
     return decoded.select("record.*", F.col("timestamp").alias("arrived_at"), "problem")
 
 

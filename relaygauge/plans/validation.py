@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relaygauge.operators.archive import drop_markers, lookup_tests
-from relaygauge.operators.digests import compare_slices, digests_of_slices, slice_digests, slice_fingerprints
-from relaygauge.operators.positions import SLICE_SIZE, has_dense_offsets
+from relaygauge.operators.digests import (
+    compare_slices,
+    digests_of_slices,
+    message_prints,
+    slice_digests,
+    slice_fingerprints,
+)
+from relaygauge.operators.positions import SLICE_SIZE, has_dense_offsets, partition_bounds
 from relaygauge.operators.verdicts import validation_report
 from relaygauge.session import shared_folder
 
@@ -35,14 +41,16 @@ def validate_by_fingerprint(
     slice_size: int = SLICE_SIZE,
     wanted: DataFrame | None = None,
     folder: str | None = None,
+    version: str | None = None,
 ) -> DataFrame:
     """The report of ``validate``, with payloads shuffled only where topics seem to differ.
 
     A first pass compares slices by prints of their messages, which are made where the
-    messages lie; slices with equal ones have equal text.  Others need not differ, as message
-    boundaries may have moved.  So the first of them in each test is compared by text, which
+    messages lie; slices with equal ones are taken to have equal text.  Others need not differ, as
+    message boundaries may have moved.  So the first of them in each test is compared by text, which
     settles the test if the texts differ; else all others of that test are compared as well.
-    What each pass finds, at most a row per slice, is written below ``folder``.
+    With ``version``, messages are the archive's versions, and prints tell which is the newest.
+    Prints, bounds and what each pass finds are written below ``folder``, so each is made once.
     """
     spark = messages.sparkSession
     folder = folder or shared_folder(spark, "validation")
@@ -53,15 +61,18 @@ def validate_by_fingerprint(
 
     def stored(rows: DataFrame, name: str) -> DataFrame:
         rows.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    prints = stored(message_prints(messages, version), "prints")
+    bounds = stored(partition_bounds(prints), "bounds")
 
     def compare_texts(slices: DataFrame, name: str) -> DataFrame:
-        texts = compare_slices(digests_of_slices(messages, slices, slice_size), found)
+        texts = compare_slices(digests_of_slices(messages, slices, slice_size, prints, version), found)
         return stored(texts.select("test_id", "slice", F.col("same").alias("same_text")), name)
 
-    # Offsets without gaps are the usual case, and then no message is shuffled.
-    prints = slice_fingerprints(messages, slice_size, dense=has_dense_offsets(messages))
-    compared = stored(compare_slices(prints, found), "slices")
+    # Offsets without gaps need no sort.
+    dense = has_dense_offsets(prints, bounds)
+    compared = stored(compare_slices(slice_fingerprints(prints, slice_size, dense, bounds), found), "slices")
     doubtful = compared.where(~F.col("same")).select("test_id", "slice")
     if not doubtful.isEmpty():
         texts = compare_texts(doubtful.groupBy("test_id").agg(F.min("slice").alias("slice")), "first_texts")

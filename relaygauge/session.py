@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+SHARED = "spark.checkpoint.dir"
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **settings: str) -> SparkSession:
     """A session for tests and benchmarks; on a cluster the caller brings its own."""
@@ -26,9 +28,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **setting
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only when the session names none (single-machine tests) a local folder is made.
+    Without that setting only a session on one machine gets a folder, and sets it; executors
+    elsewhere would not see it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get(SHARED, None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{SHARED} names no folder that all executors share")
         base = tempfile.mkdtemp(prefix="relaygauge-")
+        spark.conf.set(SHARED, base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -18,15 +18,16 @@ BATCH = "batch_id"
 
 
 def write_batch(
-    rows: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = (), merge_files: bool = False
+    rows: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = (), files: int | None = None
 ) -> None:
     """Write one batch, replacing what an earlier attempt of the same batch left.
 
-    ``merge_files`` evens out file sizes at the price of a shuffle: for small tables that come
-    from many tasks.
+    With ``files``, rows are shuffled so that each folder gets so many files at most: for small
+    tables that come from many tasks.
     """
-    if merge_files:
-        rows = rows.hint("rebalance", *partition_by)
+    if files is not None:
+        salt = F.pmod(F.xxhash64(*rows.columns), F.lit(files))
+        rows = rows.repartition(*[F.col(c) for c in partition_by], salt)
     (
         rows.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
         .write.mode("overwrite")

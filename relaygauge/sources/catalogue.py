@@ -2,8 +2,38 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    BooleanType,
+    DataType,
+    DoubleType,
+    FloatType,
+    IntegerType,
+    LongType,
+    MapType,
+    StringType,
+    StructField,
+    StructType,
+)
+
+from relaygauge.sources.records import RecordSchema
+
+# The plain types of a schema text.
+PLAIN_TYPES = {
+    "boolean": BooleanType(),
+    "int": IntegerType(),
+    "long": LongType(),
+    "float": FloatType(),
+    "double": DoubleType(),
+    "bytes": BinaryType(),
+    "string": StringType(),
+}
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -28,3 +58,39 @@ def catalogue(texts: DataFrame) -> DataFrame:
         F.col("_schema.fields.name").alias("fields"),
         "definition",
     )
+
+
+def field_type(kind) -> DataType:
+    """The column type of a schema's type: plain, array, map, record, or a union with null."""
+    if isinstance(kind, list):
+        others = [k for k in kind if k != "null"]
+        if len(others) != 1:
+            raise ValueError(f"a union is of one type and null, not {kind}")
+        return field_type(others[0])
+    if isinstance(kind, dict):
+        if kind["type"] == "array":
+            return ArrayType(field_type(kind["items"]))
+        if kind["type"] == "map":
+            return MapType(StringType(), field_type(kind["values"]))
+        if kind["type"] == "record":
+            return StructType([StructField(f["name"], field_type(f["type"])) for f in kind["fields"]])
+        return field_type(kind["type"])
+    if kind not in PLAIN_TYPES:
+        raise ValueError(f"unknown type {kind!r}")
+    return PLAIN_TYPES[kind]
+
+
+def record_schema(schema_id: int, definition: str, required: str | None = None) -> RecordSchema:
+    """A schema text as what ``decode_records`` takes."""
+    parsed = json.loads(definition)
+    kind = parsed if isinstance(parsed, str) else parsed["type"]
+    name = kind if isinstance(parsed, str) else parsed.get("name", kind)
+    if kind == "record":
+        return RecordSchema(schema_id, name, fields=field_type(parsed), required=required, definition=definition)
+    return RecordSchema(schema_id, name, kind, definition=definition)
+
+
+def record_schemas(known: DataFrame, ids: Mapping[str, int]) -> list[RecordSchema]:
+    """The schemas of a catalogue that ``ids`` gives an id to, by name: a row per id is gathered."""
+    rows = known.where(F.col("name").isin(*ids)).select("name", "definition").distinct().collect()
+    return [record_schema(ids[row["name"]], row["definition"]) for row in sorted(rows)]

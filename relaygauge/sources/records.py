@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StructType
+from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from relaygauge.functions.frames import frame_body, frame_problem, frame_schema_id
 from relaygauge.functions.text import utf8_text
@@ -37,11 +37,14 @@ class RecordSchema:
             raise ValueError("a record schema needs fields")
 
 
+CORRUPT = "_corrupt"
 Decoder = Callable[[Column, RecordSchema], Column]
 
 
 def json_body(body: Column, schema: RecordSchema) -> Column:
-    return F.from_json(utf8_text(body), schema.fields)
+    """Fields may be null; a body that is no such record is marked, not taken for nulls."""
+    marked = StructType([*schema.fields.fields, StructField(CORRUPT, StringType())])
+    return F.from_json(utf8_text(body), marked, {"columnNameOfCorruptRecord": CORRUPT})
 
 
 def avro_body(body: Column, schema: RecordSchema) -> Column:
@@ -79,18 +82,23 @@ def conform(record: Column, source: StructType, target: StructType) -> Column:
 
 def decode_records(
     framed: DataFrame,
-    catalogue: DataFrame,
     schemas: Sequence[RecordSchema],
     target: StructType,
     decode: Decoder = json_body,
 ) -> DataFrame:
     """Split frames decoded by their writer schema.
 
-    ``catalogue`` names the known ids (schema_id, name, kind).  Adds ``record`` for record
-    schemas, ``text`` for string and ``bytes`` for byte schemas; what cannot be decoded keeps
-    its row and gets a ``problem``.
+    ``schemas`` are the known ones, a few; their names go into the plan, so no message is joined.
+    Adds ``name`` and ``kind`` of the schema, ``record`` for record schemas, ``text`` for string and
+    ``bytes`` for byte schemas; what cannot be decoded keeps its row and gets a ``problem``.
     """
-    rows = framed.join(catalogue.select("schema_id", "name", "kind"), "schema_id", "left")
+    known = F.lit(None).cast("struct<name:string,kind:string>")
+    for schema in schemas:
+        own = F.struct(F.lit(schema.name).alias("name"), F.lit(schema.kind).alias("kind"))
+        known = F.when(F.col("schema_id") == schema.schema_id, own).otherwise(known)
+    rows = framed.withColumn("_known", known).withColumns(
+        {"name": F.col("_known.name"), "kind": F.col("_known.kind")}
+    ).drop("_known")
     body, kind = F.col("body"), F.col("kind")
     by_id = {s.schema_id: s for s in schemas if s.kind == "record"}
     rows = rows.withColumns(
@@ -99,7 +107,7 @@ def decode_records(
     record = F.lit(None).cast(target)
     for i, schema in by_id.items():
         own = F.col(f"_decoded{i}")
-        record = F.when(_fits(own, schema), conform(own, schema.fields, target)).otherwise(record)
+        record = F.when(_fits(own, decode, schema.required), conform(own, schema.fields, target)).otherwise(record)
     decoded = evaluated_once(rows, "record", record).drop(*[f"_decoded{i}" for i in by_id])
     decoded = decoded.withColumns(
         {"text": F.when(kind == "string", utf8_text(body)), "bytes": F.when(kind == "bytes", body)}
@@ -121,9 +129,10 @@ def evaluated_once(rows: DataFrame, name: str, column: Column) -> DataFrame:
     return rows.select("*", F.explode_outer(F.array(column)).alias(name))
 
 
-def _fits(decoded: Column, schema: RecordSchema) -> Column:
-    """Whether a value was such a record: one that was not decodes to nulls only."""
-    return decoded[schema.required or schema.fields.names[0]].isNotNull()
+def _fits(decoded: Column, decode: Decoder, required: str | None) -> Column:
+    """Whether a value was such a record; a field that is ``required`` must not be null."""
+    whole = decoded.isNotNull() & (decoded[CORRUPT].isNull() if decode is json_body else F.lit(True))
+    return whole & decoded[required].isNotNull() if required else whole
 
 
 def decode_with_fallback(
@@ -135,6 +144,7 @@ def decode_with_fallback(
 ) -> DataFrame:
     """Each value decoded by the first of the schemas that fits it, chosen row by row.
 
+    A schema fits a record that has its ``required`` field, or its first one if it names none.
     Adds ``schema`` (null if none fits) and ``record``.  A schema is tried only on values that
     none before it fits.
     """
@@ -144,9 +154,10 @@ def decode_with_fallback(
     name, record = F.lit(None).cast("string"), F.lit(None).cast(target)
     for i, schema in enumerate(schemas):
         own = F.col(f"_decoded{i}")
+        fits = _fits(own, decode, schema.required or schema.fields.names[0])
         rows = rows.withColumn(f"_decoded{i}", F.when(~tried, decode(F.col(value), schema)))
-        tried = tried | F.coalesce(_fits(own, schema), F.lit(False))
-        name = F.coalesce(name, F.when(_fits(own, schema), F.lit(schema.name)))
-        record = F.coalesce(record, F.when(_fits(own, schema), conform(own, schema.fields, target)))
+        tried = tried | F.coalesce(fits, F.lit(False))
+        name = F.coalesce(name, F.when(fits, F.lit(schema.name)))
+        record = F.coalesce(record, F.when(fits, conform(own, schema.fields, target)))
     chosen = F.struct(name.alias("schema"), record.alias("record"))
     return evaluated_once(rows, "_chosen", chosen).select(*values.columns, "_chosen.*")

@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from relaygauge.operators.archive import drop_markers, is_marker, project_messages, topic_counts
-from relaygauge.schemas import COUNTER, COUNTER_KEY, MESSAGE, MESSAGE_KEY
+from relaygauge.operators.archive import (
+    Partitions,
+    drop_markers,
+    expected_progress,
+    is_marker,
+    project_messages,
+    topic_counts,
+)
+from relaygauge.schemas import COUNTER, COUNTER_KEY, MARKER, MESSAGE, MESSAGE_KEY
 from relaygauge.sinks.tables import read_table, read_versions, write_batch
 from relaygauge.streaming import ARCHIVE_INTERVAL
 
@@ -24,8 +31,9 @@ def archive_stream(
 ) -> StreamingQuery:
     """Archive a stream of topic rows below ``root``: messages without markers, counts with.
 
-    A batch that is run again replaces its own rows, so neither table counts anything twice.
-    The markers of each batch show in the query's progress as an observed metric.
+    A batch that is run again replaces its own rows, so no table counts anything twice.
+    The markers of each partition are counted in a table of their own, and those of each batch
+    show in the query's progress as an observed metric.
     """
     messages = project_messages(envelopes, test_id).observe(
         PROGRESS, F.count(F.lit(1)).alias("messages"), F.count_if(is_marker(marker)).alias("markers")
@@ -36,6 +44,9 @@ def archive_stream(
         try:
             write_batch(drop_markers(batch, marker), f"{root}/messages", batch_id, ["test_id", "topic"])
             write_batch(topic_counts(batch), f"{root}/counters", batch_id)
+            # At most a row per batch and partition that has shown one.
+            seen = batch.where(is_marker(marker)).groupBy(*MARKER.names[:3]).agg(F.count(F.lit(1)).alias("markers"))
+            write_batch(seen, f"{root}/markers", batch_id)
         finally:
             batch.unpersist()
 
@@ -52,6 +63,18 @@ def read_messages(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, f"{root}/messages", MESSAGE, MESSAGE_KEY)
 
 
+def read_versions_of_messages(spark: SparkSession, root: str) -> DataFrame:
+    """Archived messages, each copy with its batch; filters and prints need no shuffle of payloads."""
+    return read_versions(spark, f"{root}/messages", MESSAGE)
+
+
+def read_progress(spark: SparkSession, root: str, tests: DataFrame, partitions: Partitions) -> DataFrame:
+    """Markers seen so far and whether reading is done, for each expected (test, topic, partition)."""
+    markers = read_versions(spark, f"{root}/markers", MARKER)
+    seen = markers.groupBy(*MARKER.names[:3]).agg(F.sum("markers").alias("markers"))
+    return expected_progress(seen, tests, partitions)
+
+
 def read_counters(spark: SparkSession, root: str) -> DataFrame:
     """Totals per (test, topic), markers included: the sum over all batches."""
     counts = read_versions(spark, f"{root}/counters", COUNTER)

@@ -12,14 +12,18 @@ from relaygauge.streaming import LATENCY_INTERVAL
 
 def feed_stream(
     values: DataFrame,
+    target: str,
     checkpoint: str,
     sink_format: str,
     path: str | None = None,
     trigger: dict = LATENCY_INTERVAL,
     **options: str,
 ) -> StreamingQuery:
-    """Forward the live feed of a stream of result values as JSON objects."""
-    feed = live_feed(values).select(F.col("topic").alias("topic"), event_json().alias("value"))
+    """Forward the live feed of a stream of result values as JSON objects to the topic ``target``.
+
+    An event's own topic is the one that is measured; the feed never goes there by itself.
+    """
+    feed = live_feed(values).select(F.lit(target).alias("topic"), event_json().alias("value"))
     return (
         feed.writeStream.format(sink_format)
         .options(**options)

@@ -1,8 +1,8 @@
 """The latency job: records to one-second buckets, buckets to rolling averages.
 
-The state of the stream is one row per series and open second, however many windows are
-reported and however long they are.  Closed buckets go to a table, and each batch computes
-the windows that its buckets complete from the table's last stretch.
+The stream keeps no state and drops nothing, however late it comes.  Each batch stores what its own
+records add to the buckets of their seconds; readers add the parts up.  The windows that a batch
+changes are then computed anew and replace the earlier ones under the same key.
 """
 
 from __future__ import annotations
@@ -15,48 +15,30 @@ from pyspark.sql.streaming import StreamingQuery
 
 from relaygauge.functions.keys import window_seconds
 from relaygauge.functions.numbers import int_div
-from relaygauge.operators.latencies import latency_pairs
+from relaygauge.operators.latencies import latency_buckets
 from relaygauge.operators.rolling import WINDOWS, rolling_averages
 from relaygauge.schemas import EVENT_KEY, LATENCY_EVENT, SERIES_KEY
 from relaygauge.sinks.tables import BATCH, read_table, write_batch
 from relaygauge.sinks.topics import event_values, write_topic
 from relaygauge.streaming import LATENCY_INTERVAL
 
-WATERMARK = "10 seconds"
-DAY = 86_400
+# Seconds of a folder of buckets; no window is longer.
+STRETCH = 900
 
 
-def bucket_stream(records: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Closed one-second buckets of a stream of latency records.
-
-    Records later than the watermark are dropped by Spark, and counted in the query's progress.
-    """
-    second = F.window("arrived_at", "1 second")
-    return (
-        latency_pairs(records.withWatermark("arrived_at", watermark))
-        .groupBy(*SERIES_KEY, second.alias("window"))
-        .agg(F.sum("latency").alias("total"), F.count(F.lit(1)).alias("cnt"))
-        .select(*SERIES_KEY, F.unix_seconds("window.start").alias("second"), "total", "cnt")
-    )
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy(*SERIES_KEY, "second").agg(F.sum("total").alias("total"), F.sum("cnt").alias("cnt"))
 
 
-def _frontier(spark: SparkSession, root: str, batch_id: int) -> int | None:
-    """The second up to which a batch and those before it reported windows."""
-    if batch_id < 0:
-        return None
-    return spark.read.schema("frontier BIGINT").parquet(f"{root}/frontier/{BATCH}={batch_id}").first()[0]
-
-
-def _history(spark: SparkSession, root: str, batch_id: int, ranges: Sequence[tuple[int, int]]) -> DataFrame:
-    """Stored buckets of the days that the given ranges of seconds touch, and no others."""
-    days = sorted({d for first, last in ranges for d in range(first // DAY, last // DAY + 1)})
-    only = ",".join(str(d) for d in days)
-    return (
+def _stored(spark: SparkSession, root: str, stretches: Sequence[int], batch_id: int) -> DataFrame:
+    """Buckets of the given stretches, and no others, as far as this batch and those before it know."""
+    only = ",".join(str(s) for s in stretches)
+    parts = (
         spark.read.option("basePath", f"{root}/buckets")
-        .parquet(f"{root}/buckets/day={{{only}}}")
+        .parquet(f"{root}/buckets/stretch={{{only}}}")
         .where(F.col(BATCH) <= batch_id)
-        .select(*SERIES_KEY, "second", "total", "cnt")
     )
+    return _summed(parts)
 
 
 def latency_stream(
@@ -64,62 +46,58 @@ def latency_stream(
     root: str,
     checkpoint: str,
     windows: Sequence[tuple[str, int]] = WINDOWS,
-    emit_every: int = 1,
-    watermark: str = WATERMARK,
     trigger: dict = LATENCY_INTERVAL,
     results: dict | None = None,
+    files: int = 1,
 ) -> StreamingQuery:
     """Run the latency job on a stream of records; ``root`` belongs to one ``checkpoint``.
 
     Events go to the table below ``root`` and, if ``results`` holds arguments for
-    ``write_topic`` and the topic's name, to the results topic as well.  A window is reported
-    once all its buckets are closed.  A batch that is run again replaces its own output.
+    ``write_topic`` and the topic's name, to the results topic as well.  A window is reported when
+    its first record has come, and again whenever a batch adds to it.  A batch that is run again
+    replaces its own output.  A batch writes ``files`` files per stretch and topic.
     """
     longest = max(window_seconds(unit, length) for unit, length in windows)
+    if longest > STRETCH:
+        raise ValueError(f"windows of up to {STRETCH} seconds are reported")
 
     def report(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.persist()
+        stretch = int_div(F.col("second"), STRETCH)
+        parts = latency_buckets(batch).withColumn("stretch", stretch).persist()
         try:
-            first, last = batch.agg(F.min("second"), F.max("second")).first()
-            done = _frontier(spark, root, batch_id - 1)
-            if last is None:
-                frontier = done
-            else:
-                daily = batch.withColumn("day", int_div(F.col("second"), DAY))
-                write_batch(daily, f"{root}/buckets", batch_id, ["day"], merge_files=True)
-                frontier = last + 1
-                start = first if done is None else done
-                earliest = start + 1 - longest
-                seen = _history(spark, root, batch_id, [(earliest, start), (first, last)])
-                events = rolling_averages(
-                    seen.where(F.col("second") >= earliest), windows, emit_every, between=(start, frontier)
-                )
-                _write_events(events, root, batch_id, results)
-            # A batch without buckets before the first one stores a null frontier.
-            spark.range(1).select(F.lit(frontier).cast("bigint").alias("frontier")).write.mode(
-                "overwrite"
-            ).parquet(f"{root}/frontier/{BATCH}={batch_id}")
+            # A row per quarter of an hour that the batch has records of.
+            touched = sorted(r["stretch"] for r in parts.select("stretch").distinct().collect())
+            if not touched:
+                return
+            write_batch(parts, f"{root}/buckets", batch_id, ["stretch"], files=files)
+            changed = parts.agg(F.min("second")).first()[0]
         finally:
-            batch.unpersist()
+            parts.unpersist()
+        # A bucket lies in windows that end in its own stretch or the next one, and those reach
+        # back into the stretch before.
+        near = sorted({s + d for s in touched for d in (-1, 0, 1)})
+        ends = int_div(F.col("second") - 1, STRETCH)
+        events = rolling_averages(_stored(spark, root, near, batch_id), windows).where(
+            ends.isin(*sorted({s + d for s in touched for d in (0, 1)})) & (F.col("second") > changed)
+        )
+        _write_events(events, root, batch_id, results, files)
 
     return (
-        bucket_stream(records, watermark)
-        .writeStream.foreachBatch(report)
-        .outputMode("append")
+        records.writeStream.foreachBatch(report)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
     )
 
 
-def _write_events(events: DataFrame, root: str, batch_id: int, results: dict | None) -> None:
+def _write_events(events: DataFrame, root: str, batch_id: int, results: dict | None, files: int) -> None:
     if results is None:
-        write_batch(events, f"{root}/events", batch_id, ["topic"], merge_files=True)
+        write_batch(events, f"{root}/events", batch_id, ["topic"], files=files)
         return
     events.persist()
     try:
-        write_batch(events, f"{root}/events", batch_id, ["topic"], merge_files=True)
+        write_batch(events, f"{root}/events", batch_id, ["topic"], files=files)
         sink = dict(results)
         write_topic(event_values(events, sink.pop("topic")), **sink)
     finally:
@@ -127,10 +105,10 @@ def _write_events(events: DataFrame, root: str, batch_id: int, results: dict | N
 
 
 def read_buckets(spark: SparkSession, root: str) -> DataFrame:
-    """All closed buckets the job has stored."""
-    return spark.read.parquet(f"{root}/buckets").select(*SERIES_KEY, "second", "total", "cnt")
+    """All buckets the job has stored, the parts of each added up."""
+    return _summed(spark.read.parquet(f"{root}/buckets"))
 
 
 def read_events(spark: SparkSession, root: str) -> DataFrame:
-    """The events table: one row per event key."""
+    """The events table: one row per event key, the one reported last."""
     return read_table(spark, f"{root}/events", LATENCY_EVENT, EVENT_KEY)

@@ -93,11 +93,12 @@ def test_rolling_equals_expansion(buckets, unit, length, every):
     assert set(mine) == brute(rows, span, every, f"avg{length}{unit}")
 
 
-def test_rolling_between(buckets):
+def test_spans_hold_every_window(buckets):
     rows, frame = buckets
-    got = rolling.rolling_averages(frame, [("minute", 1)], between=(500, 3600))
-    expected = {w for w in brute(rows, 60, 1, "avg1minute") if 500 < w[1] <= 3600}
-    assert {(r.eventname, r.second, r.operation, r.value, r.cnt) for r in got.collect()} == expected
+    spans = rolling.rolling_spans(frame, [("minute", 15)], block_seconds=1000).collect()
+    got = {(r.eventname, s, r.operation, r.value, r.cnt) for r in spans for s in range(r["from"], r.until)}
+    assert got == brute(rows, 900, 1, "avg15minute") and len(spans) < 3 * len(rows)
+    assert sum(r.until - r["from"] for r in spans) == len(got)
 
 
 def test_all_windows_at_once(buckets):
@@ -138,6 +139,8 @@ def test_series(spark):
     charted = series.chart_events(events)
     assert charted.count() == 3
     assert series.series_long(charted).count() == 6
+    apart = series.series_points(charted.union(charted.withColumn("topic", F.lit("u"))))
+    assert apart.count() == 2 * series.series_points(charted).count()
     merged = series.series_points(charted, merge_eventnames=True).where("field = 'value'")
     assert {(r.hour, tuple(p.y for p in r.points)) for r in merged.collect()} == {(0, (1, 9)), (7200, (5,))}
     extent = {r.field: (r.first_second, r.last_second, r.lowest, r.highest) for r in series.series_extent(charted).collect()}

@@ -36,14 +36,12 @@ def decoded(spark, framed, target=COUNTER):
     schemas = [
         records.RecordSchema(1, "counter", fields=COUNTER),
         records.RecordSchema(4, "metric", fields=StructType([StructField("timings", MapType(StringType(), LongType()))])),
+        records.RecordSchema(2, "label", kind="string"),
+        records.RecordSchema(3, "blob", kind="bytes"),
     ]
-    known = spark.createDataFrame(
-        [(1, "counter", "record"), (2, "label", "string"), (3, "blob", "bytes"), (4, "metric", "record")],
-        "schema_id BIGINT, name STRING, kind STRING",
-    )
     frame = spark.createDataFrame(framed, "schema_id BIGINT, body STRING")
     values = frame.select(build_frame(F.col("schema_id"), utf8_bytes(F.col("body"))).alias("value"))
-    return records.decode_records(records.split_frames(values), known, schemas, target).collect()
+    return records.decode_records(records.split_frames(values), schemas, target).collect()
 
 
 def test_records_decode_by_kind(spark):
@@ -53,6 +51,26 @@ def test_records_decode_by_kind(spark):
     assert got[("label", None)].text == "é" and bytes(got[("blob", None)].bytes) == b"x"
 
 
+def test_fields_may_be_null_but_not_damaged(spark):
+    got = decoded(spark, [(1, '{"k": null}'), (1, "{}"), (1, '{"k": "x"}'), (1, '{"k": 1'), (1, "[1]")])
+    assert [r.problem for r in got] == [None, None, "undecodable", "undecodable", "undecodable"]
+    assert got[0].record.k is None
+
+
+def test_schema_texts_become_schemas(spark):
+    text = (
+        '{"type":"record","name":"metric","fields":[{"name":"id","type":"int"},{"name":"value","type":"bytes"},'
+        '{"name":"timings","type":[{"type":"map","values":"long"},"null"]},{"name":"marks","type":{"type":"array","items":"long"}}]}'
+    )
+    schema = catalogue.record_schema(7, text)
+    assert schema.fields.simpleString() == "struct<id:int,value:binary,timings:map<string,bigint>,marks:array<bigint>>"
+    assert catalogue.record_schema(8, '"string"').kind == "string"
+    known = catalogue.catalogue(spark.createDataFrame([("a", text), ("b", "junk")], "origin STRING, value STRING"))
+    assert catalogue.record_schemas(known, {"metric": 7}) == [schema]
+    with pytest.raises(ValueError):
+        catalogue.record_schema(1, '{"type":"record","name":"x","fields":[{"name":"y","type":["long","int"]}]}')
+
+
 def test_map_timings_become_marks(spark):
     target = StructType([StructField("timings", TIMINGS), StructField("k", LongType())])
     row = decoded(spark, [(4, '{"timings": {"b": 9, "a": 2}}')], target)[0]
@@ -130,7 +148,7 @@ def test_tables_keep_the_newest_version(spark, tmp_path):
     first = spark.createDataFrame([EVENT, ("u",) + EVENT[1:]], LATENCY_EVENT)
     second = spark.createDataFrame([EVENT[:6] + (8, 2)], LATENCY_EVENT)
     tables.write_batch(first, path, 0, ["topic"])
-    tables.write_batch(second, path, 1, ["topic"], merge_files=True)
+    tables.write_batch(second, path, 1, ["topic"], files=1)
     tables.write_batch(second, path, 1, ["topic"])  # the batch is run again
     assert tables.read_versions(spark, path, LATENCY_EVENT).count() == 3
     current = tables.read_table(spark, path, LATENCY_EVENT, EVENT_KEY)

@@ -120,7 +120,7 @@ def test_prints_differ_where_messages_do(relays, relay):
     assert dense == (relay != "drop")
     tests = tests.where(F.col("test_id") == relay)
     strict = digests.compare_slices(digests.slice_digests(messages, SLICE, strict=True), tests)
-    prints = digests.compare_slices(digests.slice_fingerprints(messages, SLICE, dense), tests)
+    prints = digests.compare_slices(digests.slice_fingerprints(digests.message_prints(messages), SLICE, dense), tests)
     assert sorted(strict.select("slice", "same").collect()) == sorted(prints.select("slice", "same").collect())
 
 
@@ -193,6 +193,32 @@ def test_row_key_order_is_textual(spark):
     assert digest.digest == hashlib.md5(b"<1><10><100><11><2>").hexdigest()
 
 
+def test_colliding_row_keys_have_one_digest(spark):
+    rows = [("t", topic, p, o, f"{p}/{o}") for topic in ("src", "dst") for p in range(12) for o in range(30)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = set()
+    for seed in range(3):
+        mixed = frame.orderBy(F.rand(seed)).repartition(3 + seed)
+        compared = digests.compare_slices(digests.slice_digests_by_row_key(mixed, 50), spark.createDataFrame([("t", "src", "dst")], TEST))
+        assert compared.where("NOT same").isEmpty()
+        found.add(tuple(r.source_digest for r in compared.orderBy("slice").collect()))
+    assert len(found) == 1
+
+
+def test_versions_are_settled_by_prints(spark, tmp_path):
+    old = [("t", topic, p, o, f"old{p}") for topic in ("src", "dst") for p in range(2) for o in range(20)]
+    new = [(*row[:4], f"{row[2]}|{row[3]}") for row in old]
+    changed = [(*row[:4], row[4] + ("!" if row[1:4] == ("dst", 1, 7) else "")) for row in new]
+    frames = [spark.createDataFrame(rows, SCHEMA).withColumn("v", F.lit(i)) for i, rows in enumerate((old, new, changed))]
+    tests = spark.createDataFrame([("t", "src", "dst")], TEST)
+    for upto, ordered, first in ((2, True, None), (3, False, 2)):
+        versions = frames[0]
+        for frame in frames[1:upto]:
+            versions = versions.unionByName(frame)
+        row = validate_by_fingerprint(versions, tests, slice_size=10, folder=str(tmp_path / str(upto)), version="v").first()
+        assert (row.same_amount, row.source_total, row.order_preserved, row.first_difference) == (True, 40, ordered, first)
+
+
 def test_row_keys_collide(spark):
     rows = [("t", "src", 1, 12, "first", 0), ("t", "src", 11, 2, "second", 1)]
     messages = spark.createDataFrame(rows, "test_id STRING, topic STRING, partition INT, offset BIGINT, payload STRING, v BIGINT")
@@ -208,14 +234,28 @@ def test_progress_ignores_extra_markers(spark):
     assert seen == {("src", 0): (2, True), ("src", 1): (0, False), ("dst", 0): (0, False), ("dst", 1): (1, True)}
 
 
+def test_topics_may_differ_in_partitions(spark):
+    tests = spark.createDataFrame([("t", "src", "dst")], TEST)
+    markers = archive.marker_values(tests, {"src": 3, "dst": 1}, "END").collect()
+    assert sorted((r.topic, r.partition, bytes(r.value)) for r in markers) == [("dst", 0, b"END"), *[("src", p, b"END") for p in range(3)]]
+
+
 def test_undecodable_bytes_do_not_fail(spark):
     rows = spark.createDataFrame([("src", 0, 0, bytearray(b"a\xff"))], "topic STRING, partition INT, offset BIGINT, value BINARY")
-    assert archive.project_messages(rows, "t").first().payload == "a�"
+    assert archive.project_messages(rows, "t").first().payload == "�61FF"
+
+
+def test_payloads_differ_where_bytes_do(spark):
+    values = [b"a\xff", b"a\xfe", "�61FF".encode(), b"", b"a"]
+    rows = spark.createDataFrame([("src", 0, i, bytearray(v)) for i, v in enumerate(values)], "topic STRING, partition INT, offset BIGINT, value BINARY")
+    assert archive.project_messages(rows, "t").select("payload").distinct().count() == len(values)
 
 
 def test_invalid_arguments(spark):
     with pytest.raises(ValueError):
         archive.register_tests(spark, [("t", "", "dst")])
+    ids = [r.test_id for r in archive.register_tests(spark, [("a", "b"), ("a", "b")]).collect()]
+    assert len(set(ids)) == 2 and all(ids)
     with pytest.raises(ValueError):
         archive.end_markers(spark.createDataFrame([("t", "a", "b")], TEST), 0, "END")
     with pytest.raises(ValueError):
