@@ -13,6 +13,7 @@ from relaygauge.llm.jaccard_join import near_duplicates
 from relaygauge.llm.language_id import identify_languages, language_samples
 from relaygauge.llm.licenses import license_scan
 from relaygauge.llm.mixing import mix_sources
+from relaygauge.llm.oracles import ORACLES
 from relaygauge.llm.quality import quality
 from relaygauge.llm.suffix_dedup import suffix_dedup
 from relaygauge.llm.token_counts import token_counts
@@ -124,4 +125,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
