@@ -15,7 +15,7 @@ from relaygauge.llm.language_id import UNKNOWN, identify_languages, language_sam
 from relaygauge.llm.mixing import mix_sources
 from relaygauge.llm.suffix_dedup import suffix_dedup
 
-MOST_BITS = 6.0  # bits per byte above which a text is in no language that was learned
+MOST_BITS = 7.0  # bits per byte above which a text is in no language that was learned
 LEAST_BYTES = 64  # a shorter text tells too little for that, and stays if it has a letter
 
 
