@@ -14,6 +14,7 @@ from relaygauge.llm.language_id import identify_languages, language_samples
 from relaygauge.llm.licenses import license_scan
 from relaygauge.llm.mixing import mix_sources
 from relaygauge.llm.oracles import ORACLES
+from relaygauge.llm.passages import repeated_passages
 from relaygauge.llm.quality import quality
 from relaygauge.llm.suffix_dedup import suffix_dedup
 from relaygauge.llm.token_counts import token_counts
@@ -38,6 +39,12 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_passages, n_repeated, first_ids, passages."""
+    found = repeated_passages(_read(spark, folder, "documents"))
+    return found.select("doc_id", "n_passages", "n_repeated", "first_ids", "passages")
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rate."""
     docs = _read(spark, folder, "documents")
@@ -115,6 +122,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_passages": op2_passages,
     "op3_language_id": op3_language_id,
     "op4_license_scan": op4_license_scan,
     "op5_source_mix": op5_source_mix,
