@@ -11,6 +11,7 @@ from relaygauge.llm.jaccard_join import near_duplicates
 from relaygauge.llm.language_id import identify_languages, language_samples
 from relaygauge.llm.licenses import license_scan
 from relaygauge.llm.mixing import mix_sources
+from relaygauge.llm.passages import repeated_passages
 from relaygauge.llm.quality import quality
 from relaygauge.llm.suffix_dedup import suffix_dedup
 from relaygauge.llm.token_counts import token_counts
@@ -56,6 +57,7 @@ def operators(items):
     labels = spark.createDataFrame([(6, 1), (6, 1), (9, 0), (None, 1), (11, None), (99, 0)], "doc_id long, toxic int")
     return {
         "suffix_dedup": lambda d: suffix_dedup(d, block_bytes=2_000, bucket_bytes=5_000),
+        "passages": repeated_passages,
         "language_id": lambda d: identify_languages(d, language_samples(d)),
         "license_scan": license_scan,
         "source_mix": mix_sources,
@@ -67,7 +69,7 @@ def operators(items):
     }
 
 
-NAMES = ["suffix_dedup", "language_id", "license_scan", "source_mix", "jaccard_join", "quality", "decontamination", "toxicity", "token_counts"]
+NAMES = ["suffix_dedup", "passages", "language_id", "license_scan", "source_mix", "jaccard_join", "quality", "decontamination", "toxicity", "token_counts"]
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -7,10 +7,11 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import zstandard
 
 import brute
 import corpus_pipeline
-from relaygauge.llm import language_id, mixing, suffix_array, toxicity
+from relaygauge.llm import language_id, mixing, passages, suffix_array, toxicity
 from relaygauge.llm.components import components
 from relaygauge.llm.decontamination import contamination
 from relaygauge.llm.jaccard_join import near_duplicates
@@ -68,14 +69,14 @@ def check_repeats(spark, rows, **options):
     return result
 
 
-def test_repeats_equal_brute_force(spark):
+def test_repeats_equal_brute_force(spark, monkeypatch):
     rng = random.Random(3)
-    passages = [prose(rng, n) for n in (8, 12, 60, 200)] + ["a" * 300, "ab" * 120, "é" * 80]
+    shared = [prose(rng, n) for n in (8, 12, 60, 200)] + ["a" * 300, "ab" * 120, "é" * 80]
     rows = []
     for key in range(120):
         parts = []
         for _ in range(rng.randrange(5)):
-            passage = rng.choice(passages)
+            passage = rng.choice(shared)
             cut = rng.randrange(len(passage) // 2)
             parts += [prose(rng, rng.randrange(12)), passage[cut : len(passage) - rng.randrange(len(passage) // 2)]]
         rows.append((key * 7 % 120, " ".join(parts)))
@@ -85,6 +86,23 @@ def test_repeats_equal_brute_force(spark):
     check_repeats(spark, rows)
 
 
+def test_snippets_sorted_in_parts(monkeypatch):
+    from relaygauge.llm import suffix_dedup as module
+
+    rng = np.random.default_rng(5)
+    snippets = ["".join(chr(97 + c) for c in rng.integers(0, 2, rng.integers(50, 60))) for _ in range(60)]
+    snippets = [s if i % 3 else snippets[0][: 50 + i % 8] for i, s in enumerate(snippets)]
+    h = np.array([int(s.startswith(snippets[0][:50])) << 16 for s in snippets], np.uint64)
+    doc, lengths = np.arange(60), np.array([len(s) for s in snippets])
+    raw = "".join(snippets).encode()
+    whole = module._least_of_starts(h, doc, lengths, raw, 50)
+    monkeypatch.setattr(module, "SORT_BYTES", 1000)
+    parts = module._least_of_starts(h, doc, lengths, raw, 50)
+    for i, (a, b) in enumerate(zip(whole, parts)):
+        assert len(a) == len(snippets[i]) - 49 and a.tolist() == b.tolist()
+        assert a.tolist() == [min(k for k, t in enumerate(snippets) if snippets[i][s : s + 50] in t) for s in range(len(a))]
+
+
 def test_copies_across_many_blocks(spark):
     rng = random.Random(4)
     text = prose(rng, 100)
@@ -101,7 +119,7 @@ def test_blocks_longer_than_a_slice(spark, monkeypatch):
     rng = random.Random(11)
     passage = prose(rng, 60)
     texts = [prose(rng, 30) + passage[rng.randrange(200) :] for _ in range(30)]
-    frames = [pd.DataFrame({"_order": np.arange(30), "_text": [t.encode() for t in texts], "_block": 0}) for _ in range(2)]
+    frames = [pd.DataFrame({"_order": np.arange(30), "_text": [zstandard.compress(t.encode()) for t in texts], "_block": 0}) for _ in range(2)]
     frames[1] = frames[1].sample(frac=1, random_state=1)
     first, second = (module._send_anchors(50, 1)(f)["anchors"][0] for f in frames)
     assert first == second
@@ -115,14 +133,110 @@ def test_whole_characters(spark):
         bytes(row.kept).decode()
 
 
+# Fuzzy passages
+
+
+def brute_chain(place, other):
+    """The best score of any chain, by trying each match after each other."""
+    order = sorted(range(len(place)), key=lambda i: (place[i], other[i]))
+    best = {}
+    for i in order:
+        gain = max(
+            [best[j] - passages.GAP_COST * (place[i] - place[j] + other[i] - other[j]) for j in best if place[j] < place[i] and other[j] < other[i]],
+            default=0,
+        )
+        best[i] = passages.SEED_WEIGHT + max(0, gain)
+    return max(best.values())
+
+
+def test_chains_are_the_best():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n = int(rng.integers(2, 30))
+        place, other = rng.integers(0, 60, n), rng.integers(0, 60, n)
+        found = passages.chains(place, other)
+        used = [i for chain in found for i in chain]
+        assert len(used) == len(set(used))
+        top = brute_chain(place, other)
+        assert bool(found) == (top >= passages.LEAST_SCORE)
+        for chain in found:
+            x, y = place[chain], other[chain]
+            assert (np.diff(x) > 0).all() and (np.diff(y) > 0).all()
+        if found:
+            x, y = place[found[0]], other[found[0]]
+            score = passages.SEED_WEIGHT * len(x) - passages.GAP_COST * (x[-1] - x[0] + y[-1] - y[0])
+            assert score == pytest.approx(top)
+
+
+def test_agreeing_words():
+    def brute_common(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        a, b = rng.integers(0, 4, rng.integers(0, 12)), rng.integers(0, 4, rng.integers(0, 12))
+        assert passages.agreeing(a, b) == brute_common(a.tolist(), b.tolist())
+
+
+def test_fuzzy_passages_are_found(spark):
+    rng = random.Random(12)
+    sources = [prose(rng, 80, 10**6) for _ in range(6)]
+    rows, planted = [], {}
+    for key in range(120):
+        parts = [prose(rng, rng.randrange(20, 80), 10**6)]
+        if key % 3 == 0:
+            which = rng.randrange(6)
+            w = sources[which].split()
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+            if rng.random() < 0.3:
+                del w[40]
+            planted[key] = (which, len(parts[0].split()), len(w))
+            parts += [" ".join(w), prose(rng, 30, 10**6)]
+        rows.append((key, " ".join(parts)))
+    rows[1] = (1, prose(rng, 90, 10**6))
+    rows += [(200, rows[1][1]), (201, rows[1][1]), (202, "short " * 3), (203, None)]
+    found = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    seen = set()
+    for key in range(120):
+        row = found[key]
+        if key not in planted or planted[key][0] not in seen:
+            assert row.n_passages == 0 and row.first_ids == [], key
+        else:
+            which, start, n = planted[key]
+            covered = {i for p in row.passages for i in range(p.start, p.end)}
+            assert row.n_passages == 1 and len(covered & set(range(start, start + n))) >= 0.75 * n, key
+            assert covered <= set(range(start, start + n)) and all(i < key and planted[i][0] == which for i in row.first_ids)
+        if key in planted:
+            seen.add(planted[key][0])
+    for key in (200, 201):
+        (p,) = found[key].passages
+        assert (p.start, p.end, p.first, p.similarity) == (0, len(rows[1][1].split()), 1, 1.0)
+    assert found[202].n_passages == found[203].n_passages == 0
+
+
+def test_a_passage_of_several_documents(spark):
+    """Two halves of a passage first stand in different documents; together they are long enough."""
+    rng = random.Random(13)
+    one, two = prose(rng, 25, 10**6), prose(rng, 25, 10**6)
+    rows = [(1, prose(rng, 30, 10**6) + " " + one), (2, two + " " + prose(rng, 30, 10**6)), (3, one + " " + two), (4, one)]
+    found = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[3].first_ids == [1, 2] and (found[3].n_passages, found[3].n_repeated) == (1, 50)
+    assert found[4].n_passages == 0
+
+
 # Language
 
 
-def naive_phrases(text, sample):
+def naive_phrases(text, sample, rare):
     count, at = 0, 0
     while at < len(text):
         n = 1
-        while at + n < len(text) and text[at : at + n + 1] in sample:
+        while at + n < len(text) and text[at : at + n + 1] in sample and not rare & set(text[at : at + n + 1]):
             n += 1
         count, at = count + 1, at + n
     return count
@@ -133,9 +247,10 @@ def test_phrases_equal_a_plain_parse():
     parser = language_id.CrossParser(samples)
     texts = [b"the dog sat", b"die katze lief", b"zzz the", b"", b"qqq", b"a" * 30, b"z"]
     rates = parser.rates(texts)
+    rare = {c for c, n in Counter(b"".join(samples.values())).items() if n < language_id.LEAST_SEEN}
     for text, row in zip(texts, rates):
         for n, name in enumerate(parser.languages):
-            phrases = naive_phrases(text, samples[name])
+            phrases = naive_phrases(text, samples[name], rare)
             assert row[n] == pytest.approx(phrases * parser.bits[n] / max(1, len(text)))
 
 
