@@ -22,8 +22,10 @@ from relaygauge.sinks.tables import BATCH, read_table, write_batch
 from relaygauge.sinks.topics import event_values, write_topic
 from relaygauge.streaming import LATENCY_INTERVAL
 
-# Seconds of a folder of buckets; no window is longer.
+# Seconds that are computed anew where a batch has records; no window is longer.
 STRETCH = 900
+# Seconds of a folder of stored buckets.
+FOLDER = 6 * 3600
 
 
 def _summed(parts: DataFrame) -> DataFrame:
@@ -32,11 +34,13 @@ def _summed(parts: DataFrame) -> DataFrame:
 
 def _stored(spark: SparkSession, root: str, stretches: Sequence[int], batch_id: int) -> DataFrame:
     """Buckets of the given stretches, and no others, as far as this batch and those before it know."""
-    only = ",".join(str(s) for s in stretches)
+    folders = ",".join(str(f) for f in sorted({s * STRETCH // FOLDER for s in stretches}))
     parts = (
         spark.read.option("basePath", f"{root}/buckets")
-        .parquet(f"{root}/buckets/stretch={{{only}}}")
+        .parquet(f"{root}/buckets/folder={{{folders}}}")
         .where(F.col(BATCH) <= batch_id)
+        .where(F.col("second").between(min(stretches) * STRETCH, (max(stretches) + 1) * STRETCH - 1))
+        .where(int_div(F.col("second"), STRETCH).isin(*stretches))
     )
     return _summed(parts)
 
@@ -55,7 +59,7 @@ def latency_stream(
     Events go to the table below ``root`` and, if ``results`` holds arguments for
     ``write_topic`` and the topic's name, to the results topic as well.  A window is reported when
     its first record has come, and again whenever a batch adds to it.  A batch that is run again
-    replaces its own output.  A batch writes ``files`` files per stretch and topic.
+    replaces its own output.  A batch writes ``files`` files per folder and topic.
     """
     longest = max(window_seconds(unit, length) for unit, length in windows)
     if longest > STRETCH:
@@ -63,14 +67,14 @@ def latency_stream(
 
     def report(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stretch = int_div(F.col("second"), STRETCH)
-        parts = latency_buckets(batch).withColumn("stretch", stretch).persist()
+        parts = latency_buckets(batch).withColumn("folder", int_div(F.col("second"), FOLDER)).persist()
         try:
             # A row per quarter of an hour that the batch has records of.
-            touched = sorted(r["stretch"] for r in parts.select("stretch").distinct().collect())
+            stretch = int_div(F.col("second"), STRETCH).alias("stretch")
+            touched = sorted(r["stretch"] for r in parts.select(stretch).distinct().collect())
             if not touched:
                 return
-            write_batch(parts, f"{root}/buckets", batch_id, ["stretch"], files=files)
+            write_batch(parts, f"{root}/buckets", batch_id, ["folder"], files=files)
             changed = parts.agg(F.min("second")).first()[0]
         finally:
             parts.unpersist()

@@ -100,7 +100,7 @@ def test_many_batches_leave_few_files(spark, tmp_path):
         rows = [record(s, k) for s in range(2 * i, 2 * i + 2) for k in range(9)]
         spark.createDataFrame(rows, LATENCY_RECORD).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     run(spark, tmp_path)
-    folders = list((tmp_path / "out" / "buckets").glob("stretch=*/batch_id=*"))
+    folders = list((tmp_path / "out" / "buckets").glob("folder=*/batch_id=*"))
     assert len(folders) == 24 and all(len(list(f.glob("part-*"))) == 1 for f in folders)
     assert all(len(list(f.glob("part-*"))) == 1 for f in (tmp_path / "out" / "events").glob("topic=*/batch_id=*"))
     assert same(read_events(spark, str(tmp_path / "out")), expected(spark, tmp_path)[1])
