@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -119,7 +120,7 @@ def shingle_sets(docs: DataFrame, text: str, key: str, shingle: int, similarity:
         serial = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = byte_arrays(batch.column("_text"))
-            for i, j in chunks(offsets, 1 << 20):
+            for i, j in chunks(offsets):
                 n = j - i
                 words = _Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 tokens, bounds = _sets(words, n, shingle)
@@ -150,15 +151,23 @@ def shingle_sets(docs: DataFrame, text: str, key: str, shingle: int, similarity:
     )
 
 
-def _unfold(depth: int):
+def _unfold(depth: int, level: int):
+    """A row for each node of a level that a set reaches: its key and that of the node above."""
+
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_arrays(batch.column("paths"))
             keys = data.view(np.int64).reshape(-1, depth)
-            of = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(offsets) // (8 * depth)))
+            place = np.repeat(np.arange(batch.num_rows), np.diff(offsets) // (8 * depth))
+            key, above = keys[:, level], keys[:, max(level - 1, 0)]
+            # Paths of one set that part further down share the node; a key of 0 is no node.
+            order = np.lexsort((key, place))
+            place, key, above = place[order], key[order], above[order]
+            fresh = key != 0
+            fresh[1:] &= (place[1:] != place[:-1]) | (key[1:] != key[:-1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(of), *[pa.array(keys[:, d].copy()) for d in range(depth)]],
-                ["row", *[f"p{d}" for d in range(depth)]],
+                [batch.column("row").take(pa.array(place[fresh])), pa.array(above[fresh]), pa.array(key[fresh])],
+                ["row", "above", "bucket"],
             )
 
     return unfold
@@ -242,28 +251,19 @@ def candidate_links(sets: DataFrame, similarity: float, depth: int, bucket: int
     next level.  What is still larger at the last level goes through as one component: its sets have
     shared three sampled tokens, and the exact check that follows compares them in blocks.
     """
-    names = [f"p{d}" for d in range(depth)]
     packed = sets.where("size > 0").select("row", "paths")
-    rows = packed.mapInArrow(_unfold(depth), ", ".join(["row long", *[f"{p} long" for p in names]]))
-    placed = rows.withColumns({"bucket": F.col("p0"), "_open": F.lit(True)})
-    for above, below in zip(names, names[1:]):
-        # Keys that hold too many sets are split; all others stay where they are.
-        heavy = (
-            rows.select("row", above)
-            .where(F.col(above) != 0)
-            .distinct()
-            .groupBy(above)
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > bucket)
-            .select(above, F.lit(True).alias("_heavy"))
-        )
-        split = F.col("_open") & F.col("_heavy").isNotNull()
-        placed = (
-            placed.join(heavy, above, "left")
-            .withColumns({"_open": split, "bucket": F.when(split, F.col(below)).otherwise(F.col("bucket"))})
-            .drop("_heavy")
-        )
-    placed = stage(placed.where("bucket != 0").select("bucket", "row").distinct(), "buckets")
+    parts, split = [], None
+    for level in range(depth):
+        nodes = packed.mapInArrow(_unfold(depth, level), "row long, above long, bucket long")
+        if split is not None:
+            nodes = nodes.join(split.withColumnRenamed("bucket", "above"), "above", "left_semi")
+        if level < depth - 1:
+            # Written, so that Spark knows their size: few, they go to the rows instead of these to them.
+            counts = nodes.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
+            split = stage(counts.where(F.col("_n") > bucket).select("bucket"), "split")
+            nodes = nodes.join(split, "bucket", "left_anti")
+        parts.append(nodes.select("bucket", "row"))
+    placed = stage(reduce(DataFrame.unionByName, parts), "buckets")
     counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("row").alias("_least")).where("_n > 1")
     large = counts.where(F.col("_n") > bucket)
     small = placed.join(counts.where(F.col("_n") <= bucket).select("bucket"), "bucket")
