@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from relaygauge.session import shared_folder
 
 # Bytes of text that a Python worker holds in its arrays at once (a longer text comes alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 # Odd 64-bit multipliers of the mixing steps, and the base of word hashes.
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
@@ -110,11 +110,11 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, count: int) -> np.ndarray:
     known = _POWERS.get(base)
     if known is None or len(known) < count:
-        size = max(count, CHUNK_BYTES + 1)
+        size = max(count, CHUNK_BYTES + 4096)
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         known = np.multiply.accumulate(steps)
-        if size <= CHUNK_BYTES + 1:
+        if size <= CHUNK_BYTES + 4096:
             _POWERS[base] = known
     return known[:count]
 

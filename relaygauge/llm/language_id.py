@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relaygauge.llm.frames import LOWER, byte_arrays, chunks, first_of_each, utf8
+from relaygauge.llm.frames import LOWER, byte_arrays, chunks, first_of_each, stage, utf8
 
 SAMPLE_ROWS = 400  # labelled texts per language that the automata are made of, at most
 SAMPLE_TEXT_BYTES = 1 << 13  # longer texts are not learned from
 SAMPLE_BYTES = 1 << 18  # bytes of all languages' samples together, at most
 SEGMENT = 512  # bytes that are parsed side by side; a phrase ends at the edge of a segment
+LEAST_SEEN = 4  # a byte that all samples together have less often is like one they never have
 UNKNOWN = "und"
 
 _BLANK = 0x20
@@ -73,18 +74,21 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
-        seen = sorted({c for text in samples.values() for c in text})
-        self.symbol = np.zeros(256, np.int64)  # 0: not in any sample
+        counts = np.bincount(np.frombuffer(b"".join(samples.values()), np.uint8), minlength=256)
+        seen = np.flatnonzero(counts >= LEAST_SEEN)
+        self.symbol = np.zeros(256, np.int64)  # 0: in no sample, or too seldom to tell
+
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         self.width = len(seen) + 1
         self.tables = []
         for language in self.languages:
             states = suffix_automaton(samples[language])
             table = np.full((len(states), self.width), -1, np.int32)
-            counts = np.fromiter(map(len, states), np.int64, len(states))
-            rows = np.repeat(np.arange(len(states)), counts)
+            moves = np.fromiter(map(len, states), np.int64, len(states))
+            rows = np.repeat(np.arange(len(states)), moves)
             symbols = self.symbol[np.fromiter((c for s in states for c in s), np.int64, len(rows))]
             table[rows, symbols] = np.fromiter((v for s in states for v in s.values()), np.int64, len(rows))
+            table[:, 0] = -1
             self.tables.append((table * self.width).ravel())  # holds offsets of rows; below 0: no match
         self.bits = [math.log2(len(samples[x]) + 2) for x in self.languages]
 
@@ -158,13 +162,15 @@ def language_samples(
     given by a hash of the key, as many as fit in its equal share of ``total_bytes``.
     """
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.octet_length(text) <= text_bytes))
-    chosen = usable.select(
+    named = usable.select(
         F.col(lang).cast("string").alias("_lang"),
-        F.xxhash64(F.lit(7), F.col(key), F.length(text)).alias("_order"),
+        F.xxhash64(F.lit(7), F.col(key), F.col(text)).alias("_order"),
         utf8(text).alias("_text"),
     )
+    # Texts are fetched for the chosen ones only, a few per language.
+    chosen = stage(first_of_each(named.select("_lang", "_order"), "_lang", ["_order"], rows).distinct(), "samples")
     found: dict[str, list[bytes]] = {}
-    for row in first_of_each(chosen, "_lang", ["_order", "_text"], rows).orderBy("_lang", "_order", "_text").toLocalIterator():
+    for row in named.join(chosen, ["_lang", "_order"], "left_semi").orderBy("_lang", "_order").toLocalIterator():
         found.setdefault(row["_lang"], []).append(folded(bytes(row["_text"])))
     share = total_bytes // max(1, len(found))
     samples = {}
@@ -188,15 +194,17 @@ def identify_languages(
     columns = [key, *keep]
     fields = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
     names = [f"_{i}" for i in range(len(columns))]
+    # A text that is kept travels once; null values have no bytes in it.
+    whole = names[columns.index(text)] if text in columns else "_text"
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(samples)
         for batch in batches:
-            _, offsets = byte_arrays(batch.column("_text"))
-            for i, j in chunks(offsets, 2 << 20):
+            data, offsets = byte_arrays(batch.column(whole))
+            for i, j in chunks(offsets):
                 part = batch.slice(i, j - i)
                 letter = np.array(part.column("_letter").to_pylist(), bool) & bool(parser.languages)
-                texts = [folded(t.as_py()) if ok else b"" for t, ok in zip(part.column("_text"), letter)]
+                texts = [folded(data[offsets[n] : offsets[n + 1]].tobytes()) if ok else b"" for n, ok in zip(range(i, j), letter)]
                 rates = parser.rates(texts)
                 if parser.languages:
                     best = rates.argmin(axis=1)
@@ -217,6 +225,7 @@ def identify_languages(
                 )
 
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, names)], utf8(text).alias("_text"), letter.alias("_letter"))
+    own = [] if whole != "_text" else [utf8(text).alias("_text")]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, names)], *own, letter.alias("_letter"))
     parsed = rows.mapInArrow(identify, f"{fields}, lang_pred string, score double, rate double")
     return parsed.withColumnsRenamed(dict(zip(names, columns)))

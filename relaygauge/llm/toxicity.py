@@ -46,7 +46,7 @@ class Bags:
                 real = within[inner + size - 1] - within[inner + 1] == size - 2
                 at = ((code * np.uint64(2) + np.uint64(1)) * MIX_A) >> np.uint64(64 - BUCKETS_LOG2)
                 self.grams.append((at.astype(np.int32), real))
-        self.count = np.zeros(n + 1)
+        self.count = np.zeros(n + 1, np.int32)
         self.count[1:] = sum(np.pad(real, (0, n - len(real))).astype(np.int32) for _, real in self.grams).cumsum()
         starts, ends = word_spans(data, np.array([0, n]), ALNUM)
         row = np.searchsorted(self.offsets, starts, side="right") - 1
@@ -71,6 +71,15 @@ class Bags:
         return rows, np.maximum.reduceat(values, self.first[rows]) if len(rows) else np.zeros(0)
 
 
+    def worst(self, weights: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Of each text with a word, the n-grams of its first window of the largest mean weight."""
+        values = self.windows(weights)
+        for row in np.flatnonzero(np.diff(self.first) > 0):
+            at = self.first[row] + int(np.argmax(values[self.first[row] : self.first[row + 1]]))
+            a, b = self.low[at], self.high[at]
+            yield int(row), np.concatenate([gram[a:b][real[a:b]] for gram, real in self.grams])
+
+
 @dataclass
 class Model:
     """What scoring needs of a fitted model: one weight per n-gram bucket, as the softmax is linear."""
@@ -92,18 +101,21 @@ def fit(texts: list[bytes], labels: np.ndarray, importance: np.ndarray, seed: in
     starts from how much more often an n-gram stands in toxic texts, so that the first epochs
     already look at the right windows.
     """
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    bags = Bags(np.frombuffer(b"".join(texts), np.uint8), offsets)
     labels = np.asarray(labels, bool)
     if not len(texts) or labels.all() or not labels.any():
         share = float(np.average(labels, weights=importance)) if len(texts) else 0.0
         return Model(np.zeros(1 << BUCKETS_LOG2, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    # A part of the texts at a time, so that arrays over their bytes stay small.
+    parts = [(i, Bags(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in chunks(offsets)]
     number = 1 << BUCKETS_LOG2
     present = np.zeros((2, number))
-    for row in range(len(texts)):
-        a, b = bags.offsets[row] - 1, bags.offsets[row + 1]
-        seen = np.unique(np.concatenate([at[a:b][real[a:b]] for at, real in bags.grams]))
-        present[int(labels[row]), seen] += 1
+    for begin, bags in parts:
+        for row in range(len(bags.offsets) - 1):
+            a, b = bags.offsets[row] - 1, bags.offsets[row + 1]
+            seen = np.unique(np.concatenate([at[a:b][real[a:b]] for at, real in bags.grams]))
+            present[int(labels[begin + row]), seen] += 1
     counts = np.array([(~labels).sum(), labels.sum()])
     odds = np.log((present[1] + 1) / (counts[1] + 2)) - np.log((present[0] + 1) / (counts[0] + 2))
     random = np.random.default_rng(seed)
@@ -116,17 +128,11 @@ def fit(texts: list[bytes], labels: np.ndarray, importance: np.ndarray, seed: in
     weight = importance / importance.mean()
     for _ in range(epochs):
         slope = softmax[:, 1] - softmax[:, 0]
-        values = bags.windows((embedding @ slope).astype(np.float32))
-        rows, best = bags.best(values)
-        firsts = np.repeat(best, np.diff(np.append(bags.first[rows], bags.first[-1])))
-        hits = np.flatnonzero(values == firsts)
-        owner = np.searchsorted(bags.first, hits, side="right") - 1
-        rows, picked = np.unique(owner, return_index=True)
-        chosen = hits[picked]
-        grams = [
-            np.concatenate([at[a:b][real[a:b]] for at, real in bags.grams])
-            for a, b in zip(bags.low[chosen], bags.high[chosen])
-        ]
+        weights = (embedding @ slope).astype(np.float32)
+        picked = [(begin + row, gram) for begin, bags in parts for row, gram in bags.worst(weights)]
+        rows, grams = np.array([row for row, _ in picked], int), [gram for _, gram in picked]
+        if not len(rows):
+            break
         sizes = np.array([max(len(g), 1) for g in grams])
         flat = np.concatenate(grams)
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -190,7 +196,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_arrays(batch.column("_text"))
-            for i, j in chunks(offsets, 2 << 20):
+            for i, j in chunks(offsets):
                 bags = Bags(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_key").slice(i, j - i), pa.array(carried.value.scores(bags, j - i))], ["_key", "score"]
