@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,16 +21,39 @@ MIX_B = np.uint64(0xBF58476D1CE4E5B9)
 BASE = 0xD6E8FEB86659FD93
 
 
+# Folders of the tables that the operators now at work have staged, innermost last.
+_OPEN: list[list[str]] = []
+
+
 def stage(table: DataFrame, purpose: str) -> DataFrame:
     """``table`` written to the folder that all executors share, and read again.
 
     Cuts the lineage: what follows survives the loss of executors without computing it anew.
     """
     folder = shared_folder(table.sparkSession, purpose)
+    if _OPEN:
+        _OPEN[-1].append(folder)
     table.write.parquet(folder)
     return table.sparkSession.read.schema(table.schema).parquet(folder)
 
 
+def finished(spark: SparkSession, purpose: str, work: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``work``, staged; tables that it staged on the way are removed."""
+    folders: list[str] = []
+    _OPEN.append(folders)
+    try:
+        result = work()
+    except BaseException:
+        _OPEN.pop()
+        raise
+    _OPEN.pop()
+    out = stage(result, purpose)
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 def utf8(text: str) -> Column:
     """The text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from relaygauge.llm.components import components
 from relaygauge.llm.decontamination import _Words
-from relaygauge.llm.frames import MIX_A, byte_arrays, chunks, mix, stage, utf8
+from relaygauge.llm.frames import MIX_A, byte_arrays, chunks, finished, mix, stage, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -383,7 +383,18 @@ def near_duplicates(
     moved once per block of its component.  Equal sets are one set from the start, so a group of
     copies costs one.  A null text or one without words has no shingles and is linked to nothing; keys
     are expected to tell rows apart (rows with equal keys share their class); other columns are not read.
+    The result, a row of keys and counts per document, is written; sets and buckets are removed then.
     """
+    return finished(
+        docs.sparkSession,
+        "near-duplicates",
+        lambda: _near_duplicates(docs, similarity, shingle, recall, depth, block, text, key),
+    )
+
+
+def _near_duplicates(
+    docs: DataFrame, similarity: float, shingle: int, recall: float, depth: int, block: int, text: str, key: str
+) -> DataFrame:
     sets = stage(shingle_sets(docs, text, key, shingle, similarity, recall, depth), "sets")
     # An empty set is like no other: it stays alone.
     alone = F.when(F.col("size") == 0, F.col("row").cast("string").cast("binary")).otherwise(F.col("digest"))
