@@ -229,6 +229,24 @@ def test_a_passage_of_several_documents(spark):
     assert found[4].n_passages == 0
 
 
+def test_a_passage_whose_seeds_stand_earlier_elsewhere(spark, monkeypatch):
+    """Each word run of the passage first stands in a document of its own, or earlier in the same one."""
+    monkeypatch.setattr(passages, "HOT", 2)
+    rng = random.Random(14)
+    passage = prose(rng, 60, 10**6).split()
+    rows = [(i, " ".join([prose(rng, 9, 10**6), *passage[i : i + 7], prose(rng, 9, 10**6)])) for i in range(54)]
+    rows += [(key, " ".join([prose(rng, 20, 10**6), *passage, prose(rng, 20, 10**6)])) for key in (60, 61)]
+    rows.append((62, rows[-1][1]))
+    other = prose(rng, 60, 10**6).split()
+    rows.append((70, " ".join([*(w for i in range(0, 54, 6) for w in [*other[i : i + 8], f"x{i}"]), *other])))
+    rows.append((71, " ".join([prose(rng, 20, 10**6), *other])))
+    found = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert 60 in found[61].first_ids and (found[61].n_passages, found[61].n_repeated) == (1, 60)
+    assert any(p["first"] == 60 and (p.start, p.end) == (20, 80) for p in found[61].passages)
+    assert {60, 61} <= set(found[62].first_ids) and found[62].n_repeated == 100
+    assert any((p["first"], p.start, p.end) == (70, 20, 80) for p in found[71].passages)
+
+
 # Language
 
 
