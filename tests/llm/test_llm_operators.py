@@ -247,6 +247,32 @@ def test_a_passage_whose_seeds_stand_earlier_elsewhere(spark, monkeypatch):
     assert any((p["first"], p.start, p.end) == (70, 20, 80) for p in found[71].passages)
 
 
+@pytest.mark.parametrize("n", [40, 41, 50, 60])
+def test_passages_just_similar_enough(spark, n):
+    """One word in nine to twelve replaced at random: similarity 0.8 to 0.85, none below it."""
+    rng = random.Random(15 + n)
+    rows, planted = [], {}
+    for key in range(60):
+        passage = prose(rng, n, 10**6).split()
+        copy, edits = list(passage), n // 9 - (key % 2 if n >= 50 else 0)
+        for i in rng.sample(range(1, n - 1), edits):  # the ends agree
+            copy[i] = f"edit{rng.randrange(10**6)}"
+        for k, w in ((key, passage), (100 + key, copy)):
+            rows.append((k, " ".join([prose(rng, 30, 10**6), *w, prose(rng, 30, 10**6)])))
+        planted[100 + key] = sum(a == b for a, b in zip(passage, copy)) / (n + edits)
+    found = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    lost = [key for key, alike in planted.items() if alike >= 0.8 and (found[key].first_ids != [key - 100] or found[key].n_repeated < 40)]
+    assert min(planted.values()) >= 0.8 and not lost
+
+
+def test_chains_are_parted_where_they_differ():
+    rng = np.random.default_rng(16)
+    one, two = rng.integers(0, 2**32, 45, np.uint32), rng.integers(0, 2**32, 45, np.uint32)
+    mine, theirs = (np.concatenate([one, rng.integers(0, 2**32, 25, np.uint32), two]) for _ in range(2))
+    x = np.array([*range(41), *range(70, 111)])
+    assert sorted(passages.align(x, x, mine, theirs)) == [(0, 45, 0, 45, 1.0), (70, 115, 70, 115, 1.0)]
+
+
 # Language
 
 
