@@ -11,7 +11,7 @@ import zstandard
 
 import brute
 import corpus_pipeline
-from relaygauge.llm import language_id, mixing, passages, suffix_array, toxicity
+from relaygauge.llm import jaccard_join, language_id, mixing, passages, suffix_array, toxicity
 from relaygauge.llm.components import components
 from relaygauge.llm.decontamination import contamination
 from relaygauge.llm.jaccard_join import near_duplicates
@@ -390,6 +390,19 @@ def test_components(spark):
     assert found[301] == 300
 
 
+@pytest.mark.parametrize("others", [0, 30])
+def test_sketches_do_not_decide_on_links(others):
+    """Pairs of a set that share 0.8 of their tokens are linked whatever their sketches say."""
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 2**40, 400)).astype(np.uint64)[:390]
+    sets = [base[:351], base[39:], *(np.unique(rng.integers(0, 2**40, 351)).astype(np.uint64) for _ in range(others))]
+    packed = [np.ascontiguousarray(s[:, None].view(np.uint8)[:, :5]).tobytes() for s in sets]
+    frame = pd.DataFrame({"size": [len(s) for s in sets], "tokens": packed, "sketch": [bytes([i]) * 64 for i in range(len(sets))]})
+    for left, right in ((frame, None), (frame[:1], frame[1:].reset_index(drop=True))):
+        a, b = jaccard_join._verified(left, right, 312 / 390)
+        assert list(zip(a, b)) == [(0, 1 if right is None else 0)]
+
+
 @pytest.mark.parametrize("block", [1024, 8])
 def test_links_equal_brute_force(spark, block):
     rng = random.Random(6)
