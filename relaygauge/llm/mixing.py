@@ -13,6 +13,7 @@ from relaygauge.llm.frames import VISIBLE_SPLIT, stage
 MAX_REPEATS = 3  # fixed value: no source and no document counts more often
 GROUP_ROWS = 1024  # documents of one source and length that are ranked together
 TABLE_WORDS = 1 << 16  # words of a source's budget that the subset sum settles exactly
+POOL = 32  # documents of a source of which every choice is tried where the subset sum is not exact
 SEED = 17
 
 
@@ -39,7 +40,8 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int, ta
     """How many documents of each size to take, so that the words come as near ``budget`` as can be.
 
     Counts are first taken in proportion, which leaves a remainder; a bounded knapsack over the
-    remaining budget (of ``table`` words at most) then settles it from what is left of each size.
+    remaining budget (of ``table`` words at most) then settles it from what is left of each size.  Where
+    that is not exact or the rest is larger, as with few long documents, POOL documents are chosen anew.
     """
     take = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
@@ -60,12 +62,55 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int, ta
         more = min(int(counts[k] - take[k]), max(0, (rest - table // 2) // max(1, int(sizes[k]))))
         take[k] += more
         rest -= more * int(sizes[k])
-    rest = max(0, rest)
-    if rest <= table:
+    if 0 <= rest <= table:
         take += _subset_sum(sizes, counts - take, rest)
+    if int((take * sizes).sum()) != budget:
+        take = _exchanged(sizes, counts, take, budget, seed)
     return take
 
 
+def _exchanged(sizes: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int, seed: int) -> np.ndarray:
+    """``take`` or, if that comes nearer ``budget``, the best of all choices among POOL of its documents.
+
+    Of documents taken and not taken, as many of each as there are up to POOL together, every set is
+    tried: sums of one half of them, sorted, are searched for what each sum of the other half lacks.
+    """
+    order = np.random.default_rng(seed).permutation(np.flatnonzero(sizes > 0))
+
+    def some(have: np.ndarray, n: int) -> list[int]:
+        found: list[int] = []
+        turn = 0
+        while len(found) < n and (more := [int(k) for k in order if have[k] > turn]):
+            found += more[: n - len(found)]
+            turn += 1
+        return found
+
+    mine, theirs = some(take, POOL), some(counts - take, POOL)
+    n = min(len(mine), max(POOL // 2, POOL - len(theirs)))
+    pool = mine[:n] + theirs[: POOL - n]
+    base = take.copy()
+    np.subtract.at(base, mine[:n], 1)
+    halves = [pool[::2], pool[1::2]]
+    sums = []
+    for half in halves:
+        total = np.zeros(1, np.int64)
+        for k in half:
+            total = np.concatenate([total, total + int(sizes[k])])
+        sums.append(total)
+    by = np.argsort(sums[1], kind="stable")
+    lack = budget - int((base * sizes).sum()) - sums[0]
+    at = np.searchsorted(sums[1][by], lack)
+    near = np.stack([np.maximum(at - 1, 0), np.minimum(at, len(by) - 1)])
+    off = np.abs(sums[1][by][near] - lack)
+    side, first = np.unravel_index(int(off.argmin()), off.shape)
+    if off[side, first] >= abs(budget - int((take * sizes).sum())):
+        return take
+    for half, bits in zip(halves, (int(first), int(by[near[side, first]]))):
+        for i, k in enumerate(half):
+            base[k] += bits >> i & 1
+    return base
+
+
 def _subset_sum(sizes: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
     """Bounded knapsack: numbers per size whose words come nearest to ``budget``, above or below."""
     usable = [int(k) for k in np.argsort(-sizes, kind="stable") if spare[k] > 0 and 0 < sizes[k]]

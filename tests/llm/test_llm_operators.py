@@ -365,6 +365,22 @@ def test_fit_of_large_budgets():
     assert (taken * sizes).sum() == 123_456_789 and (taken <= counts).all()
 
 
+def test_fit_of_few_long_documents():
+    def taken(sizes, counts, budget):
+        return int((mixing.fit_counts(np.array(sizes), np.array(counts), budget, 1) * np.array(sizes)).sum())
+
+    assert taken([200_000], [3], 560_000) == 600_000 and taken([100_000], [1], 90_000) == 100_000
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        sizes = np.unique(rng.integers(70_000, 900_000, 5))
+        counts = rng.integers(1, 4, len(sizes))
+        sums = {0}
+        for s, c in zip(sizes, counts):
+            sums = {t + k * int(s) for t in sums for k in range(c + 1)}
+        budget = int(rng.integers(0, (sizes * counts).sum() + 1))
+        assert abs(taken(sizes, counts, budget) - budget) == min(abs(t - budget) for t in sums)
+
+
 def test_mix(spark, monkeypatch):
     monkeypatch.setattr(mixing, "GROUP_ROWS", 4)
     rng = random.Random(5)
