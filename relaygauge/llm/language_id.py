@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from relaygauge.llm.frames import LOWER, byte_arrays, chunks, first_of_each, stage, utf8
 
 SAMPLE_ROWS = 400  # labelled texts per language that the automata are made of, at most
-SAMPLE_TEXT_BYTES = 1 << 13  # longer texts are not learned from
+SAMPLE_TEXT_BYTES = 1 << 13  # of a longer text, so much is learned from, where shorter ones are few
 SAMPLE_BYTES = 1 << 18  # bytes of all languages' samples together, at most
 SEGMENT = 512  # bytes that are parsed side by side; a phrase ends at the edge of a segment
 LEAST_SEEN = 4  # a byte that all samples together have less often is like one they never have
@@ -159,19 +159,26 @@ def language_samples(
     """Folded sample text per language, the bounded sample that automata are learned from.
 
     Of each language, ``rows`` labelled texts of up to ``text_bytes`` at most, whole, in an order
-    given by a hash of the key, as many as fit in its equal share of ``total_bytes``.
+    given by a hash of the key, as many as fit in its equal share of ``total_bytes``.  Behind them come
+    longer ones, cut to ``text_bytes`` from their first letter on, so that a language of long texts only
+    is learned too: at least one text of each.
     """
-    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.octet_length(text) <= text_bytes))
+    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    long = F.octet_length(text) > text_bytes
+    start = F.regexp_substr(F.col(text), F.lit(r"(?s)\p{L}.{0,%d}" % (text_bytes - 1)))
     named = usable.select(
         F.col(lang).cast("string").alias("_lang"),
         F.xxhash64(F.lit(7), F.col(key), F.col(text)).alias("_order"),
-        utf8(text).alias("_text"),
+        long.alias("_long"),
+        F.when(long, start).otherwise(F.col(text)).cast("binary").alias("_text"),
     )
     # Texts are fetched for the chosen ones only, a few per language.
-    chosen = stage(first_of_each(named.select("_lang", "_order"), "_lang", ["_order"], rows).distinct(), "samples")
+    chosen = stage(first_of_each(named.select("_lang", "_long", "_order"), "_lang", ["_long", "_order"], rows).distinct(), "samples")
     found: dict[str, list[bytes]] = {}
-    for row in named.join(chosen, ["_lang", "_order"], "left_semi").orderBy("_lang", "_order").toLocalIterator():
-        found.setdefault(row["_lang"], []).append(folded(bytes(row["_text"])))
+    for row in named.join(chosen, ["_lang", "_long", "_order"], "left_semi").orderBy("_lang", "_long", "_order").toLocalIterator():
+        part = bytes(row["_text"])
+        part = part[:text_bytes].decode("utf-8", "ignore").encode() if row["_long"] else part
+        found.setdefault(row["_lang"], []).append(folded(part))
     share = total_bytes // max(1, len(found))
     samples = {}
     for name, texts in found.items():

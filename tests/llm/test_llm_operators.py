@@ -298,6 +298,15 @@ def test_phrases_equal_a_plain_parse():
             assert row[n] == pytest.approx(phrases * parser.bits[n] / max(1, len(text)))
 
 
+def test_languages_of_long_texts_are_learned(spark):
+    rows = [(i, "kort og lett " * 5, "no") for i in range(3)] + [(9, "1 " * 9_000 + "ägypten über öfen " * 900, "de"), (10, "12 " * 9_000, "xx")]
+    samples = language_id.language_samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(samples) == ["de", "no"] and "über öfen".encode() in samples["de"]
+    assert 4_000 < len(samples["de"]) <= 1 << 13
+    docs = spark.createDataFrame([(1, "über öfen ägypten"), (2, "lett og kort")], SCHEMA)
+    assert {r.doc_id: r.lang_pred for r in language_id.identify_languages(docs, samples).collect()} == {1: "de", 2: "no"}
+
+
 def test_languages_on_held_out_rows(spark):
     held = QUERIES["op3_language_id"](spark, FOLDER).where("held_out")
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang")
