@@ -112,8 +112,87 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   coalesce(failed_rules, '') AS failed_rules
 FROM m LEFT JOIN failed USING (doc_id)"""
 
+# What the article of each of the given pages holds, which mark it as such, by plain replacements; they have
+# the references named here only.
+_REFERENCES = {"&quot;": '"', "&lt;": "<", "&gt;": ">", "&#x27;": "''", "&#39;": "''", "&amp;": "&", "&amp": "&"}
+_ARTICLE = r"regexp_extract(html, '<article>(.*)</article>', 1, 's')"
+_BLOCKS = rf"regexp_replace(regexp_replace({_ARTICLE}, '</?(p|h1)>', chr(30), 'g'), '<[^>]*>', ' ', 'g')"
+_DECODED = "block"
+for _reference, _letter in _REFERENCES.items():
+    _DECODED = f"replace({_DECODED}, '{_reference}', '{_letter}')"
+
+MAIN_TEXT = rf"""WITH b AS (
+  SELECT page_id, url, list_transform(string_split({_BLOCKS}, chr(30)),
+    lambda block: trim(regexp_replace({_DECODED}, '\s+', ' ', 'g'))) AS blocks FROM pages)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars
+FROM (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM b)"""
+
+
+def _rounds(last: int) -> str:
+    """Centroids after each round and the nearest ones of each vector: c0, a0, c1 ... a<last>."""
+    out = []
+    for i in range(last + 1):
+        out.append(f"""a{i} AS MATERIALIZED (
+  SELECT * FROM (SELECT x.rid, c.c, sum((x.val - c.val) * (x.val - c.val)) AS d FROM x JOIN c{i} c USING (dim) GROUP BY x.rid, c.c)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)""")
+        if i < last:
+            out.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.c, dim, coalesce((s - ((s % n) + n) % n) // n, val) AS val
+  FROM c{i} LEFT JOIN (SELECT c, dim, sum(val) AS s, count(*) AS n FROM a{i} JOIN x USING (rid) GROUP BY c, dim) USING (c, dim))""")
+    return ",\n".join(out)
+
+
+CLUSTERS = f"""WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT rid, unnest(vec) AS val, generate_subscripts(vec, 1) AS dim FROM v),
+c0 AS MATERIALIZED (
+  SELECT c, unnest(vec) AS val, generate_subscripts(vec, 1) AS dim
+  FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), vec) - 1 AS c, vec FROM v) WHERE c < 8),
+{_rounds(10)},
+prints AS (SELECT c, sha256(string_agg(CAST(val AS VARCHAR), ',' ORDER BY dim)) AS centroid_sha256 FROM c10 GROUP BY c),
+inertia AS (SELECT c, sum(d) AS total FROM a10 GROUP BY c)
+SELECT vec_id, CAST(a10.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(total AS BIGINT) AS cluster_inertia,
+  CAST((SELECT sum(d) FROM a10) AS BIGINT) AS inertia, centroid_sha256
+FROM a10 JOIN v USING (rid) JOIN prints ON prints.c = a10.c JOIN inertia ON inertia.c = a10.c"""
+
+DIVERGENCE = rf"""WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+tok AS MATERIALIZED (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM tok GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+found AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+n AS (SELECT lang, source, sum(c) AS n FROM found GROUP BY lang, source),
+shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c,
+    1 + CAST(1000000000 * (coalesce(c, 0) + 1) AS BIGINT) // CAST(coalesce(n, 0) + v AS BIGINT) AS p
+  FROM grp g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source)
+  LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.term = k.term),
+whole AS (
+  SELECT lang, term, 1 + CAST(1000000000 * (sum(c) + 1) AS BIGINT) // CAST(total + v AS BIGINT) AS q
+  FROM found JOIN v USING (lang) JOIN (SELECT lang, sum(c) AS total FROM found GROUP BY lang) USING (lang) GROUP BY lang, term, total, v),
+summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value
+  FROM shares JOIN whole USING (lang, term) WHERE c > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 200"""
+
 ORACLES: dict[str, str] = {
     "op6_jaccard_join": NEAR_DUPLICATES,
     "op7_quality_rules": QUALITY,
     "op8_decontamination": CONTAMINATION,
+    "op11_html_extraction": MAIN_TEXT,
+    "op12_centroid_clusters": CLUSTERS,
+    "op13_source_divergence": DIVERGENCE,
 }

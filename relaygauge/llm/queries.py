@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relaygauge.llm.centroids import cluster_vectors
 from relaygauge.llm.decontamination import contamination
 from relaygauge.llm.frames import crc_remainder
+from relaygauge.llm.html_extraction import main_text
 from relaygauge.llm.jaccard_join import near_duplicates
 from relaygauge.llm.language_id import identify_languages, language_samples
 from relaygauge.llm.licenses import license_scan
@@ -16,6 +18,7 @@ from relaygauge.llm.mixing import mix_sources
 from relaygauge.llm.oracles import ORACLES
 from relaygauge.llm.passages import repeated_passages
 from relaygauge.llm.quality import quality
+from relaygauge.llm.source_audit import source_divergence
 from relaygauge.llm.suffix_dedup import suffix_dedup
 from relaygauge.llm.token_counts import token_counts
 from relaygauge.llm.toxicity import fit_on_labels, toxicity
@@ -120,6 +123,22 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    found = main_text(_read(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256."""
+    return cluster_vectors(_read(spark, folder, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """lang, source, part, item, value, rank."""
+    return source_divergence(_read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_passages": op2_passages,
@@ -131,6 +150,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
