@@ -8,10 +8,10 @@ a piece of text has them, so no worker needs more of the vocabulary than a block
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +28,20 @@ BLOCK_BYTES = 4 << 20
 # Terms on average that blocks are planned for.
 PLANNED_TERMS = 1 << 13
 # Distinct terms, and bytes of text, that a worker counts before it hands them on.
-HELD_TERMS = 200_000
+HELD_TERMS = 300_000
 HELD_BYTES = 64 << 20
 # Terms whose counts a worker compares between all sources at once.
 COMPARED = 1 << 12
+# Bytes of terms that run through a transducer side by side.
+STREAMED = 1 << 19
 UNIT = 1_000_000_000
 
-# Fixed value: [^\x00-\x40\x5B-\x60\x7B-\x7F]+, byte by byte.
-_TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+# Fixed value: the letters of [^\x00-\x40\x5B-\x60\x7B-\x7F]+ byte by byte, A-Z lower-cased, blanks for all else.
+_LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
 def terms_of(text: bytes) -> list[bytes]:
-    return _TERM.findall(text.lower())
+    return text.translate(_LETTERS).split()
 
 
 def _counted(rows: Iterator[tuple[tuple, list[bytes] | set[bytes], int]]) -> Iterator[dict[tuple, Counter]]:
@@ -61,10 +63,9 @@ def _counted(rows: Iterator[tuple[tuple, list[bytes] | set[bytes], int]]) -> Ite
 
 def _groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, bytes]]:
     for batch in batches:
-        columns = [batch.column(n) for n in names]
-        texts = batch.column("_text")
-        for i in range(batch.num_rows):
-            yield tuple(c[i].as_py() for c in columns), texts[i].as_py()
+        groups = zip(*(batch.column(n).to_pylist() for n in names))
+        for group, text in zip(groups, batch.column("_text")):
+            yield group, text.as_py()
 
 
 def _documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,15 +118,20 @@ def _routed(blocks: dict[str, tuple[list[bytes], list[int]]]) -> Callable[[Itera
             for (lang, source), found in counts.items():
                 firsts, numbers = blocks[lang]
                 terms = sorted(found)
-                ends = [*np.searchsorted(np.array(terms, object), np.array(firsts, object)), len(terms)] if terms else []
-                rows = []
-                for number, low, high in zip(numbers, ends, ends[1:]):
-                    if low < high:
-                        some = terms[low:high]
-                        numbers_of = np.array([found[t] for t in some], np.int64).tobytes()
-                        rows.append({"block": number, "kind": 1, "lang": lang, "source": source, "packed": b" ".join(some), "counts": numbers_of})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                each = np.array([found[t] for t in terms], np.int64)
+                ends = [*(bisect_left(terms, first) for first in firsts), len(terms)]
+                met = [(n, low, high) for n, low, high in zip(numbers, ends, ends[1:]) if low < high]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([n for n, _, _ in met], pa.int64()),
+                        pa.array([1] * len(met), pa.int32()),
+                        pa.array([lang] * len(met), pa.string()),
+                        pa.array([source] * len(met), pa.string()),
+                        pa.array([b" ".join(terms[low:high]) for _, low, high in met], pa.binary()),
+                        pa.array([each[low:high].tobytes() for _, low, high in met], pa.binary()),
+                    ],
+                    schema=schema,
+                )
 
     return route
 
@@ -140,45 +146,59 @@ def _spans(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _recounted(offsets: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(block, lang, source, ordinal, count) of rows sorted by block, its transducer first, and source."""
 
-    def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, lang, source = None, None, None
-        transducer: Transducer | None = None
-        totals = np.zeros(0, np.int64)
-
-        def counted() -> Iterator[pa.RecordBatch]:
-            found = np.flatnonzero(totals)
-            if len(found):
-                n = len(found)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, now), pa.int64()),
-                        pa.array([lang] * n, pa.string()),
-                        pa.array([source] * n, pa.string()),
-                        pa.array(found + offsets[now], pa.int64()),
-                        pa.array(totals[found], pa.int64()),
-                    ],
-                    ["block", "lang", "source", "ordinal", "count"],
-                )
-
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                block, kind, its_lang, its_source, packed, counts = (batch.column(j)[i].as_py() for j in range(6))
-                if kind == 0 or its_source != source:
-                    yield from counted()
-                if kind == 0:
-                    transducer, now, lang, source = Transducer.from_bytes(packed), block, its_lang, None
-                    totals = np.zeros(0, np.int64)
-                    continue
-                if its_source != source:
-                    source, totals = its_source, np.zeros(transducer.terms, np.int64)
-                ordinals = transducer.ordinals(*_spans(packed))
-                hit = ordinals >= 0
-                np.add.at(totals, ordinals[hit], np.frombuffer(counts, np.int64)[hit])
-        yield from counted()
+            yield from zip(*(batch.column(i).to_pylist() for i in range(6)))
+
+    def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (block, lang), rows in groupby(rows_of(batches), key=lambda r: (r[0], r[2])):
+            transducer = Transducer.from_bytes(next(rows)[4])
+            source, totals = None, np.zeros(transducer.terms, np.int64)
+            for streams in _together(rows):
+                ordinals = transducer.ordinals(*_spans(b" ".join(r[4] for r in streams)))
+                at = 0
+                for row in streams:
+                    if row[3] != source:
+                        yield from counted(block, lang, source, totals)
+                        source, totals = row[3], np.zeros(transducer.terms, np.int64)
+                    counts = np.frombuffer(row[5], np.int64)
+                    its = ordinals[at : at + len(counts)]
+                    at += len(counts)
+                    # The terms of a row are distinct.
+                    totals[its[its >= 0]] += counts[its >= 0]
+            yield from counted(block, lang, source, totals)
+
+    def counted(block: int, lang: str, source: str | None, totals: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = np.flatnonzero(totals)
+        n = len(found)
+        if n:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, block), pa.int64()),
+                    pa.array([lang] * n, pa.string()),
+                    pa.array([source] * n, pa.string()),
+                    pa.array(found + offsets[block], pa.int64()),
+                    pa.array(totals[found], pa.int64()),
+                ],
+                ["block", "lang", "source", "ordinal", "count"],
+            )
 
     return recount
 
 
+def _together(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows in runs of about STREAMED bytes of terms."""
+    run, size = [], 0
+    for row in rows:
+        run.append(row)
+        size += len(row[4])
+        if size >= STREAMED:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a block with the terms of their ordinals."""
     for batch in batches:
