@@ -370,4 +370,9 @@ FROM ev WHERE event_type <> 'error'""",
     "stream_relay_check": f"WITH {_report()} SELECT *, true AS ended FROM report WHERE test_id = 'dropped'",
     "stream_latency_buckets": f"WITH {BUCKETS} SELECT * FROM buckets",
     "stream_rolling_10second": f"WITH {BUCKETS} {_rolling('second', 10)}",
+    "stream_window_reports": f"""WITH {BUCKETS}
+SELECT *, CAST(1 AS BIGINT) AS reports FROM ({_rolling('second', 10)} UNION ALL {_rolling('second', 30)})""",
+    "events_levels": f"""WITH {RESULTS}
+SELECT topic, "partition", consumerid, eventname, "second", operation,
+  CASE WHEN topic = 'purchase' THEN value + 1 ELSE value END AS value, cnt FROM results""",
 }

@@ -23,12 +23,13 @@ from relaygauge.schemas import EVENT_KEY, LATENCY_EVENT, TIMINGS
 from relaygauge.session import shared_folder
 from relaygauge.sinks import tables
 from relaygauge.sinks import topics as topic_sinks
+from relaygauge.sinks.levels import LevelledTable, newest_of
 from relaygauge.sinks.text import report_lines, write_lines
 from relaygauge.sinks.topics import event_values, framed_values, line_values
 from relaygauge.sources import catalogue, records, results, topics
 from relaygauge.streaming import DRAIN
 from relaygauge.streaming.archive import archive_stream, read_counters, read_messages
-from relaygauge.streaming.latency import latency_stream, read_buckets, read_events
+from relaygauge.streaming.latency import close_windows, latency_stream, read_buckets, read_events, read_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -332,6 +333,22 @@ def events_upsert(spark, folder):
     return tables.read_table(spark, path, LATENCY_EVENT, EVENT_KEY)
 
 
+@query
+def events_levels(spark, folder):
+    """Events that come in many batches and again for one topic, merged by levels on the way."""
+    first = fx.results(spark, folder)
+    again = first.where("topic = 'purchase'").withColumn("value", F.col("value") + 1)
+    table = LevelledTable(
+        spark, shared_folder(spark, "levels"), LATENCY_EVENT, newest_of(EVENT_KEY), tuple(EVENT_KEY), "second", width=3
+    )
+    pieces = first.persist()
+    for batch in range(6):
+        table.append(pieces.where(F.pmod(F.xxhash64(*EVENT_KEY), F.lit(6)) == batch), batch)
+    table.append(again, 6)
+    pieces.unpersist()
+    return table.current()
+
+
 @query
 def events_history(spark, folder):
     return series.events_history(fx.results(spark, folder), "click", HISTORY_NOW)
@@ -573,6 +590,7 @@ def _latency_job(spark, folder):
     root = shared_folder(spark, "latency")
     stream = fx.records_of(_event_stream(spark, folder)).select("tag", "timings", "arrived_at")
     latency_stream(stream, root, f"{root}/checkpoint", [("second", 10)], trigger=DRAIN).awaitTermination()
+    close_windows(spark, root, [("second", 10)])
     return root
 
 
@@ -584,3 +602,22 @@ def stream_latency_buckets(spark, folder):
 @query
 def stream_rolling_10second(spark, folder):
     return read_events(spark, _latency_job(spark, folder))
+
+
+@query
+def stream_window_reports(spark, folder):
+    """How often each window is reported by a stream of several batches in the order of time: once."""
+    root = shared_folder(spark, "reports")
+    ordered = fx.events(spark, folder).withColumn("_at", epoch_micros(F.col("ts")))
+    cuts = ordered.approxQuantile("_at", [0.25, 0.5, 0.75], 0.001)
+    earlier = F.lit(False)
+    for cut in [*cuts, None]:
+        upto = F.lit(True) if cut is None else F.col("_at") <= int(cut)
+        ordered.where(upto & ~earlier).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        earlier = upto
+    stream = spark.readStream.schema(ordered.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    records_ = fx.records_of(stream).select("tag", "timings", "arrived_at")
+    windows = fx.RESULT_WINDOWS
+    latency_stream(records_, root, f"{root}/checkpoint", windows, trigger=DRAIN).awaitTermination()
+    close_windows(spark, root, windows)
+    return read_reports(spark, root).groupBy(*LATENCY_EVENT.names).agg(F.count(F.lit(1)).alias("reports"))

@@ -34,12 +34,15 @@ def rolling_spans(
     buckets: DataFrame,
     windows: Sequence[tuple[str, int]] = WINDOWS,
     block_seconds: int = BLOCK_SECONDS,
+    sums: Sequence[str] = (),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """(series, operation, from, until, value, cnt): all non-empty windows without loss, those that
     end at consecutive seconds over the same buckets as one row.
 
     A bucket starts and ends at most one row per window, however long that is; rows are cut at
-    blocks of time.
+    blocks of time.  ``sums`` are further columns of the buckets to add up per window, ``keep`` columns that
+    a series has the same in all its buckets.
     """
     spans = [(average_label(unit, n), window_seconds(unit, n)) for unit, n in windows]
     if block_seconds < max(span for _, span in spans):
@@ -57,22 +60,23 @@ def rolling_spans(
     leave = enter + F.col("span")
     start = F.col("block") * block_seconds
     end = start + block_seconds
+    added = ["total", "cnt", *sums]
     changes = F.array(
-        F.struct(F.greatest(enter, start).alias("at"), F.col("total").alias("dt"), F.col("cnt").alias("dc")),
-        F.struct(leave.alias("at"), (-F.col("total")).alias("dt"), (-F.col("cnt")).alias("dc")),
+        F.struct(F.greatest(enter, start).alias("at"), *[F.col(c).alias(f"d_{c}") for c in added]),
+        F.struct(leave.alias("at"), *[(-F.col(c)).alias(f"d_{c}") for c in added]),
     )
     seen = placed.select("*", F.inline(span_rows)).where((enter < end) & (leave > start))
-    changed = seen.select(*SERIES_KEY, "operation", "block", F.inline(changes)).where(F.col("at") < end)
+    changed = seen.select(*SERIES_KEY, *keep, "operation", "block", F.inline(changes)).where(F.col("at") < end)
 
     series = W.partitionBy(*SERIES_KEY, "operation", "block").orderBy("at")
     upto = series.rangeBetween(W.unboundedPreceding, W.currentRow)
     states = changed.select(
         *SERIES_KEY,
+        *keep,
         "operation",
         "at",
         F.coalesce(F.lead("at").over(series), end).alias("until"),
-        F.sum("dt").over(upto).alias("total"),
-        F.sum("dc").over(upto).alias("cnt"),
+        *[F.sum(f"d_{c}").over(upto).alias(c) for c in added],
     )
     # Changes at one instant all see its final state; only the last of them spans time.
     return states.where((F.col("cnt") > 0) & (F.col("at") < F.col("until"))).select(
@@ -82,6 +86,8 @@ def rolling_spans(
         "until",
         int_div(F.col("total"), F.col("cnt")).alias("value"),
         "cnt",
+        *sums,
+        *keep,
     )
 
 

@@ -47,6 +47,9 @@ LATENCY_EVENT = _struct(
     value=_whole,
     cnt=_whole,
 )
+BUCKET = _struct(
+    topic=_text, partition=_text, consumerid=_text, eventname=_text, second=_whole, total=_whole, cnt=_whole
+)
 METRIC_RECORD = _struct(id=_whole, timings=MapType(_text, _whole), value=BinaryType())
 
 MESSAGE_KEY = ["test_id", "topic", "partition", "offset"]

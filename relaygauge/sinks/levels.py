@@ -161,7 +161,7 @@ class LevelledTable:
         folder = f"parts/0-{batch}"
         own = rows.select(*self.schema.names, F.lit(batch).cast("bigint").alias(BATCH))
         if files is not None:
-            own = own.coalesce(files)
+            own = own.repartition(files)
         count, low, high = self._write(own, folder)
         if not count:
             self._files().remove(f"{self.root}/{folder}")

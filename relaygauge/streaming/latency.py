@@ -1,48 +1,56 @@
 """The latency job: records to one-second buckets, buckets to rolling averages.
 
-The stream keeps no state and drops nothing, however late it comes.  Each batch stores what its own
-records add to the buckets of their seconds; readers add the parts up.  The windows that a batch
-changes are then computed anew and replace the earlier ones under the same key.
+Each window is reported once, when it has ended, and again only when a late record changes it; nothing is
+dropped, however late it comes.  For each series the job keeps a frontier: windows that end up to there
+have been reported.  Each batch stores what its records add to the buckets of their seconds, moves the
+frontiers on, and reports the windows they pass, from the stored buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from relaygauge.functions.keys import window_seconds
 from relaygauge.functions.numbers import int_div
 from relaygauge.operators.latencies import latency_buckets
-from relaygauge.operators.rolling import WINDOWS, rolling_averages
-from relaygauge.schemas import EVENT_KEY, LATENCY_EVENT, SERIES_KEY
-from relaygauge.sinks.tables import BATCH, read_table, write_batch
+from relaygauge.operators.rolling import WINDOWS, rolling_spans
+from relaygauge.schemas import BUCKET, EVENT_KEY, LATENCY_EVENT, SERIES_KEY
+from relaygauge.sinks.files import Files
+from relaygauge.sinks.levels import LevelledTable, newest_of, summed_by
 from relaygauge.sinks.topics import event_values, write_topic
 from relaygauge.streaming import LATENCY_INTERVAL
 
-# Seconds that are computed anew where a batch has records; no window is longer.
+# Seconds by which stored buckets are looked up.
 STRETCH = 900
-# Seconds of a folder of stored buckets.
-FOLDER = 6 * 3600
+# Seconds that a series may lag behind the newest one before its windows are taken to have ended.
+LAG = 60
 
+_FRONTIER = StructType(
+    [*[f for f in BUCKET.fields if f.name in SERIES_KEY], *[StructField(c, LongType()) for c in ("ended", "newest")]]
+)
 
-def _summed(parts: DataFrame) -> DataFrame:
-    return parts.groupBy(*SERIES_KEY, "second").agg(F.sum("total").alias("total"), F.sum("cnt").alias("cnt"))
 
+def buckets_table(spark: SparkSession, root: str) -> LevelledTable:
+    """One-second buckets; a second has a row per batch that has added to it, until they merge."""
+    keys = [*SERIES_KEY, "second"]
+    combine = summed_by(keys, ["total", "cnt"])
+    return LevelledTable(spark, f"{root}/buckets", BUCKET, combine, ("second", *SERIES_KEY), "second")
 
-def _stored(spark: SparkSession, root: str, stretches: Sequence[int], batch_id: int) -> DataFrame:
-    """Buckets of the given stretches, and no others, as far as this batch and those before it know."""
-    folders = ",".join(str(f) for f in sorted({s * STRETCH // FOLDER for s in stretches}))
-    parts = (
-        spark.read.option("basePath", f"{root}/buckets")
-        .parquet(f"{root}/buckets/folder={{{folders}}}")
-        .where(F.col(BATCH) <= batch_id)
-        .where(F.col("second").between(min(stretches) * STRETCH, (max(stretches) + 1) * STRETCH - 1))
-        .where(int_div(F.col("second"), STRETCH).isin(*stretches))
-    )
-    return _summed(parts)
+
+def events_table(spark: SparkSession, root: str) -> LevelledTable:
+    """Reported windows; a window that was reported again replaces the earlier report."""
+    return LevelledTable(spark, f"{root}/events", LATENCY_EVENT, newest_of(EVENT_KEY), tuple(EVENT_KEY), "second")
+
+
+def clock_ticks(spark: SparkSession) -> DataFrame:
+    """A stream of a tick a second, to end the windows of series that have fallen silent."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.select(F.col("timestamp").alias("arrived_at"))
 
 
 def latency_stream(
@@ -53,39 +61,29 @@ def latency_stream(
     trigger: dict = LATENCY_INTERVAL,
     results: dict | None = None,
     files: int = 1,
+    lag: int = LAG,
+    clock: DataFrame | None = None,
 ) -> StreamingQuery:
     """Run the latency job on a stream of records; ``root`` belongs to one ``checkpoint``.
 
     Events go to the table below ``root`` and, if ``results`` holds arguments for
-    ``write_topic`` and the topic's name, to the results topic as well.  A window is reported when
-    its first record has come, and again whenever a batch adds to it.  A batch that is run again
-    replaces its own output.  A batch writes ``files`` files per folder and topic.
+    ``write_topic`` and the topic's name, to the results topic as well.  A window has ended when its series
+    has a record of its last second or a later one, or any series has one ``lag`` seconds later, or a
+    row of ``clock`` is that late.  A batch that is run again gives the same rows once.  A batch writes ``files``
+    files per table.  ``close_windows`` reports what a run that ends has left open.
     """
-    longest = max(window_seconds(unit, length) for unit, length in windows)
-    if longest > STRETCH:
-        raise ValueError(f"windows of up to {STRETCH} seconds are reported")
+    if clock is not None:
+        records = records.unionByName(clock, allowMissingColumns=True)
 
     def report(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        parts = latency_buckets(batch).withColumn("folder", int_div(F.col("second"), FOLDER)).persist()
+        parts = latency_buckets(batch).persist()
         try:
-            # A row per quarter of an hour that the batch has records of.
-            stretch = int_div(F.col("second"), STRETCH).alias("stretch")
-            touched = sorted(r["stretch"] for r in parts.select(stretch).distinct().collect())
-            if not touched:
-                return
-            write_batch(parts, f"{root}/buckets", batch_id, ["folder"], files=files)
-            changed = parts.agg(F.min("second")).first()[0]
+            # One row: where the batch's buckets lie, and the newest second of all its rows.
+            span = parts.agg(F.min("second").alias("low"), F.max("second").alias("high")).first()
+            newest = batch.agg(F.max(F.unix_seconds("arrived_at"))).first()[0]
+            _report(parts, batch_id, span["low"], span["high"], newest, root, windows, results, files, lag)
         finally:
             parts.unpersist()
-        # A bucket lies in windows that end in its own stretch or the next one, and those reach
-        # back into the stretch before.
-        near = sorted({s + d for s in touched for d in (-1, 0, 1)})
-        ends = int_div(F.col("second") - 1, STRETCH)
-        events = rolling_averages(_stored(spark, root, near, batch_id), windows).where(
-            ends.isin(*sorted({s + d for s in touched for d in (0, 1)})) & (F.col("second") > changed)
-        )
-        _write_events(events, root, batch_id, results, files)
 
     return (
         records.writeStream.foreachBatch(report)
@@ -95,13 +93,131 @@ def latency_stream(
     )
 
 
-def _write_events(events: DataFrame, root: str, batch_id: int, results: dict | None, files: int) -> None:
+def close_windows(
+    spark: SparkSession, root: str, windows: Sequence[tuple[str, int]] = WINDOWS, results: dict | None = None, files: int = 1
+) -> None:
+    """Report the windows that a run which has ended left open.  The stream may go on from its checkpoint."""
+    stored = _snapshots(spark, root)
+    if stored:
+        nothing = spark.createDataFrame([], BUCKET)
+        _report(nothing, max(stored) // 2, None, None, None, root, windows, results, files, 0, closing=True)
+
+
+def _snapshots(spark: SparkSession, root: str) -> list[int]:
+    return sorted(int(n) for n in Files(spark, root).names(f"{root}/frontier") if n.isdigit())
+
+
+def _report(
+    parts: DataFrame,
+    batch_id: int,
+    low: int | None,
+    high: int | None,
+    newest: int | None,
+    root: str,
+    windows: Sequence[tuple[str, int]],
+    results: dict | None,
+    files: int,
+    lag: int,
+    closing: bool = False,
+) -> None:
+    spark = parts.sparkSession
+    # Batches have even numbers in the tables; closing after one has the odd number that follows.
+    version = 2 * batch_id + closing
+    longest = max(window_seconds(unit, length) for unit, length in windows)
+    buckets, events = buckets_table(spark, root), events_table(spark, root)
+    if low is not None:
+        buckets.append(parts, version, files, merge_below=None)
+
+    before = [v for v in _snapshots(spark, root) if v < version]
+    known = (
+        spark.read.schema(_FRONTIER).parquet(f"{root}/frontier/{before[-1]}")
+        if before
+        else spark.createDataFrame([], _FRONTIER)
+    )
+    # The row without a series is the clock.
+    clock = F.max(F.when(F.col("topic").isNull(), F.col("newest"))).alias("clock")
+    was = known.agg(clock, F.min("ended").alias("ended"), F.max(F.when(F.col("topic").isNotNull(), F.col("newest"))).alias("newest")).first()
+    now = max((t for t in (was["clock"], newest) if t is not None), default=None)
+    frontiers = _moved(parts, known.where("topic IS NOT NULL"), now, longest, lag, closing)
+
+    wide = _looked_up(spark, parts, low, high, was["ended"], was["newest"], longest)
+    if wide is not None:
+        first, last, stretches = wide
+        stored = buckets.versions(first, last, until=version).drop("batch_id").withColumn("fresh", F.lit(0).cast("bigint"))
+        fresh = parts.select(*SERIES_KEY, "second", *[F.lit(0).cast("bigint").alias(c) for c in ("total", "cnt")], F.lit(1).cast("bigint").alias("fresh"))
+        near = stored.unionByName(fresh).withColumn("stretch", int_div(F.col("second"), STRETCH)).join(stretches, "stretch", "left_semi")
+        summed = near.groupBy(*SERIES_KEY, "second").agg(*[F.sum(c).alias(c) for c in ("total", "cnt")], F.max("fresh").alias("fresh"))
+        reported = _ended(summed.join(frontiers, SERIES_KEY), windows)
+        _write_events(reported, events, version, results, files)
+
+    # Series whose last window has been reported need no frontier any more.
+    live = frontiers.where(F.col("ended") < F.col("newest") + longest).select(*_FRONTIER.names)
+    tick = spark.createDataFrame([(*[None] * len(SERIES_KEY), None, now)], _FRONTIER)
+    live.unionByName(tick).repartition(files).write.mode("overwrite").parquet(f"{root}/frontier/{version}")
+    keeper = Files(spark, root)
+    for old in before[:-2]:
+        keeper.remove(f"{root}/frontier/{old}")
+    buckets.merge(buckets.file_bytes)
+    events.merge(events.file_bytes)
+
+
+def _moved(parts: DataFrame, known: DataFrame, now: int | None, longest: int, lag: int, closing: bool) -> DataFrame:
+    """Frontiers after a batch: ``ended`` up to which windows are to be reported, ``passed`` up to which they were.
+
+    A series that has none is new or long reported; its windows are those of its records now.
+    """
+    own = parts.groupBy(*SERIES_KEY).agg(F.max("second").alias("_second"))
+    met = known.join(own, SERIES_KEY, "full")
+    newest = F.greatest("newest", "_second")
+    behind = F.lit(None if now is None else now - lag).cast("bigint")
+    ended: Column = newest + longest if closing else F.greatest("ended", "_second", behind)
+    # Beyond the last window there is nothing to report.
+    ended = F.greatest("ended", F.least(ended, newest + longest))
+    return met.select(*SERIES_KEY, F.coalesce("ended", ended).alias("passed"), ended.alias("ended"), newest.alias("newest"))
+
+
+def _looked_up(
+    spark: SparkSession, parts: DataFrame, low: int | None, high: int | None, passed: int | None, newest: int | None, longest: int
+) -> tuple[int, int, DataFrame] | None:
+    """The range and the stretches of seconds whose buckets lie in a window to report, None if there are none.
+
+    Those are the ones around the batch's buckets, and those from the frontier that is furthest behind to
+    the newest bucket of a series that has one.
+    """
+    ranges = []
+    if low is not None:
+        own = parts.select(int_div(F.col("second"), STRETCH).alias("own")).distinct()
+        reach = -(-longest // STRETCH)
+        around = F.sequence(F.col("own") - reach, F.col("own") + reach)
+        ranges.append((low - longest, high + longest, own.select(F.explode(around).alias("stretch"))))
+    if passed is not None:
+        first = passed - longest
+        ranges.append((first, newest, spark.range(first // STRETCH, newest // STRETCH + 1).select(F.col("id").alias("stretch"))))
+    if not ranges:
+        return None
+    stretches = ranges[0][2] if len(ranges) == 1 else ranges[0][2].union(ranges[1][2])
+    return min(r[0] for r in ranges), max(r[1] for r in ranges), stretches.distinct()
+
+
+def _ended(buckets: DataFrame, windows: Sequence[tuple[str, int]]) -> DataFrame:
+    """Events of windows that end after ``passed`` and up to ``ended``, and earlier ones that hold a fresh bucket."""
+    spans = rolling_spans(buckets, windows, sums=["fresh"], keep=["passed", "ended"])
+    touched = F.col("fresh") > 0
+    start = F.when(touched, F.col("from")).otherwise(F.greatest("from", F.col("passed") + 1))
+    end = F.least(F.col("until") - 1, F.col("ended"))
+    open_spans = spans.where(start <= end)
+    return open_spans.select(
+        *SERIES_KEY, F.explode(F.sequence(start, end)).alias("second"), "operation", "value", "cnt"
+    ).select(*LATENCY_EVENT.names)
+
+
+def _write_events(events: DataFrame, table: LevelledTable, version: int, results: dict | None, files: int) -> None:
     if results is None:
-        write_batch(events, f"{root}/events", batch_id, ["topic"], files=files)
+        table.append(events, version, files, merge_below=None)
         return
     events.persist()
     try:
-        write_batch(events, f"{root}/events", batch_id, ["topic"], files=files)
+        table.append(events, version, files, merge_below=None)
         sink = dict(results)
         write_topic(event_values(events, sink.pop("topic")), **sink)
     finally:
@@ -110,9 +226,14 @@ def _write_events(events: DataFrame, root: str, batch_id: int, results: dict | N
 
 def read_buckets(spark: SparkSession, root: str) -> DataFrame:
     """All buckets the job has stored, the parts of each added up."""
-    return _summed(spark.read.parquet(f"{root}/buckets"))
+    return buckets_table(spark, root).current()
 
 
 def read_events(spark: SparkSession, root: str) -> DataFrame:
     """The events table: one row per event key, the one reported last."""
-    return read_table(spark, f"{root}/events", LATENCY_EVENT, EVENT_KEY)
+    return events_table(spark, root).current()
+
+
+def read_reports(spark: SparkSession, root: str) -> DataFrame:
+    """Every report of a window that is still stored as such, with the number of its batch."""
+    return events_table(spark, root).versions()

@@ -1,5 +1,6 @@
 """Streams against batches: same results, also after a restart and a repeated batch."""
 
+import shutil
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -12,7 +13,16 @@ from relaygauge.sources.topics import stream_topic
 from relaygauge.streaming import DRAIN
 from relaygauge.streaming.archive import archive_stream, read_counters, read_messages, read_progress
 from relaygauge.streaming.feed import feed_stream
-from relaygauge.streaming.latency import latency_stream, read_buckets, read_events
+from relaygauge.streaming.latency import (
+    buckets_table,
+    clock_ticks,
+    close_windows,
+    events_table,
+    latency_stream,
+    read_buckets,
+    read_events,
+    read_reports,
+)
 
 START = datetime(2024, 1, 1, 23, 50, tzinfo=timezone.utc)
 WINDOWS = [("second", 10), ("minute", 1)]
@@ -49,6 +59,10 @@ def run(spark, folder, **options):
     return query
 
 
+def finish(spark, folder):
+    close_windows(spark, str(folder / "out"), WINDOWS)
+
+
 def expected(spark, folder):
     buckets = latency_buckets(spark.read.schema(LATENCY_RECORD).parquet(str(folder / "in")))
     return buckets, rolling_averages(buckets, WINDOWS)
@@ -62,55 +76,156 @@ def same(one, two):
 def test_latency_stream_equals_batch_across_restarts(spark, drops):
     deliver(drops, 0, 1)
     run(spark, drops)
+    finish(spark, drops)
     closed, events = expected(spark, drops)
     assert same(read_buckets(spark, str(drops / "out")), closed)
     assert same(read_events(spark, str(drops / "out")), events)
     deliver(drops, 2, 3)
     run(spark, drops)  # goes on from its checkpoint
+    finish(spark, drops)
     closed, events = expected(spark, drops)
     assert same(read_buckets(spark, str(drops / "out")), closed)
     assert same(read_events(spark, str(drops / "out")), events)
 
 
+def undo_last_commit(folder):
+    """As if the driver had died between the output of the last batch and its commit."""
+    last = max((folder / "check" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+
+
 def test_repeated_batch_leaves_no_double_rows(spark, drops):
     deliver(drops, 0, 1)
     run(spark, drops)
-    before = spark.read.parquet(str(drops / "out" / "events")).count()
-    # Take back the last commit, as if the driver had died between output and commit.
-    last = max((drops / "check" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
-    last.unlink()
-    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    before = sorted(map(tuple, read_reports(spark, str(drops / "out")).collect()))
+    undo_last_commit(drops)
     run(spark, drops)
-    assert spark.read.parquet(str(drops / "out" / "events")).count() == before
+    assert sorted(map(tuple, read_reports(spark, str(drops / "out")).collect())) == before
+    finish(spark, drops)
     assert same(read_events(spark, str(drops / "out")), expected(spark, drops)[1])
 
 
+@pytest.mark.parametrize("lost", ["events", "frontier"])
+def test_a_batch_that_died_halfway_is_completed(spark, drops, lost):
+    """The last batch has stored its buckets, but not yet its events, or not yet the frontier."""
+    deliver(drops, 0, 1)
+    run(spark, drops)
+    reports = sorted(map(tuple, read_reports(spark, str(drops / "out")).collect()))
+    undo_last_commit(drops)
+    if lost == "events":
+        manifests = sorted((drops / "out" / "events" / "manifest").glob("v*"))
+        manifests[-1].unlink()
+        (manifests[-1].parent / f".{manifests[-1].name}.crc").unlink(missing_ok=True)
+    frontier = max((drops / "out" / "frontier").glob("[0-9]*"), key=lambda f: int(f.name))
+    shutil.rmtree(frontier)
+    run(spark, drops)
+    assert sorted(map(tuple, read_reports(spark, str(drops / "out")).collect())) == reports
+
+
 def test_a_lagging_partition_loses_nothing(spark, drops):
     """Records come an hour and more behind the newest, in pieces of the same seconds."""
     for part in (3, 0, 2, 1):
         deliver(drops, part)
         run(spark, drops)
+    finish(spark, drops)
     buckets, events = expected(spark, drops)
     assert same(read_buckets(spark, str(drops / "out")), buckets)
     assert same(read_events(spark, str(drops / "out")), events)
 
 
-def test_many_batches_leave_few_files(spark, tmp_path):
-    for i in range(24):
-        rows = [record(s, k) for s in range(2 * i, 2 * i + 2) for k in range(9)]
+def deliver_by_seconds(spark, folder, groups):
+    """A file, and so a batch, of records for each group of seconds."""
+    for i, seconds in enumerate(groups):
+        rows = [record(s, k) for s in seconds for k in range(9)]
+        frame = spark.createDataFrame(rows, LATENCY_RECORD).coalesce(1)
+        frame.write.mode("append").parquet(str(folder / "in"))
+
+
+def test_windows_are_reported_once_when_they_have_ended(spark, tmp_path):
+    out = str(tmp_path / "out")
+    deliver_by_seconds(spark, tmp_path, [range(4 * i, 4 * i + 4) for i in range(6)])
+    run(spark, tmp_path)
+    reports = read_reports(spark, out)
+    newest = read_buckets(spark, out).selectExpr("max(second)").first()[0]
+    # Nothing ahead of the records, and no window twice.
+    assert reports.selectExpr("max(second)").first()[0] == newest
+    assert reports.groupBy("topic", "partition", "eventname", "operation", "second").count().where("count > 1").isEmpty()
+    # A row per series, window and second, of which there are 4 series here.
+    assert reports.count() == len(WINDOWS) * 4 * 23
+    finish(spark, tmp_path)
+    assert same(read_events(spark, out), expected(spark, tmp_path)[1])
+    assert read_reports(spark, out).count() == read_events(spark, out).count()
+    # Closing again finds nothing left.
+    finish(spark, tmp_path)
+    assert read_reports(spark, out).count() == read_events(spark, out).count()
+
+
+def test_a_late_record_repeats_the_windows_it_changes(spark, tmp_path):
+    out = str(tmp_path / "out")
+    deliver_by_seconds(spark, tmp_path, [range(0, 40), range(100, 140), [30], range(140, 150)])
+    run(spark, tmp_path)
+    finish(spark, tmp_path)
+    assert same(read_events(spark, out), expected(spark, tmp_path)[1])
+    late = int((START + timedelta(seconds=30)).timestamp())
+    often = read_reports(spark, out).groupBy("topic", "partition", "operation", "second").count()
+    for operation, span in (("avg10second", 10), ("avg1minute", 60)):
+        twice = {r.second - late for r in often.where(f"operation = '{operation}' AND count = 2").collect()}
+        assert twice == set(range(1, span + 1))
+    assert often.where("count > 2").isEmpty()
+
+
+def test_a_silent_series_is_ended_by_the_others(spark, tmp_path):
+    """Series of one topic fall silent; those of the other go on and carry the clock."""
+    out, rows = str(tmp_path / "out"), []
+    for i, seconds in enumerate([range(0, 20), range(20, 60), range(60, 200)]):
+        rows = [r for s in seconds for k in range(9) if (r := record(s, k))[0]["topic"] == "t" or s < 20]
         spark.createDataFrame(rows, LATENCY_RECORD).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run(spark, tmp_path, lag=10)
+    silent = read_reports(spark, out).where("topic = 'u'")
+    whole = expected(spark, tmp_path)[1].where("topic = 'u'")
+    assert same(silent.drop("batch_id"), whole)
+
+
+def test_ticks_end_the_windows_of_a_silent_stream(spark, tmp_path):
+    now = datetime.now(timezone.utc).replace(microsecond=0) - timedelta(seconds=80)
+    tag = {"topic": "t", "partition": "0", "consumerId": "c"}
+    rows = [(tag, [("created", 0), ("done", 5)], now + timedelta(seconds=s)) for s in range(5)]
+    spark.createDataFrame(rows, LATENCY_RECORD).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(LATENCY_RECORD).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    query = latency_stream(
+        stream, out, str(tmp_path / "check"), WINDOWS, {"processingTime": "1 second"}, lag=1, clock=clock_ticks(spark)
+    )
+    try:
+        whole = rolling_averages(latency_buckets(spark.createDataFrame(rows, LATENCY_RECORD)), WINDOWS).count()
+        until = datetime.now() + timedelta(seconds=60)
+        while datetime.now() < until and read_reports(spark, out).count() < whole:
+            query.awaitTermination(1)
+        assert query.exception() is None
+    finally:
+        query.stop()
+    assert read_reports(spark, out).count() == whole
+
+
+def test_many_batches_leave_few_files(spark, tmp_path):
+    deliver_by_seconds(spark, tmp_path, [range(3 * i, 3 * i + 3) for i in range(17)])
     run(spark, tmp_path)
-    folders = list((tmp_path / "out" / "buckets").glob("folder=*/batch_id=*"))
-    assert len(folders) == 24 and all(len(list(f.glob("part-*"))) == 1 for f in folders)
-    assert all(len(list(f.glob("part-*"))) == 1 for f in (tmp_path / "out" / "events").glob("topic=*/batch_id=*"))
+    for table in (buckets_table, events_table):
+        parts = table(spark, str(tmp_path / "out")).manifest().parts
+        assert [p.level for p in parts] == [1, 0]
+    assert len(list((tmp_path / "out" / "frontier").glob("[0-9]*"))) == 3
+    finish(spark, tmp_path)
     assert same(read_events(spark, str(tmp_path / "out")), expected(spark, tmp_path)[1])
 
 
 def test_results_reach_the_topic_and_the_feed(spark, drops):
     deliver(drops, 0)
     topic = str(drops / "topic")
-    run(spark, drops, results={"topic": "d", "sink_format": "parquet", "path": topic})
-    assert spark.read.parquet(topic).count() >= read_events(spark, str(drops / "out")).count()
+    results = {"topic": "d", "sink_format": "parquet", "path": topic}
+    run(spark, drops, results=results)
+    close_windows(spark, str(drops / "out"), WINDOWS, results)
+    assert spark.read.parquet(topic).count() == read_events(spark, str(drops / "out")).count()
     values = spark.readStream.schema("topic STRING, value BINARY").parquet(topic)
     feed_stream(values, "charts", str(drops / "feedcheck"), "json", str(drops / "feed"), DRAIN).awaitTermination()
     fed = spark.read.json(str(drops / "feed"))
