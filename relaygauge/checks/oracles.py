@@ -234,6 +234,7 @@ LEFT JOIN (SELECT DISTINCT event_type FROM events) r ON r.event_type = w.test_id
     "message_positions_dense": f"""WITH {LINES}
 SELECT 'lines' AS test_id, *, row_number() OVER (ORDER BY "partition", "offset") AS position FROM topic_lines""",
     "slice_digests": f"WITH {POS} {_digests('pos')}",
+    "slice_digests_ordered": f"WITH {POS} {_digests('pos')}",
     "slice_digests_strict": f"WITH {POS} {_digests('pos', 'md5(payload)')}",
     "slice_digests_dense": f"""WITH {LINES}, pos AS (
   SELECT 'lines' AS test_id, *, row_number() OVER (ORDER BY "partition", "offset") AS position FROM topic_lines)
@@ -253,6 +254,7 @@ SELECT test_id, count(*) FILTER (WHERE topic = 'src') AS source_total,
   count(*) FILTER (WHERE topic = 'src') = count(*) FILTER (WHERE topic = 'dst') AS same_amount
 FROM msg GROUP BY test_id""",
     "validation_report": f"WITH {_report()} SELECT * FROM report UNION ALL {MISSING}",
+    "validation_report_ordered": f"WITH {_report()} SELECT * FROM report UNION ALL {MISSING}",
     "validation_report_strict": f"WITH {_report('md5(payload)')} SELECT * FROM report",
     "validation_report_fingerprint": f"WITH {_report()} SELECT * FROM report UNION ALL {MISSING}",
     "validation_report_gapless": f"""WITH {LINES}, runs(test_id, topic) AS (

@@ -18,12 +18,13 @@ from relaygauge.plans.dashboard import history_json as dashboard_history
 from relaygauge.plans.dataset import dataset_topic as numbered_dataset
 from relaygauge.plans.latency import decode_latency_topic, latency_report
 from relaygauge.plans.relay import check_relay
-from relaygauge.plans.validation import validate, validate_by_fingerprint
+from relaygauge.plans.validation import validate, validate_by_fingerprint, validate_ordered
 from relaygauge.schemas import EVENT_KEY, LATENCY_EVENT, TIMINGS
 from relaygauge.session import shared_folder
 from relaygauge.sinks import tables
 from relaygauge.sinks import topics as topic_sinks
 from relaygauge.sinks.levels import LevelledTable, newest_of
+from relaygauge.sinks.ordered import write_ordered
 from relaygauge.sinks.text import report_lines, write_lines
 from relaygauge.sinks.topics import event_values, framed_values, line_values
 from relaygauge.sources import catalogue, records, results, topics
@@ -223,6 +224,22 @@ def validation_report_gapless(spark, folder):
     return validate_by_fingerprint(messages, tests)
 
 
+def _ordered(spark, folder):
+    return write_ordered(fx.marked_archive(spark, folder), shared_folder(spark, "ordered"))
+
+
+@query
+def validation_report_ordered(spark, folder):
+    """The report on an archive that is stored in the order of its messages."""
+    return validate_ordered(_ordered(spark, folder), fx.tests(spark), fx.MARKER, wanted=_wanted(spark))
+
+
+@query
+def slice_digests_ordered(spark, folder):
+    located = archive.drop_markers(_ordered(spark, folder), fx.MARKER)
+    return digests.slice_digests_ordered(located)
+
+
 @query
 def verdict_lines(spark, folder):
     return report_lines(validation_report(spark, folder))

@@ -48,6 +48,9 @@ def end_markers(tests: DataFrame, partitions: Partitions, marker: str) -> DataFr
     number = F.lit(partitions) if isinstance(partitions, int) else F.lit(None).cast("int")
     for topic, n in {} if isinstance(partitions, int) else partitions.items():
         number = F.when(F.col("topic") == topic, n).otherwise(number)
+    # A topic left out would not be waited for, and its run would seem to have ended.
+    unknown = F.raise_error(F.concat(F.lit("no number of partitions is given for topic "), F.col("topic")))
+    number = F.coalesce(number, unknown.cast("int"))
     return tests.select("test_id", topics).select(
         "test_id",
         "topic",

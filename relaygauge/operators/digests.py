@@ -13,8 +13,10 @@ from relaygauge.operators.positions import (
     bucketed_row_key_positions,
     dense_positions,
     message_positions,
+    offset_buckets,
     positions_in_slices,
     slice_number,
+    stored_positions,
 )
 from relaygauge.schemas import MESSAGE_KEY
 
@@ -68,6 +70,14 @@ def slice_digests(messages: DataFrame, slice_size: int = SLICE_SIZE, strict: boo
     return _digest(counted, buckets, slice_size)
 
 
+def slice_digests_ordered(located: DataFrame, slice_size: int = SLICE_SIZE, strict: bool = False) -> DataFrame:
+    """As ``slice_digests`` on an archive that is stored by buckets of offsets: payloads stay where they lie,
+    but for those of slices that cross a bucket's edge, at most two of each bucket."""
+    text = _with_text(located, strict, *offset_buckets())
+    counted, buckets = stored_positions(text)
+    return _digest(counted, buckets, slice_size)
+
+
 def digests_of_slices(
     messages: DataFrame,
     slices: DataFrame,

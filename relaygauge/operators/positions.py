@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 
 from relaygauge.functions.keys import row_key_digits
 from relaygauge.functions.numbers import int_div
-from relaygauge.operators.totals import BUCKET_BITS, bucket_totals, bucketed_total, continued_total, whole_number_levels
+from relaygauge.operators.totals import (
+    BUCKET_BITS,
+    bucket_names,
+    bucket_totals,
+    bucketed_total,
+    continued_total,
+    whole_number_levels,
+)
 
 TOPIC_KEY = ["test_id", "topic"]
 SLICE_SIZE = 1000  # fixed value: messages per compared slice
@@ -28,6 +35,29 @@ def bucketed_positions(messages: DataFrame) -> tuple[DataFrame, list[str]]:
     return bucketed_total(messages, TOPIC_KEY, ["partition", "offset"], _levels(), F.lit(1), "position")
 
 
+def offset_buckets() -> list[str]:
+    """The names of the columns that hold a message's partition and its bucket of offsets."""
+    return bucket_names(_levels())[0]
+
+
+def located_messages(messages: DataFrame) -> DataFrame:
+    """Messages with the bucket they lie in, as an ordered archive stores them."""
+    return messages.withColumns(dict(zip(offset_buckets(), _levels()[0])))
+
+
+def stored_positions(located: DataFrame) -> tuple[DataFrame, list[str]]:
+    """As ``bucketed_positions`` for messages that are stored by their buckets: they stay where they lie.
+
+    Totals of the buckets join them; they are a row for each, and the only rows to move.
+    """
+    buckets = offset_buckets()
+    bases = bucket_totals(located, TOPIC_KEY, _levels(), F.lit(1)).select(*TOPIC_KEY, *buckets, "_before")
+    # Merged, as sides that are sorted by buckets are: no side is copied, whatever its size.
+    met = located.join(bases.hint("merge"), [*TOPIC_KEY, *buckets])
+    place = F.row_number().over(W.partitionBy(*TOPIC_KEY, *buckets).orderBy("partition", "offset"))
+    return met.withColumn("position", F.col("_before") + place).drop("_before"), buckets
+
+
 def positions_in_slices(
     messages: DataFrame,
     slices: DataFrame,

@@ -40,12 +40,13 @@ def _continue_from(
     return summed.where("_row = 1").drop("_row")
 
 
-def _names(levels: Sequence[Sequence[Column]]) -> list[list[str]]:
+def bucket_names(levels: Sequence[Sequence[Column]]) -> list[list[str]]:
+    """The columns that the operators below name the buckets of each level by."""
     return [[f"_bucket{i}_{j}" for j in range(len(level))] for i, level in enumerate(levels)]
 
 
 def _located(rows: DataFrame, levels: Sequence[Sequence[Column]], value: Column) -> DataFrame:
-    named = {n: c for names, level in zip(_names(levels), levels) for n, c in zip(names, level)}
+    named = {n: c for names, level in zip(bucket_names(levels), levels) for n, c in zip(names, level)}
     columns = {n: c for n, c in named.items() if n not in rows.columns}
     return rows.withColumns(columns).withColumn("_value", value.cast("bigint"))
 
@@ -54,7 +55,7 @@ def bucket_totals(
     rows: DataFrame, keys: Sequence[str], levels: Sequence[Sequence[Column]], value: Column
 ) -> DataFrame:
     """One row per key and finest bucket: the total ``_before`` it and its own ``_sum``."""
-    keys, names = list(keys), _names(levels)
+    keys, names = list(keys), bucket_names(levels)
     sums = []
     source = _located(rows, levels, value)
     for i in range(len(names)):
@@ -87,7 +88,7 @@ def continued_total(
 
     ``rows`` may be fewer than those the bases were made of, if they hold whole buckets.
     """
-    finest = _names(levels)[0]
+    finest = bucket_names(levels)[0]
     located = _located(rows, levels[:1], value)
     within = list(keys) + finest
     return _continue_from(located, bases, within, list(order), "_value", total).drop("_value"), finest

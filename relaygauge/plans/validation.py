@@ -11,6 +11,7 @@ from relaygauge.operators.digests import (
     digests_of_slices,
     message_prints,
     slice_digests,
+    slice_digests_ordered,
     slice_fingerprints,
 )
 from relaygauge.operators.positions import SLICE_SIZE, has_dense_offsets, partition_bounds
@@ -34,6 +35,22 @@ def validate(
     return validation_report(compared, registered)
 
 
+def validate_ordered(
+    located: DataFrame,
+    tests: DataFrame,
+    marker: str | None = None,
+    slice_size: int = SLICE_SIZE,
+    strict: bool = False,
+    wanted: DataFrame | None = None,
+) -> DataFrame:
+    """The report of ``validate`` on an archive that ``write_ordered`` stored."""
+    if marker is not None:
+        located = drop_markers(located, marker)
+    registered = lookup_tests(tests, tests if wanted is None else wanted)
+    digests = slice_digests_ordered(located, slice_size, strict)
+    return validation_report(compare_slices(digests, registered.where("status = 'FOUND'")), registered)
+
+
 def validate_by_fingerprint(
     messages: DataFrame,
     tests: DataFrame,

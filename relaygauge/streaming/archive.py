@@ -15,12 +15,25 @@ from relaygauge.operators.archive import (
     topic_counts,
 )
 from relaygauge.schemas import COUNTER, COUNTER_KEY, MARKER, MESSAGE, MESSAGE_KEY
-from relaygauge.sinks.tables import read_table, read_versions, write_batch
+from relaygauge.sinks.levels import LevelledTable, newest_of, summed_by
+from relaygauge.sinks.ordered import write_ordered
 from relaygauge.streaming import ARCHIVE_INTERVAL
 
 PROGRESS = "progress"
 
 
+def messages_table(spark: SparkSession, root: str) -> LevelledTable:
+    return LevelledTable(spark, f"{root}/messages", MESSAGE, newest_of(MESSAGE_KEY), tuple(MESSAGE_KEY))
+
+
+def counters_table(spark: SparkSession, root: str) -> LevelledTable:
+    return LevelledTable(spark, f"{root}/counters", COUNTER, summed_by(COUNTER_KEY, ["total"]))
+
+
+def markers_table(spark: SparkSession, root: str) -> LevelledTable:
+    return LevelledTable(spark, f"{root}/markers", MARKER, summed_by(MARKER.names[:3], ["markers"]))
+
+
 def archive_stream(
     envelopes: DataFrame,
     test_id: str,
@@ -28,10 +41,13 @@ def archive_stream(
     root: str,
     checkpoint: str,
     trigger: dict = ARCHIVE_INTERVAL,
+    files: int | None = None,
 ) -> StreamingQuery:
     """Archive a stream of topic rows below ``root``: messages without markers, counts with.
 
-    A batch that is run again replaces its own rows, so no table counts anything twice.
+    A batch that is run again is not added again, so no table counts anything twice.  Batches merge
+    by levels on the way while they are small; ``messages_table(...).merge()`` merges large ones, beside the
+    stream.  A batch writes its messages where they were read, or to so many ``files``.
     The markers of each partition are counted in a table of their own, and those of each batch
     show in the query's progress as an observed metric.
     """
@@ -40,13 +56,14 @@ def archive_stream(
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch.persist()
         try:
-            write_batch(drop_markers(batch, marker), f"{root}/messages", batch_id, ["test_id", "topic"])
-            write_batch(topic_counts(batch), f"{root}/counters", batch_id)
+            messages_table(spark, root).append(drop_markers(batch, marker), batch_id, files)
+            counters_table(spark, root).append(topic_counts(batch), batch_id)
             # At most a row per batch and partition that has shown one.
             seen = batch.where(is_marker(marker)).groupBy(*MARKER.names[:3]).agg(F.count(F.lit(1)).alias("markers"))
-            write_batch(seen, f"{root}/markers", batch_id)
+            markers_table(spark, root).append(seen, batch_id)
         finally:
             batch.unpersist()
 
@@ -59,23 +76,34 @@ def archive_stream(
 
 
 def read_messages(spark: SparkSession, root: str) -> DataFrame:
-    """Archived messages, the newest copy of each."""
-    return read_table(spark, f"{root}/messages", MESSAGE, MESSAGE_KEY)
+    """Archived messages, the newest copy of each.
+
+    Keys alone tell which messages came more than once; only copies of those are compared, so the
+    payloads of an archive without copies are not shuffled.
+    """
+    versions = read_versions_of_messages(spark, root)
+    again = versions.groupBy(*MESSAGE_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    if again.isEmpty():
+        return versions.select(*MESSAGE.names)
+    newest = newest_of(MESSAGE_KEY)(versions.join(again, MESSAGE_KEY, "left_semi")).select(*MESSAGE.names)
+    return versions.join(again, MESSAGE_KEY, "left_anti").select(*MESSAGE.names).unionByName(newest)
 
 
 def read_versions_of_messages(spark: SparkSession, root: str) -> DataFrame:
     """Archived messages, each copy with its batch; filters and prints need no shuffle of payloads."""
-    return read_versions(spark, f"{root}/messages", MESSAGE)
+    return messages_table(spark, root).versions()
+
+
+def order_archive(spark: SparkSession, root: str, path: str, files: int | None = None) -> DataFrame:
+    """The archived messages stored anew at ``path`` in the order of offsets, for ``validate_ordered``."""
+    return write_ordered(read_messages(spark, root), path, files)
 
 
 def read_progress(spark: SparkSession, root: str, tests: DataFrame, partitions: Partitions) -> DataFrame:
     """Markers seen so far and whether reading is done, for each expected (test, topic, partition)."""
-    markers = read_versions(spark, f"{root}/markers", MARKER)
-    seen = markers.groupBy(*MARKER.names[:3]).agg(F.sum("markers").alias("markers"))
-    return expected_progress(seen, tests, partitions)
+    return expected_progress(markers_table(spark, root).current(), tests, partitions)
 
 
 def read_counters(spark: SparkSession, root: str) -> DataFrame:
     """Totals per (test, topic), markers included: the sum over all batches."""
-    counts = read_versions(spark, f"{root}/counters", COUNTER)
-    return counts.groupBy(*COUNTER_KEY).agg(F.sum("total").alias("total"))
+    return counters_table(spark, root).current()
