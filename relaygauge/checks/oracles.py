@@ -234,6 +234,37 @@ LEFT JOIN (SELECT DISTINCT event_type FROM events) r ON r.event_type = w.test_id
     "message_positions_dense": f"""WITH {LINES}
 SELECT 'lines' AS test_id, *, row_number() OVER (ORDER BY "partition", "offset") AS position FROM topic_lines""",
     "slice_digests": f"WITH {POS} {_digests('pos')}",
+    "digest_tree": f"""WITH {MSG}
+SELECT test_id, topic, "partition", CAST(level AS INTEGER) AS level, "offset" >> CAST(10 + 10 * level AS BIGINT) AS node, count(*) AS messages
+FROM msg CROSS JOIN range(5) AS r(level) GROUP BY ALL""",
+    "first_difference": f"""WITH {MSG},
+differing AS (
+  SELECT test_id, "partition", "offset", s.payload AS source_payload, d.payload AS destination_payload,
+    CASE WHEN d.payload IS NULL THEN 'missing' WHEN s.payload IS NULL THEN 'extra' ELSE 'changed' END AS difference
+  FROM (SELECT * FROM msg WHERE topic = 'src') s FULL JOIN (SELECT * FROM msg WHERE topic = 'dst') d USING (test_id, "partition", "offset")
+  WHERE s.payload IS DISTINCT FROM d.payload)
+SELECT test_id, "partition", "offset", difference, source_payload, destination_payload
+FROM (SELECT DISTINCT test_id FROM runs) LEFT JOIN (
+  SELECT * FROM differing QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY "partition", "offset") = 1) USING (test_id)""",
+    "content_alignment": f"""WITH {POS},
+bounds AS (
+  SELECT *, sum(CASE WHEN CAST('0x' || substr(md5(payload), 1, 8) AS BIGINT) % 100 = 0 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY test_id, topic ORDER BY position) AS slice FROM pos),
+slices AS (
+  SELECT *, row_number() OVER (PARTITION BY test_id, topic, digest ORDER BY slice) AS nth FROM (
+    SELECT test_id, topic, slice, min(position) AS first, md5(string_agg(payload, chr(1) ORDER BY position)) AS digest
+    FROM bounds GROUP BY ALL)),
+met AS (
+  SELECT test_id, s.slice AS a, s.first AS place, d.slice AS b
+  FROM (SELECT * FROM slices WHERE topic = 'src') s FULL JOIN (SELECT * FROM slices WHERE topic = 'dst') d USING (test_id, digest, nth)),
+seams AS (
+  SELECT x.test_id, count(*) AS seams FROM met x JOIN met y ON y.test_id = x.test_id AND y.a = x.a + 1
+  WHERE y.b <> x.b + 1 GROUP BY x.test_id)
+SELECT test_id, count(a) AS source_slices, count(b) AS destination_slices, count(*) FILTER (WHERE b IS NULL) AS only_source,
+  count(*) FILTER (WHERE a IS NULL) AS only_destination, coalesce(max(seams), 0) AS seams,
+  min(place) FILTER (WHERE b IS NULL) AS first_lacking,
+  count(a) = count(*) AND count(b) = count(*) AND max(seams) IS NULL AS aligned
+FROM met LEFT JOIN seams USING (test_id) GROUP BY test_id""",
     "slice_digests_ordered": f"WITH {POS} {_digests('pos')}",
     "slice_digests_strict": f"WITH {POS} {_digests('pos', 'md5(payload)')}",
     "slice_digests_dense": f"""WITH {LINES}, pos AS (

@@ -13,7 +13,8 @@ from relaygauge.functions.clock import epoch_micros
 from relaygauge.functions.keys import row_key, separated_row_key
 from relaygauge.functions.numbers import int_div
 from relaygauge.functions.text import utf8_bytes, utf8_text
-from relaygauge.operators import archive, digests, latencies, lines, positions, rolling, series, synthetic, verdicts
+from relaygauge.operators import archive, digests, latencies, lines, positions, rolling, series, synthetic, trees, verdicts
+from relaygauge.plans import comparison
 from relaygauge.plans.dashboard import history_json as dashboard_history
 from relaygauge.plans.dataset import dataset_topic as numbered_dataset
 from relaygauge.plans.latency import decode_latency_topic, latency_report
@@ -240,6 +241,29 @@ def slice_digests_ordered(spark, folder):
     return digests.slice_digests_ordered(located)
 
 
+@query
+def digest_tree(spark, folder):
+    """The nodes that each topic's tree has, and how many messages are below them."""
+    return trees.tree_nodes(fx.archive(spark, folder)).drop("print0", "print1")
+
+
+@query
+def first_difference(spark, folder):
+    """Found by descent of trees that were made batch by batch."""
+    root = shared_folder(spark, "trees")
+    messages = fx.archive(spark, folder)
+    for batch in range(3):
+        some = messages.where(F.pmod("offset", F.lit(3)) == batch)
+        trees.tree_nodes(some).write.mode("append").parquet(f"{root}/batches")
+    trees.added_nodes(spark.read.parquet(f"{root}/batches")).write.parquet(f"{root}/nodes")
+    return comparison.first_differences(spark.read.parquet(f"{root}/nodes"), messages, fx.tests(spark))
+
+
+@query
+def content_alignment(spark, folder):
+    return comparison.compare_by_content(fx.archive(spark, folder), fx.tests(spark), 100)
+
+
 @query
 def verdict_lines(spark, folder):
     return report_lines(validation_report(spark, folder))

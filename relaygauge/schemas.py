@@ -34,6 +34,16 @@ TOPIC = _struct(
 TEST = _struct(test_id=_text, source_topic=_text, destination_topic=_text)
 MESSAGE = _struct(test_id=_text, topic=_text, partition=IntegerType(), offset=_whole, payload=_text)
 MARKER = _struct(test_id=_text, topic=_text, partition=IntegerType(), markers=_whole)
+NODE = _struct(
+    test_id=_text,
+    topic=_text,
+    partition=IntegerType(),
+    level=IntegerType(),
+    node=_whole,
+    messages=_whole,
+    print0=_whole,
+    print1=_whole,
+)
 COUNTER = _struct(test_id=_text, topic=_text, total=_whole)
 TIMINGS = ArrayType(_struct(key=_text, value=_whole))
 LATENCY_RECORD = _struct(tag=MapType(_text, _text), timings=TIMINGS, arrived_at=TimestampType())

@@ -14,9 +14,11 @@ from relaygauge.operators.archive import (
     project_messages,
     topic_counts,
 )
-from relaygauge.schemas import COUNTER, COUNTER_KEY, MARKER, MESSAGE, MESSAGE_KEY
+from relaygauge.operators.trees import NODE_KEY, tree_nodes
+from relaygauge.schemas import COUNTER, COUNTER_KEY, MARKER, MESSAGE, MESSAGE_KEY, NODE
 from relaygauge.sinks.levels import LevelledTable, newest_of, summed_by
 from relaygauge.sinks.ordered import write_ordered
+from relaygauge.sinks.tables import BATCH
 from relaygauge.streaming import ARCHIVE_INTERVAL
 
 PROGRESS = "progress"
@@ -34,6 +36,16 @@ def markers_table(spark: SparkSession, root: str) -> LevelledTable:
     return LevelledTable(spark, f"{root}/markers", MARKER, summed_by(MARKER.names[:3], ["markers"]))
 
 
+def nodes_table(spark: SparkSession, root: str) -> LevelledTable:
+    """Trees of digests of the archived topics, of which each batch adds its part."""
+
+    def added(nodes: DataFrame) -> DataFrame:
+        prints = [F.bit_xor(f"print{i}").alias(f"print{i}") for i in (0, 1)]
+        return nodes.groupBy(*NODE_KEY).agg(F.sum("messages").alias("messages"), *prints, F.max(BATCH).alias(BATCH))
+
+    return LevelledTable(spark, f"{root}/nodes", NODE, added, ("level", "test_id", "topic", "partition", "node"))
+
+
 def archive_stream(
     envelopes: DataFrame,
     test_id: str,
@@ -42,6 +54,7 @@ def archive_stream(
     checkpoint: str,
     trigger: dict = ARCHIVE_INTERVAL,
     files: int | None = None,
+    trees: bool = False,
 ) -> StreamingQuery:
     """Archive a stream of topic rows below ``root``: messages without markers, counts with.
 
@@ -49,7 +62,7 @@ def archive_stream(
     by levels on the way while they are small; ``messages_table(...).merge()`` merges large ones, beside the
     stream.  A batch writes its messages where they were read, or to so many ``files``.
     The markers of each partition are counted in a table of their own, and those of each batch
-    show in the query's progress as an observed metric.
+    show in the query's progress as an observed metric.  With ``trees``, trees of digests are kept as well.
     """
     messages = project_messages(envelopes, test_id).observe(
         PROGRESS, F.count(F.lit(1)).alias("messages"), F.count_if(is_marker(marker)).alias("markers")
@@ -60,6 +73,8 @@ def archive_stream(
         batch.persist()
         try:
             messages_table(spark, root).append(drop_markers(batch, marker), batch_id, files)
+            if trees:
+                nodes_table(spark, root).append(tree_nodes(drop_markers(batch, marker)), batch_id)
             counters_table(spark, root).append(topic_counts(batch), batch_id)
             # At most a row per batch and partition that has shown one.
             seen = batch.where(is_marker(marker)).groupBy(*MARKER.names[:3]).agg(F.count(F.lit(1)).alias("markers"))
