@@ -360,6 +360,12 @@ SELECT event_id, CASE schema_id WHEN 1 THEN 'counter' WHEN 2 THEN 'label' WHEN 3
   CASE WHEN schema_id = 2 THEN props END AS text, CASE WHEN schema_id = 3 THEN body END AS bytes,
   CASE WHEN problem IS NOT NULL THEN problem WHEN schema_id > 3 THEN 'unknown schema' END AS problem
 FROM split""",
+    "record_versions": f"""WITH {FRAMES}
+SELECT event_id, CASE WHEN fits THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS n,
+  CASE WHEN fits THEN 'things' END AS unit, CAST(NULL AS BIGINT) AS more,
+  CASE WHEN problem IS NOT NULL THEN problem WHEN schema_id = 3 THEN 'n: string cannot become long'
+    WHEN schema_id > 3 THEN 'unknown schema' END AS problem
+FROM (SELECT *, problem IS NULL AND schema_id IN (1, 2) AS fits FROM split)""",
     "fallback_decode": f"""WITH {EV}
 SELECT event_id, CASE event_type WHEN 'purchase' THEN 'metric' WHEN 'signup' THEN 'marks'
     WHEN 'error' THEN NULL ELSE 'counter' END AS schema,

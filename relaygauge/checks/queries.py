@@ -28,7 +28,7 @@ from relaygauge.sinks.levels import LevelledTable, newest_of
 from relaygauge.sinks.ordered import write_ordered
 from relaygauge.sinks.text import report_lines, write_lines
 from relaygauge.sinks.topics import event_values, framed_values, line_values
-from relaygauge.sources import catalogue, records, results, topics
+from relaygauge.sources import catalogue, records, resolution, results, topics
 from relaygauge.streaming import DRAIN
 from relaygauge.streaming.archive import archive_stream, read_counters, read_messages
 from relaygauge.streaming.latency import close_windows, latency_stream, read_buckets, read_events, read_reports
@@ -483,6 +483,24 @@ def record_decode(spark, folder):
     )
 
 
+@query
+def record_versions(spark, folder):
+    """Three versions of one schema, by their fingerprints, read as a newer one; the third does not fit it."""
+    versions = [
+        '{"type":"record","name":"counter","fields":[{"name":"k","type":"int"}]}',
+        '{"type":"record","name":"counter","fields":[{"name":"k","type":["null","long"]}]}',
+        '{"type":"record","name":"counter","fields":[{"name":"k","type":"string"}]}',
+    ]
+    reader = """{"type":"record","name":"counter","fields":[
+        {"name":"n","type":"long","aliases":["k"]},
+        {"name":"unit","type":"string","default":"things"},
+        {"name":"more","type":["null","long"],"default":null}]}"""
+    known = catalogue.catalogue(spark.createDataFrame([(v, v) for v in versions], "origin STRING, value STRING"))
+    schemas = catalogue.record_schemas(known, {resolution.fingerprint(v): i + 1 for i, v in enumerate(versions)})
+    framed = records.split_frames(fx.frames(spark, folder))
+    return records.decode_records(framed, schemas, reader=reader).select("event_id", "record.*", "problem")
+
+
 @query
 def fallback_decode(spark, folder):
     kind, at = F.col("event_type"), epoch_micros(F.col("ts"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,8 @@ from pyspark.sql.types import (
 
 from relaygauge.sources.records import RecordSchema
 
+_FINGERPRINT = re.compile("[0-9a-f]{64}")
+
 # The plain types of a schema text.
 PLAIN_TYPES = {
     "boolean": BooleanType(),
@@ -75,6 +78,8 @@ def field_type(kind) -> DataType:
         if kind["type"] == "record":
             return StructType([StructField(f["name"], field_type(f["type"])) for f in kind["fields"]])
         return field_type(kind["type"])
+    if kind == "null":
+        return StringType()  # of which there is no value
     if kind not in PLAIN_TYPES:
         raise ValueError(f"unknown type {kind!r}")
     return PLAIN_TYPES[kind]
@@ -91,6 +96,28 @@ def record_schema(schema_id: int, definition: str, required: str | None = None)
 
 
 def record_schemas(known: DataFrame, ids: Mapping[str, int]) -> list[RecordSchema]:
-    """The schemas of a catalogue that ``ids`` gives an id to, by name: a row per id is gathered."""
-    rows = known.where(F.col("name").isin(*ids)).select("name", "definition").distinct().collect()
-    return [record_schema(ids[row["name"]], row["definition"]) for row in sorted(rows)]
+    """The schemas of a catalogue that ``ids`` gives an id to: a row per schema text of their names is gathered.
+
+    A schema is named by its name, or by the fingerprint of its canonical form where the catalogue has several versions
+    of a name; a name that stands for two of them is an error, and so is an id for two schemas.
+    """
+    from relaygauge.sources.resolution import fingerprint
+
+    if len(set(ids.values())) < len(ids):
+        raise ValueError("an id belongs to one schema")
+    prints = [k for k in ids if _FINGERPRINT.fullmatch(k)]
+    rows = known.where(F.col("kind").isNotNull()) if prints else known.where(F.col("name").isin(*ids))
+    versions: dict[str, dict[str, str]] = {}
+    for row in sorted(rows.select("name", "definition").distinct().collect(), key=lambda r: r["definition"]):
+        # Texts that differ in layout, documentation or defaults only are one version.
+        versions.setdefault(row["name"], {}).setdefault(fingerprint(row["definition"]), row["definition"])
+    by_print = {p: text for found in versions.values() for p, text in found.items()}
+    schemas = []
+    for key, number in ids.items():
+        if key in by_print:
+            schemas.append(record_schema(number, by_print[key]))
+        elif len(versions.get(key, {})) > 1:
+            raise ValueError(f"{key} has {len(versions[key])} versions; name them by their fingerprints {sorted(versions[key])}")
+        elif key in versions:
+            schemas.append(record_schema(number, *versions[key].values()))
+    return sorted(schemas, key=lambda s: s.name)

@@ -6,6 +6,7 @@ everywhere, ``avro_body`` where Spark's Avro package is deployed.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -83,15 +84,20 @@ def conform(record: Column, source: StructType, target: StructType) -> Column:
 def decode_records(
     framed: DataFrame,
     schemas: Sequence[RecordSchema],
-    target: StructType,
+    target: StructType | None = None,
     decode: Decoder = json_body,
+    reader: str | None = None,
 ) -> DataFrame:
     """Split frames decoded by their writer schema.
 
+    Records come as ``target``, fields by name and absent ones null; or, by the rules of schema
+    resolution, as the schema text ``reader`` has them, and those that do not fit it are set aside.
+
     ``schemas`` are the known ones, a few; their names go into the plan, so no message is joined.
     Adds ``name`` and ``kind`` of the schema, ``record`` for record schemas, ``text`` for string and
     ``bytes`` for byte schemas; what cannot be decoded keeps its row and gets a ``problem``.
     """
+    target, readings = _readings(schemas, target, reader)
     known = F.lit(None).cast("struct<name:string,kind:string>")
     for schema in schemas:
         own = F.struct(F.lit(schema.name).alias("name"), F.lit(schema.kind).alias("kind"))
@@ -104,20 +110,65 @@ def decode_records(
     rows = rows.withColumns(
         {f"_decoded{i}": F.when(F.col("schema_id") == i, decode(body, s)) for i, s in by_id.items()}
     )
-    record = F.lit(None).cast(target)
+    read = F.lit(None).cast(StructType([StructField("record", target), StructField("misfit", StringType())]))
     for i, schema in by_id.items():
         own = F.col(f"_decoded{i}")
-        record = F.when(_fits(own, decode, schema.required), conform(own, schema.fields, target)).otherwise(record)
-    decoded = evaluated_once(rows, "record", record).drop(*[f"_decoded{i}" for i in by_id])
+        read = F.when(_fits(own, decode, schema.required), readings[i](own)).otherwise(read)
+    decoded = evaluated_once(rows, "_read", read).drop(*[f"_decoded{i}" for i in by_id])
+    decoded = decoded.withColumns({"record": F.col("_read.record"), "_misfit": F.col("_read.misfit")}).drop("_read")
     decoded = decoded.withColumns(
         {"text": F.when(kind == "string", utf8_text(body)), "bytes": F.when(kind == "bytes", body)}
     )
     problem = (
         F.when(F.col("problem").isNotNull(), F.col("problem"))
         .when(F.col("name").isNull(), F.lit("unknown schema"))
+        .when(F.col("_misfit").isNotNull(), F.col("_misfit"))
         .when((kind == "record") & F.col("record").isNull(), F.lit("undecodable"))
     )
-    return decoded.withColumn("problem", problem)
+    return decoded.withColumn("problem", problem).drop("_misfit")
+
+
+def _readings(
+    schemas: Sequence[RecordSchema], target: StructType | None, reader: str | None
+) -> tuple[StructType, dict[int, Callable[[Column], Column]]]:
+    """The type that records come as, and how those of each schema id become (record, misfit)."""
+    records = [s for s in schemas if s.kind == "record"]
+    if reader is None:
+        if target is None:
+            raise ValueError("records need a target type or a reader schema")
+
+        def conformed(schema: RecordSchema) -> Callable[[Column], Column]:
+            return lambda own: F.struct(
+                conform(own, schema.fields, target).alias("record"), F.lit(None).cast("string").alias("misfit")
+            )
+
+        return target, {s.schema_id: conformed(s) for s in records}
+
+    # The catalogue makes schemas of this module's kind.
+    from relaygauge.sources.catalogue import field_type
+    from relaygauge.sources.resolution import Unresolvable, resolve
+
+    wanted = json.loads(reader)
+    target = field_type(wanted)
+
+    def resolved(schema: RecordSchema) -> Callable[[Column], Column]:
+        if not schema.definition:
+            raise ValueError("to be read by a reader schema a schema needs its definition")
+        nothing = F.lit(None).cast(target)
+        try:
+            found = resolve(json.loads(schema.definition), wanted)
+        except Unresolvable as error:
+            misfit = str(error)
+            return lambda own: F.struct(nothing.alias("record"), F.lit(misfit).alias("misfit"))
+
+        def read(own: Column) -> Column:
+            problem = found.problem(own) if found.problem else F.lit(None).cast("string")
+            record = F.when(problem.isNull(), found.column(own).cast(target))
+            return F.struct(record.alias("record"), problem.alias("misfit"))
+
+        return read
+
+    return target, {s.schema_id: resolved(s) for s in records}
 
 
 def evaluated_once(rows: DataFrame, name: str, column: Column) -> DataFrame:
