@@ -402,6 +402,11 @@ FROM before WHERE b < 10000000""",
     "metric_records": f"""WITH {EV}
 SELECT CAST(0 AS BIGINT) AS id, t // 1000 * 1000000 AS created, {_text('relay', 'event_id', '191')} AS value FROM ev""",
     # Streams
+    "paced_replay": """WITH bounds AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM events)
+SELECT event_id, props, CAST((epoch_us(ts) - low) // ((high - low) // 4 + 1) AS BIGINT) AS slot FROM events CROSS JOIN bounds""",
+    "report_feed": f"""WITH {RESULTS}
+SELECT topic, "partition", consumerid, eventname, "second", operation, value, cnt, CAST(0 AS BIGINT) AS batch FROM results
+UNION ALL SELECT topic, "partition", consumerid, eventname, "second", operation, value, cnt, 2 FROM results WHERE topic = 'purchase'""",
     "stream_message_archive": f"""WITH {EV}
 SELECT 'faithful' AS test_id, 'src' AS topic, part AS "partition", event_id AS "offset", payload,
   (SELECT count(*) FROM ev) AS total

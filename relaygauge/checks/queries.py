@@ -31,6 +31,7 @@ from relaygauge.sinks.topics import event_values, framed_values, line_values
 from relaygauge.sources import catalogue, records, resolution, results, topics
 from relaygauge.streaming import DRAIN
 from relaygauge.streaming.archive import archive_stream, read_counters, read_messages
+from relaygauge.streaming.replay import replay_stream
 from relaygauge.streaming.latency import close_windows, latency_stream, read_buckets, read_events, read_reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -599,6 +600,32 @@ def metric_records(spark, folder):
     return made.select("id", F.col("timings")["created"].alias("created"), utf8_text(F.col("value")).alias("value"))
 
 
+@query
+def paced_replay(spark, folder):
+    """Events released again by their time, a quarter of it an interval, with the interval each came in."""
+    root = shared_folder(spark, "replay")
+    rows = fx.events(spark, folder)
+    at = epoch_micros(F.col("ts"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+
+    def release(some, number):
+        some.select("event_id", "props", F.lit(number).alias("slot")).write.mode("overwrite").parquet(f"{root}/out/slot-{number}")
+
+    replay_stream(rows, at, (high - low) // 4 + 1, release, f"{root}/checkpoint").wait()
+    return spark.read.parquet(f"{root}/out/*")
+
+
+@query
+def report_feed(spark, folder):
+    """Reports of a batch that was sent twice, and of windows that a later batch reports again: once each."""
+    events = fx.results(spark, folder)
+    later = events.where("topic = 'purchase'")
+    values = event_values(events, "dataset", 0)
+    sent = values.unionByName(values).unionByName(event_values(later, "dataset", 2))
+    reports = results.reported_once(results.decode_reports(sent), "10 minutes")
+    return reports.select(*LATENCY_EVENT.names, "batch")
+
+
 # Streams, each drained into tables below the shared folder
 
 

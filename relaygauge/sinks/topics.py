@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relaygauge.functions.frames import build_frame
 from relaygauge.functions.text import utf8_bytes
-from relaygauge.sources.results import RESULT_TOPIC, topic_event_json
+from relaygauge.sources.results import RESULT_TOPIC, report_json, topic_event_json
 from relaygauge.sources.topics import BROKER_FORMAT
 
 
@@ -21,11 +21,10 @@ def framed_values(records: DataFrame, topic: str, schema_id: int, body: Column)
     return records.select(F.lit(topic).alias("topic"), build_frame(F.lit(schema_id), body).alias("value"))
 
 
-def event_values(events: DataFrame, topic: str) -> DataFrame:
-    """Latency events as values of the results topic of ``topic``."""
-    return events.select(
-        F.lit(RESULT_TOPIC % topic).alias("topic"), utf8_bytes(topic_event_json()).alias("value")
-    )
+def event_values(events: DataFrame, topic: str, batch: int | None = None) -> DataFrame:
+    """Latency events as values of the results topic of ``topic``, with the ``batch`` that reports them if given."""
+    json = topic_event_json() if batch is None else report_json(F.lit(batch))
+    return events.select(F.lit(RESULT_TOPIC % topic).alias("topic"), utf8_bytes(json).alias("value"))
 
 
 def write_topic(values: DataFrame, sink_format: str = BROKER_FORMAT, path: str | None = None, **options: str) -> None:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from relaygauge.operators.series import chart_events
-from relaygauge.schemas import LATENCY_EVENT
+from relaygauge.schemas import EVENT_KEY, LATENCY_EVENT
 
 # JSON names that differ from column names, and topic names.
 JSON_NAMES = {"consumerid": "consumerId", "eventname": "eventName", "cnt": "count"}
 RESULT_TOPIC = "%s-latencies"
-MIRRORED_RESULT_TOPIC = "mirror_%s-latencies"
+
+_REPORT = (StructField("batch", LongType()), StructField("reported", LongType()))
 
 
 def event_json() -> Column:
@@ -24,6 +26,33 @@ def topic_event_json() -> Column:
     return F.to_json(F.struct(*LATENCY_EVENT.names))
 
 
+def report_json(batch: Column) -> Column:
+    """As ``topic_event_json`` with the batch that reported the event and the time it did, by which readers tell a
+    batch that was run again from a window that was reported again."""
+    reported = F.unix_millis(F.current_timestamp()).alias("reported")
+    return F.to_json(F.struct(*LATENCY_EVENT.names, batch.cast("bigint").alias("batch"), reported))
+
+
+def decode_reports(values: DataFrame, value: str = "value") -> DataFrame:
+    """Events of a results topic with their batch and the time of the report; other rows are skipped."""
+    schema = StructType([*LATENCY_EVENT.fields, *_REPORT])
+    parsed = F.from_json(F.col(value).cast("string"), schema).alias("event")
+    whole = " AND ".join(f"{f.name} IS NOT NULL" for f in schema.fields)
+    events = values.select(parsed).select("event.*").where(whole)
+    return events.withColumn("reported", F.timestamp_millis("reported"))
+
+
+def reported_once(reports: DataFrame, within: str) -> DataFrame:
+    """Reports without those that a batch sent again when it was run again, up to ``within`` after the first.
+
+    The state of a stream holds the keys of that span of time.  It goes by the time of the report, so a late correction
+    of an old window is not late here.  Of bounded reports all repeated ones go.
+    """
+    if not reports.isStreaming:
+        return reports.dropDuplicates([*EVENT_KEY, "batch"])
+    return reports.withWatermark("reported", within).dropDuplicatesWithinWatermark([*EVENT_KEY, "batch"])
+
+
 def decode_events(values: DataFrame, value: str = "value") -> DataFrame:
     """Events of a results topic; rows that are no complete event are skipped."""
     parsed = F.from_json(F.col(value).cast("string"), LATENCY_EVENT).alias("event")

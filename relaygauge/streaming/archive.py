@@ -64,8 +64,13 @@ def archive_stream(
     The markers of each partition are counted in a table of their own, and those of each batch
     show in the query's progress as an observed metric.  With ``trees``, trees of digests are kept as well.
     """
+    # At most a row per partition: those whose marker is in the batch.
+    ended = F.collect_set(F.when(is_marker(marker), F.struct("topic", "partition")))
     messages = project_messages(envelopes, test_id).observe(
-        PROGRESS, F.count(F.lit(1)).alias("messages"), F.count_if(is_marker(marker)).alias("markers")
+        PROGRESS,
+        F.count(F.lit(1)).alias("messages"),
+        F.count_if(is_marker(marker)).alias("markers"),
+        ended.alias("ended"),
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -219,7 +219,7 @@ def _write_events(events: DataFrame, table: LevelledTable, version: int, results
     try:
         table.append(events, version, files, merge_below=None)
         sink = dict(results)
-        write_topic(event_values(events, sink.pop("topic")), **sink)
+        write_topic(event_values(events, sink.pop("topic"), version), **sink)
     finally:
         events.unpersist()
 

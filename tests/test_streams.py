@@ -1,18 +1,23 @@
 """Streams against batches: same results, also after a restart and a repeated batch."""
 
 import shutil
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
+
 from relaygauge.operators.archive import marker_values, register_tests, topic_counts
 from relaygauge.operators.latencies import latency_buckets
 from relaygauge.operators.rolling import rolling_averages
-from relaygauge.plans.relay import all_ended, check_relay
+from relaygauge.plans import relay
+from relaygauge.plans.relay import MarkerListener, all_ended, check_relay
 from relaygauge.schemas import LATENCY_RECORD, TOPIC
 from relaygauge.sources.topics import stream_topic
 from relaygauge.streaming import DRAIN
 from relaygauge.streaming.archive import archive_stream, read_counters, read_messages, read_progress
 from relaygauge.streaming.feed import feed_stream
+from relaygauge.streaming.replay import by_time, replay_stream, replay_to_topic
 from relaygauge.streaming.latency import (
     buckets_table,
     clock_ticks,
@@ -234,6 +239,90 @@ def test_results_reach_the_topic_and_the_feed(spark, drops):
     assert '"eventName":"created-done"' in fed.first().value and fed.first().topic == "charts"
 
 
+def test_a_batch_run_twice_shows_once_in_the_feed(spark, drops):
+    topic, out = str(drops / "topic"), str(drops / "out")
+    results = {"topic": "d", "sink_format": "parquet", "path": topic}
+    deliver(drops, 0, 1)
+    run(spark, drops, results=results)
+    undo_last_commit(drops)
+    run(spark, drops, results=results)
+    charted = read_reports(spark, out).where("operation = 'avg10second'").count()
+    values = spark.readStream.schema("topic STRING, value BINARY").option("maxFilesPerTrigger", 1).parquet(topic)
+    for name, options in (("all", {}), ("once", {"once_within": "10 minutes"})):
+        feed = feed_stream(values, "charts", str(drops / f"check-{name}"), "json", str(drops / name), DRAIN, **options)
+        feed.awaitTermination()
+    fed = {name: spark.read.json(str(drops / name)).count() for name in ("all", "once")}
+    assert fed["once"] == charted < fed["all"]
+
+
+def test_relay_check_hears_of_the_end(spark, tmp_path, monkeypatch):
+    """The stream's progress ends the wait, without another look at the tables."""
+    rows = [(t, 0, o, None, None, bytearray(b"m" if o < 9 else b"END")) for t in ("src", "dst") for o in range(10)]
+    tests = register_tests(spark, [("run", "src", "dst")])
+    spark.createDataFrame(rows, TOPIC).coalesce(1).write.parquet(str(tmp_path / "in"))
+    looked = []
+    look = relay.read_progress
+    monkeypatch.setattr(relay, "read_progress", lambda *a: looked.append(1) or look(*a))
+    stream = stream_topic(spark, "parquet", str(tmp_path / "in"))
+    partitions = {"src": 1, "dst": 1}
+    started = time.monotonic()
+    report = check_relay(stream, tests, "run", "END", str(tmp_path / "out"), str(tmp_path / "check"), partitions, {"processingTime": "1 second"}, check_seconds=600)
+    assert report.first().ended and report.first().order_preserved
+    assert len(looked) == 1 and time.monotonic() - started < 120
+    # Markers of an earlier run count as well.
+    again = check_relay(stream, tests, "run", "END", str(tmp_path / "out"), str(tmp_path / "check"), partitions, DRAIN)
+    assert again.first().ended
+
+
+def test_relay_check_hears_of_markers_per_partition(spark):
+    class Progress:
+        runId = "r"
+        observedMetrics = {"progress": {"ended": [{"topic": "src", "partition": 0}]}}
+
+    class Over:
+        runId = "r"
+
+    listener = MarkerListener()
+    listener.onQueryProgress(type("E", (), {"progress": Progress}))
+    assert listener.wait(Over, {("src", 0)}, 1) and not listener.wait(Over, {("src", 0), ("dst", 0)}, 0.1)
+    listener.onQueryTerminated(Over)
+    assert not listener.wait(Over, {("dst", 0)}, 60)
+
+
+def paced(spark, rows, folder, **options):
+    def release(some, number):
+        some.withColumn("slot", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/slot-{number}")
+
+    settings = {"interval_ms": 300, **options}
+    return replay_stream(rows, F.col("id"), 100, release, f"{folder}/check", **settings)
+
+
+def test_replay_keeps_gaps_and_goes_on_after_a_restart(spark, tmp_path):
+    folder = str(tmp_path)
+    # 30 units an interval; nothing lies from 60 to 149.
+    rows = spark.createDataFrame([(i, f"r{i}") for i in [*range(10, 70), *range(160, 200)]], "id LONG, text STRING")
+    first = paced(spark, rows, folder)
+    while not (tmp_path / "out" / "slot-1" / "_SUCCESS").exists():
+        time.sleep(0.1)
+    first.query.stop()
+    time.sleep(2)  # longer than an interval: a replay does not hurry after the clock
+    assert paced(spark, rows, folder).wait(120)
+    slots = {r.id: r.slot for r in spark.read.parquet(f"{folder}/out/*").collect()}
+    assert slots == {r.id: (r.id - 10) // 30 for r in rows.collect()}
+
+
+def test_replay_by_time_and_of_nothing(spark, tmp_path):
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = spark.createDataFrame([(i, at + timedelta(milliseconds=350 * i)) for i in range(4)], "id LONG, at TIMESTAMP")
+    out = str(tmp_path / "topic")
+    values = rows.selectExpr("at", "'t' AS topic", "cast(cast(id AS STRING) AS BINARY) AS value")
+    assert replay_to_topic(values, by_time("at"), 1_000_000, str(tmp_path / "a"), 500, sink_format="parquet", path=out).wait(120)
+    assert sorted(int(bytes(r.value)) for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3]
+    assert replay_stream(rows.limit(0), by_time("at"), 1, lambda *_: None, str(tmp_path / "b"), 200).wait(60)
+    with pytest.raises(ValueError):
+        replay_stream(rows, by_time("at"), 0, lambda *_: None, str(tmp_path / "c"))
+
+
 def test_relay_check_stops_at_the_markers(spark, tmp_path):
     """A stream without an end stops by itself once each partition of both topics has shown a marker."""
     rows = [(t, p, o, None, None, bytearray(f"{p}|{o}".encode())) for t, n in (("src", 2), ("dst", 1)) for p in range(n) for o in range(30)]
@@ -247,7 +336,7 @@ def test_relay_check_stops_at_the_markers(spark, tmp_path):
     query.stop()
     ends = [(r.topic, r.partition, 99, None, None, r.value) for r in marker_values(tests, partitions, "END").collect()]
     spark.createDataFrame(ends, TOPIC).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    report = check_relay(stream, tests, "run", "END", str(tmp_path / "out"), str(tmp_path / "check"), partitions, {"processingTime": "1 second"}, poll_seconds=1, slice_size=10)
+    report = check_relay(stream, tests, "run", "END", str(tmp_path / "out"), str(tmp_path / "check"), partitions, {"processingTime": "1 second"}, slice_size=10)
     row = report.first()
     assert (row.ended, row.source_total, row.destination_total, row.same_amount) == (True, 60, 30, False)
 
