@@ -8,6 +8,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from relaygauge.operators.series import chart_events
 from relaygauge.schemas import EVENT_KEY, LATENCY_EVENT
+from relaygauge.sources.records import evaluated_once
 
 # JSON names that differ from column names, and topic names.
 JSON_NAMES = {"consumerid": "consumerId", "eventname": "eventName", "cnt": "count"}
@@ -36,9 +37,7 @@ def report_json(batch: Column) -> Column:
 def decode_reports(values: DataFrame, value: str = "value") -> DataFrame:
     """Events of a results topic with their batch and the time of the report; other rows are skipped."""
     schema = StructType([*LATENCY_EVENT.fields, *_REPORT])
-    parsed = F.from_json(F.col(value).cast("string"), schema).alias("event")
-    whole = " AND ".join(f"{f.name} IS NOT NULL" for f in schema.fields)
-    events = values.select(parsed).select("event.*").where(whole)
+    events = _whole_rows(values, value, schema)
     return events.withColumn("reported", F.timestamp_millis("reported"))
 
 
@@ -55,9 +54,14 @@ def reported_once(reports: DataFrame, within: str) -> DataFrame:
 
 def decode_events(values: DataFrame, value: str = "value") -> DataFrame:
     """Events of a results topic; rows that are no complete event are skipped."""
-    parsed = F.from_json(F.col(value).cast("string"), LATENCY_EVENT).alias("event")
-    whole = " AND ".join(f"{n} IS NOT NULL" for n in LATENCY_EVENT.names)
-    return values.select(parsed).select("event.*").where(whole)
+    return _whole_rows(values, value, LATENCY_EVENT)
+
+
+def _whole_rows(values: DataFrame, value: str, schema: StructType) -> DataFrame:
+    """JSON values that have all fields, each parsed once however many fields are asked for."""
+    parsed = evaluated_once(values, "_event", F.from_json(F.col(value).cast("string"), schema))
+    whole = " AND ".join(f"{n} IS NOT NULL" for n in schema.names)
+    return parsed.select("_event.*").where(whole)
 
 
 def live_feed(values: DataFrame, value: str = "value") -> DataFrame:
