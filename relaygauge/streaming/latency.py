@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
@@ -30,6 +30,9 @@ STRETCH = 900
 # Seconds that a series may lag behind the newest one before its windows are taken to have ended.
 LAG = 60
 
+# Rows of a file that a batch writes, at most about.
+FILE_ROWS = 4_000_000
+
 _FRONTIER = StructType(
     [*[f for f in BUCKET.fields if f.name in SERIES_KEY], *[StructField(c, LongType()) for c in ("ended", "newest")]]
 )
@@ -70,7 +73,7 @@ def latency_stream(
     ``write_topic`` and the topic's name, to the results topic as well.  A window has ended when its series
     has a record of its last second or a later one, or any series has one ``lag`` seconds later, or a
     row of ``clock`` is that late.  A batch that is run again gives the same rows once.  A batch writes ``files``
-    files per table.  ``close_windows`` reports what a run that ends has left open.
+    files per table, more where it has many rows.  ``close_windows`` reports what a run that ends has left open.
     """
     if clock is not None:
         records = records.unionByName(clock, allowMissingColumns=True)
@@ -79,9 +82,11 @@ def latency_stream(
         parts = latency_buckets(batch).persist()
         try:
             # One row: where the batch's buckets lie, and the newest second of all its rows.
-            span = parts.agg(F.min("second").alias("low"), F.max("second").alias("high")).first()
+            span = parts.agg(
+                F.min("second").alias("low"), F.max("second").alias("high"), F.count(F.lit(1)).alias("count")
+            ).first()
             newest = batch.agg(F.max(F.unix_seconds("arrived_at"))).first()[0]
-            _report(parts, batch_id, span["low"], span["high"], newest, root, windows, results, files, lag)
+            _report(parts, batch_id, span, newest, root, windows, results, files, lag)
         finally:
             parts.unpersist()
 
@@ -100,7 +105,8 @@ def close_windows(
     stored = _snapshots(spark, root)
     if stored:
         nothing = spark.createDataFrame([], BUCKET)
-        _report(nothing, max(stored) // 2, None, None, None, root, windows, results, files, 0, closing=True)
+        span = Row(low=None, high=None, count=0)
+        _report(nothing, max(stored) // 2, span, None, root, windows, results, files, 0, closing=True)
 
 
 def _snapshots(spark: SparkSession, root: str) -> list[int]:
@@ -110,8 +116,7 @@ def _snapshots(spark: SparkSession, root: str) -> list[int]:
 def _report(
     parts: DataFrame,
     batch_id: int,
-    low: int | None,
-    high: int | None,
+    span: Row,
     newest: int | None,
     root: str,
     windows: Sequence[tuple[str, int]],
@@ -125,8 +130,9 @@ def _report(
     version = 2 * batch_id + closing
     longest = max(window_seconds(unit, length) for unit, length in windows)
     buckets, events = buckets_table(spark, root), events_table(spark, root)
+    low, high = span["low"], span["high"]
     if low is not None:
-        buckets.append(parts, version, files, merge_below=None)
+        buckets.append(parts, version, max(files, -(-span["count"] // FILE_ROWS)), merge_below=None)
 
     before = [v for v in _snapshots(spark, root) if v < version]
     known = (
@@ -136,7 +142,10 @@ def _report(
     )
     # The row without a series is the clock.
     clock = F.max(F.when(F.col("topic").isNull(), F.col("newest"))).alias("clock")
-    was = known.agg(clock, F.min("ended").alias("ended"), F.max(F.when(F.col("topic").isNotNull(), F.col("newest"))).alias("newest")).first()
+    own = F.col("topic").isNotNull()
+    was = known.agg(
+        clock, F.min("ended").alias("ended"), F.max(F.when(own, F.col("newest"))).alias("newest"), F.count_if(own).alias("series")
+    ).first()
     now = max((t for t in (was["clock"], newest) if t is not None), default=None)
     frontiers = _moved(parts, known.where("topic IS NOT NULL"), now, longest, lag, closing)
 
@@ -148,7 +157,9 @@ def _report(
         near = stored.unionByName(fresh).withColumn("stretch", int_div(F.col("second"), STRETCH)).join(stretches, "stretch", "left_semi")
         summed = near.groupBy(*SERIES_KEY, "second").agg(*[F.sum(c).alias(c) for c in ("total", "cnt")], F.max("fresh").alias("fresh"))
         reported = _ended(summed.join(frontiers, SERIES_KEY), windows)
-        _write_events(reported, events, version, results, files)
+        # A bucket or a series that ends gives a row a second and window at most: large batches go to more files.
+        most = (span["count"] + was["series"]) * sum(window_seconds(unit, length) for unit, length in windows)
+        _write_events(reported, events, version, results, max(files, -(-most // FILE_ROWS)))
 
     # Series whose last window has been reported need no frontier any more.
     live = frontiers.where(F.col("ended") < F.col("newest") + longest).select(*_FRONTIER.names)
