@@ -31,7 +31,7 @@ STRETCH = 900
 LAG = 60
 
 # Rows of a file that a batch writes, at most about.
-FILE_ROWS = 4_000_000
+FILE_ROWS = 500_000
 
 _FRONTIER = StructType(
     [*[f for f in BUCKET.fields if f.name in SERIES_KEY], *[StructField(c, LongType()) for c in ("ended", "newest")]]
@@ -157,8 +157,11 @@ def _report(
         near = stored.unionByName(fresh).withColumn("stretch", int_div(F.col("second"), STRETCH)).join(stretches, "stretch", "left_semi")
         summed = near.groupBy(*SERIES_KEY, "second").agg(*[F.sum(c).alias(c) for c in ("total", "cnt")], F.max("fresh").alias("fresh"))
         reported = _ended(summed.join(frontiers, SERIES_KEY), windows)
-        # A bucket or a series that ends gives a row a second and window at most: large batches go to more files.
-        most = (span["count"] + was["series"]) * sum(window_seconds(unit, length) for unit, length in windows)
+        # A bucket is seen from a window for each second that the frontier moves on, and no longer than the window
+        # is: large batches go to more files.
+        since = low if was["ended"] is None else was["ended"]
+        moved = max(1, longest if now is None else now - since)
+        most = (span["count"] + was["series"]) * sum(min(moved, window_seconds(unit, length)) for unit, length in windows)
         _write_events(reported, events, version, results, max(files, -(-most // FILE_ROWS)))
 
     # Series whose last window has been reported need no frontier any more.
