@@ -26,6 +26,8 @@ BUCKET = 64  # larger buckets are split again, as long as there is a level left
 SKETCH = 64  # bytes of a set's sketch, one per minimum
 SLACK = 0.25  # how far below the similarity a sketch may lie: a pair of 0.8 fails this once in 200,000
 BLOCK = 1024  # sets that are compared with each other in one go
+BITMAP_BYTES = 4096  # fixed value: of a bitmap of Spark's bitmap functions
+BITMAPS = 1 << 13  # bitmaps of wanted sets that tasks may carry: 32 MB; beyond, all sets are shuffled
 TOKEN_BYTES = 5  # of a shingle's hash
 
 
@@ -112,7 +114,8 @@ def _sketches(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, text: str, key: str, shingle: int, similarity: float, recall: float, depth: int) -> DataFrame:
-    """(_key, row, size, digest, sketch, paths, tokens) of each document; paths and tokens packed."""
+    """(_key, row, size, hi, lo, sketch, paths, tokens) of each document: ``hi`` and ``lo`` are a digest of
+    its set, paths and tokens are packed."""
     runs = runs_for(recall, similarity, depth)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -131,28 +134,34 @@ def shingle_sets(docs: DataFrame, text: str, key: str, shingle: int, similarity:
                 cut = np.searchsorted(paths[0], np.arange(n + 1, dtype=np.uint64))
                 keys = paths[1:].T.astype(np.uint64)
                 rows = np.arange(serial, serial + n, dtype=np.int64)
+                digests = np.frombuffer(b"".join(hashlib.md5(s).digest() for s in sets), np.int64).reshape(n, 2)
                 serial += n
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("_key").slice(i, n),
                         pa.array(rows),
                         pa.array(np.diff(bounds)),
-                        pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()),
+                        pa.array(digests[:, 0]),
+                        pa.array(digests[:, 1]),
                         pa.array([s.tobytes() for s in _sketches(tokens, bounds)], pa.binary()),
                         pa.array([keys[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
                         pa.array(sets, pa.binary()),
                     ],
-                    ["_key", "row", "size", "digest", "sketch", "paths", "tokens"],
+                    ["_key", "row", "size", "hi", "lo", "sketch", "paths", "tokens"],
                 )
 
     rows = docs.select(F.col(key).alias("_key"), utf8(text).alias("_text"))
     return rows.mapInArrow(
-        build, f"_key {kind}, row long, size long, digest binary, sketch binary, paths binary, tokens binary"
+        build, f"_key {kind}, row long, size long, hi long, lo long, sketch binary, paths binary, tokens binary"
     )
 
 
-def _unfold(depth: int, level: int):
-    """A row for each node of a level that a set reaches: its key and that of the node above."""
+def _unfold(depth: int, level: int, bucket: int):
+    """A row for each node of a level that a set reaches: its key, that of the node above and the set.
+
+    Equal sets of a batch are one row.  A node that more than ``bucket`` sets of a batch reach is one
+    row for all of them, marked as crowded, where a further level will split it.
+    """
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,19 +169,84 @@ def _unfold(depth: int, level: int):
             keys = data.view(np.int64).reshape(-1, depth)
             place = np.repeat(np.arange(batch.num_rows), np.diff(offsets) // (8 * depth))
             key, above = keys[:, level], keys[:, max(level - 1, 0)]
+            hi, lo = (batch.column(c).to_numpy()[place] for c in ("hi", "lo"))
             # Paths of one set that part further down share the node; a key of 0 is no node.
-            order = np.lexsort((key, place))
-            place, key, above = place[order], key[order], above[order]
+            order = np.lexsort((lo, hi, key))
+            key, above, hi, lo = key[order], above[order], hi[order], lo[order]
             fresh = key != 0
-            fresh[1:] &= (place[1:] != place[:-1]) | (key[1:] != key[:-1])
+            fresh[1:] &= (key[1:] != key[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+            key, above, hi, lo = key[fresh], above[fresh], hi[fresh], lo[fresh]
+            crowded = np.zeros(len(key), bool)
+            if level < depth - 1 and len(key):
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                size = np.diff(np.append(first, len(key)))
+                crowded = np.repeat(size > bucket, size)
+                keep = ~crowded
+                keep[first] = True
+                key, above, hi, lo, crowded = key[keep], above[keep], hi[keep], lo[keep], crowded[keep]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(pa.array(place[fresh])), pa.array(above[fresh]), pa.array(key[fresh])],
-                ["row", "above", "bucket"],
+                [pa.array(above), pa.array(key), pa.array(hi), pa.array(lo), pa.array(crowded)],
+                ["above", "bucket", "hi", "lo", "crowded"],
             )
 
     return unfold
 
 
+_COMPARE, _SPLIT, _JOIN = 0, 1, 2  # what becomes of a bucket's sets, or of the bucket
+
+
+def _meetings(bucket: int, last: bool):
+    """What becomes of each bucket; rows come sorted by bucket and set.
+
+    Buckets of one set are left out.  Up to ``bucket`` sets are to be compared.  A larger bucket is
+    named, to be split; at the ``last`` level its sets are joined to the least of them instead.  No
+    more than ``bucket`` sets are held back from one batch to the next.
+    """
+
+    def rows_of(kind: int, key: np.ndarray, hi: np.ndarray, lo: np.ndarray, to_hi: np.ndarray, to_lo: np.ndarray) -> pa.RecordBatch:
+        kinds = np.full(len(key), kind, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (kinds, key, hi, lo, to_hi, to_lo)], ["kind", "bucket", "hi", "lo", "to_hi", "to_lo"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
+        for batch in _then_none(batches):
+            if batch is not None:
+                fresh = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "hi", "lo", "crowded")]
+                held = [np.concatenate(pair) for pair in zip(held, fresh)]
+            key, hi, lo, crowded = held
+            if not len(key):
+                continue
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            marked = np.logical_or.reduceat(crowded, first)
+            new = np.append(True, (key[1:] != key[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))
+            key, hi, lo = key[new], hi[new], lo[new]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(first, len(key)))
+            large = marked | (size > bucket)
+            open_ = np.zeros(len(first), bool)
+            open_[-1] = batch is not None
+            compare = np.flatnonzero(np.repeat(~large & ~open_ & (size > 1), size))
+            yield rows_of(_COMPARE, key[compare], hi[compare], lo[compare], hi[compare], lo[compare])
+            if last:
+                # Also of a bucket that goes on: its least set is held back, the others are done with.
+                of = np.repeat(first, size)
+                join = np.flatnonzero(np.repeat(large, size) & (np.arange(len(key)) != of))
+                yield rows_of(_JOIN, key[join], hi[join], lo[join], hi[of[join]], lo[of[join]])
+            else:
+                split = first[large & ~open_]
+                yield rows_of(_SPLIT, key[split], hi[split], lo[split], hi[split], lo[split])
+            start = len(key) if batch is None else first[-1]
+            end = start + 1 if large[-1] else len(key)
+            held = [key[start:end], hi[start:end], lo[start:end], np.full(len(key[start:end]), bool(large[-1]))]
+
+    return settle
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _near(sizes: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
     """Which sets may reach the similarity by their sizes: those of other sizes cannot."""
     return np.minimum.outer(sizes, others) >= similarity * np.maximum.outer(sizes, others) - 1e-9
@@ -248,39 +322,72 @@ def _bucket_links(similarity: float):
     return compare
 
 
-def candidate_links(sets: DataFrame, similarity: float, depth: int, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): sets that met in a bucket and look alike, as spanning links.
+def candidate_links(sets: DataFrame, classes: DataFrame, similarity: float, depth: int, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): rows of ``classes`` that met in a bucket and look alike, as spanning links.
 
-    A bucket of ``bucket`` sets or fewer is compared there and then.  A larger one is split by the
-    next level.  What is still larger at the last level goes through as one component: its sets have
-    shared three sampled tokens, and the exact check that follows compares them in blocks.
+    ``sets`` may hold equal sets many times, ``classes`` has a row for each.  A bucket of ``bucket`` sets
+    or fewer is compared there and then.  A larger one is split by the next level.  What is still larger
+    at the last level goes through as one component: its sets have shared three sampled tokens, and
+    the exact check that follows compares them in blocks.  A node crosses the shuffle once, with the digest of
+    its set; sketches follow only to buckets where sets have met.
     """
-    packed = sets.where("size > 0").select("row", "paths")
+    packed = sets.where("size > 0").select("hi", "lo", "paths")
     parts, split = [], None
     for level in range(depth):
-        nodes = packed.mapInArrow(_unfold(depth, level), "row long, above long, bucket long")
+        nodes = packed.mapInArrow(_unfold(depth, level, bucket), "above long, bucket long, hi long, lo long, crowded boolean")
         if split is not None:
             nodes = nodes.join(split.withColumnRenamed("bucket", "above"), "above", "left_semi")
-        if level < depth - 1:
-            # Written, so that Spark knows their size: few, they go to the rows instead of these to them.
-            counts = nodes.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
-            split = stage(counts.where(F.col("_n") > bucket).select("bucket"), "split")
-            nodes = nodes.join(split, "bucket", "left_anti")
-        parts.append(nodes.select("bucket", "row"))
-    placed = stage(reduce(DataFrame.unionByName, parts), "buckets")
-    counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("row").alias("_least")).where("_n > 1")
-    large = counts.where(F.col("_n") > bucket)
-    small = placed.join(counts.where(F.col("_n") <= bucket).select("bucket"), "bucket")
+        met = stage(
+            nodes.select("bucket", "hi", "lo", "crowded")
+            .repartition("bucket")
+            .sortWithinPartitions("bucket", "hi", "lo")
+            .mapInArrow(_meetings(bucket, level == depth - 1), "kind int, bucket long, hi long, lo long, to_hi long, to_lo long"),
+            "met",
+        )
+        # Written, so that Spark knows their size: few, they go to the rows instead of these to them.
+        split = stage(met.where(F.col("kind") == _SPLIT).select("bucket"), "split")
+        parts.append(met)
+    placed = reduce(DataFrame.unionByName, [p.where(F.col("kind") == _COMPARE).select("bucket", "hi", "lo") for p in parts])
     compared = (
-        small.join(sets.select("row", "size", "sketch"), "row")
+        placed.join(classes.where("size > 0").select("hi", "lo", "row", "size", "sketch"), ["hi", "lo"])
+        .select("bucket", "row", "size", "sketch")
         .repartition("bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_bucket_links(similarity), "a long, b long")
     )
-    joined = placed.join(large, "bucket").where("row != _least").select(F.col("row").alias("a"), F.col("_least").alias("b"))
+    numbers = classes.where("size > 0").select("hi", "lo", F.col("row").alias("a"))
+    joined = (
+        parts[-1].where(F.col("kind") == _JOIN)
+        .join(numbers, ["hi", "lo"])
+        .select("a", F.col("to_hi").alias("hi"), F.col("to_lo").alias("lo"))
+        .join(numbers.withColumnRenamed("a", "b"), ["hi", "lo"])
+        .select("a", "b")
+    )
     return compared.unionByName(joined).distinct()
 
 
+def _of_rows(sets: DataFrame, wanted: DataFrame, most: int = BITMAPS) -> DataFrame:
+    """``sets`` without most of those whose row is not ``wanted`` (node), where the rows fit ``most`` bitmaps.
+
+    Rows of a task follow each other, so a bitmap of 4 KB stands for up to 32,768 of them; tasks carry
+    them and drop what nobody asked for before it is shuffled.  Beyond that bound all go on.
+    """
+    maps = stage(
+        wanted.groupBy(F.bitmap_bucket_number("node").alias("_map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("node")).alias("_bits")),
+        "wanted",
+    )
+    if maps.count() > most:
+        return sets
+    place = F.bitmap_bit_position("row")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return (
+        sets.withColumn("_map", F.bitmap_bucket_number("row"))
+        .join(F.broadcast(maps), "_map")
+        .where(F.getbit(byte, (place % 8).cast("int")) == 1)
+        .drop("_map", "_bits")
+    )
+
+
 def _tokens(packed: bytes) -> np.ndarray:
     raw = np.frombuffer(packed, np.uint8).reshape(-1, TOKEN_BYTES)
     wide = np.zeros((len(raw), 8), np.uint8)
@@ -402,17 +509,17 @@ def _near_duplicates(
 ) -> DataFrame:
     sets = stage(shingle_sets(docs, text, key, shingle, similarity, recall, depth), "sets")
     # An empty set is like no other: it stays alone.
-    alone = F.when(F.col("size") == 0, F.col("row").cast("string").cast("binary")).otherwise(F.col("digest"))
-    members = sets.select("_key", "row", alone.alias("digest"))
+    alone = [F.when(F.col("size") == 0, F.col("row")).otherwise(F.col(c)).alias(c) for c in ("hi", "lo")]
+    members = sets.select("_key", "row", "size", *alone)
+    first = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("_key"), F.col("row").alias("row"))
     classes = stage(
-        members.groupBy("digest").agg(
-            F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("_key"), F.col("row").alias("row"))).alias("_first"),
-            F.count(F.lit(1)).alias("copies"),
-        ).select("digest", F.col("_first._key").alias("_least"), F.col("_first.row").alias("row"), "copies"),
+        sets.select("_key", "row", "size", "sketch", *alone)
+        .groupBy("hi", "lo", "size")
+        .agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch"))
+        .select("hi", "lo", "size", "sketch", F.col("_first._key").alias("_least"), F.col("_first.row").alias("row"), "copies"),
         "classes",
     )
-    chosen = sets.join(classes.select("row"), "row", "left_semi")
-    groups = components(candidate_links(chosen, similarity, depth))
+    groups = components(candidate_links(sets, classes, similarity, depth))
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("_m"))
     blocks = F.ceil(F.col("_m") / block)
     placed = (
@@ -420,7 +527,7 @@ def _near_duplicates(
         .select(F.col("node").alias("row"), F.col("component").alias("part"), blocks.alias("_blocks"))
         .withColumn("block", F.pmod(F.xxhash64("row"), F.col("_blocks")))
         .join(classes.select("row", "copies"), "row")
-        .join(sets.select("row", "size", "tokens"), "row")
+        .join(_of_rows(sets.select("row", "size", "tokens"), groups.select("node")), "row")
         .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
         .withColumns({"i": F.least("block", "_other"), "j": F.greatest("block", "_other")})
     )
@@ -445,10 +552,10 @@ def _near_duplicates(
         classes.join(counts, "row", "left")
         .join(linked.withColumnRenamed("node", "row"), "row", "left")
         .join(named, "component", "left")
-        .select("digest", "_least", F.coalesce("_class", "_least").alias("_class"), "copies", "texts", "links")
+        .select("hi", "lo", "size", "_least", F.coalesce("_class", "_least").alias("_class"), "copies", "texts", "links")
     )
     zero = F.lit(0).cast("long")
-    return members.join(about, "digest").select(
+    return members.join(about, ["hi", "lo", "size"]).select(
         F.col("_key").alias(key),
         F.col("_class").alias("class_id"),
         F.col("_least").alias("text_class"),

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -588,3 +589,44 @@ def test_pipeline(spark):
         assert row.n_chars == len(row.text)
     assert not brute.links([given[r.doc_id] for r in rows])
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_join", "suffix_dedup", "decontamination", "source_mix"]
+
+
+@pytest.mark.parametrize("size", [1, 3, 50, 1000])
+def test_buckets_are_settled_however_batches_cut_them(size):
+    rng = random.Random(size)
+    sets = {1: 1, 2: 2, 3: 4, 4: 5, 5: 40, 6: 3}
+    rows = sorted((b, s, -s) for b, n in sets.items() for s in range(n) for _ in range(rng.choice([1, 3])))
+    names = ["bucket", "hi", "lo", "crowded"]
+
+    def batches(marked):
+        table = [(*r, r[0] in marked and r[1] == 0) for r in rows]
+        for i in range(0, len(table), size):
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in table[i : i + size]])
+
+    def settled(last, marked=()):
+        out = [r for batch in jaccard_join._meetings(4, last)(batches(marked)) for r in batch.to_pylist()]
+        return {kind: sorted({(r["bucket"], r["hi"], r["to_hi"]) for r in out if r["kind"] == kind}) for kind in range(3)}
+
+    small = [(b, s, s) for b in (2, 3, 6) for s in range(sets[b])]
+    found = settled(False)
+    assert found[jaccard_join._COMPARE] == small and [b for b, *_ in found[jaccard_join._SPLIT]] == [4, 5] and not found[jaccard_join._JOIN]
+    found = settled(True)
+    assert found[jaccard_join._COMPARE] == small and not found[jaccard_join._SPLIT]
+    assert found[jaccard_join._JOIN] == [(b, s, 0) for b in (4, 5) for s in range(1, sets[b])]
+    found = settled(False, marked={2})
+    assert found[jaccard_join._COMPARE] == small[2:] and [b for b, *_ in found[jaccard_join._SPLIT]] == [2, 4, 5]
+
+
+def test_wanted_rows_pass_the_bitmaps(spark):
+    rows = [0, 1, 7, 8, 32767, 32768, 32769, (3 << 40), (3 << 40) + 1, (3 << 40) + 40000]
+    sets = spark.createDataFrame([(r, str(r)) for r in rows], "row long, tokens string")
+    for wanted in (rows[::2], rows[1::2], rows, []):
+        nodes = spark.createDataFrame([(r,) for r in wanted], "node long")
+        assert sorted(r.row for r in jaccard_join._of_rows(sets, nodes).collect()) == wanted
+    assert jaccard_join._of_rows(sets, nodes.unionAll(sets.select("row")), most=0).count() == len(rows)
+
+
+def test_keys_of_rows_are_128_bits(spark):
+    rows = [(1, "a"), (1, None), (1, ""), (None, "1:a"), (None, None), (None, ""), (11, "a"), (1, "1:a"), (1, "a")]
+    keys = [bytes(r._row) for r in corpus_pipeline._own(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(set(keys)) == len(rows) - 1 and keys[0] == keys[-1] and {len(k) for k in keys} == {16}
