@@ -20,9 +20,14 @@ LEAST_BYTES = 64  # a shorter text tells too little for that, and stays if it ha
 
 
 def _own(docs: DataFrame) -> DataFrame:
-    """``docs`` under names that no operator gives, with a key that only rows alike in doc_id and text share."""
+    """``docs`` under names that no operator gives, with a key that only rows alike in doc_id and text share.
+
+    The key is a digest of 128 bits, of the id (no digits if null), a mark and the text (no mark if null).
+    """
     own = docs.select(*[F.col(f"`{c}`").alias(f"_in_{c}") for c in docs.columns])
-    return own.withColumn("_row", F.xxhash64("_in_doc_id", "_in_text", F.col("_in_text").isNull()))
+    number = F.coalesce(F.col("_in_doc_id").cast("string"), F.lit(""))
+    content = F.coalesce(F.concat(F.lit(":"), "_in_text"), F.lit(""))
+    return own.withColumn("_row", F.unhex(F.md5(F.concat(number, content))))
 
 
 def _back(own: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
