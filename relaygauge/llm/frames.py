@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -21,8 +22,14 @@ MIX_B = np.uint64(0xBF58476D1CE4E5B9)
 BASE = 0xD6E8FEB86659FD93
 
 
-# Folders of the tables that the operators now at work have staged, innermost last.
-_OPEN: list[list[str]] = []
+class _Work(threading.local):
+    """Folders of the tables that the operators now at work in a thread have staged, innermost last."""
+
+    def __init__(self):
+        self.folders: list[list[str]] = []
+
+
+_OPEN = _Work()
 
 
 def stage(table: DataFrame, purpose: str) -> DataFrame:
@@ -31,8 +38,8 @@ def stage(table: DataFrame, purpose: str) -> DataFrame:
     Cuts the lineage: what follows survives the loss of executors without computing it anew.
     """
     folder = shared_folder(table.sparkSession, purpose)
-    if _OPEN:
-        _OPEN[-1].append(folder)
+    if _OPEN.folders:
+        _OPEN.folders[-1].append(folder)
     table.write.parquet(folder)
     return table.sparkSession.read.schema(table.schema).parquet(folder)
 
@@ -40,13 +47,13 @@ def stage(table: DataFrame, purpose: str) -> DataFrame:
 def finished(spark: SparkSession, purpose: str, work: Callable[[], DataFrame]) -> DataFrame:
     """The result of ``work``, staged; tables that it staged on the way are removed."""
     folders: list[str] = []
-    _OPEN.append(folders)
+    _OPEN.folders.append(folders)
     try:
         result = work()
     except BaseException:
-        _OPEN.pop()
+        _OPEN.folders.pop()
         raise
-    _OPEN.pop()
+    _OPEN.folders.pop()
     out = stage(result, purpose)
     for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
