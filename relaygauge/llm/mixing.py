@@ -12,7 +12,7 @@ from relaygauge.llm.frames import VISIBLE_SPLIT, stage
 
 MAX_REPEATS = 3  # fixed value: no source and no document counts more often
 GROUP_ROWS = 1024  # documents of one source and length that are ranked together
-TABLE_WORDS = 1 << 16  # words of a source's budget that the subset sum settles exactly
+TABLE_WORDS = 1 << 16  # entries of the subset sum's table, each of one word or of a coarser unit
 POOL = 32  # documents of a source of which every choice is tried where the subset sum is not exact
 SEED = 17
 
@@ -40,8 +40,10 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int, ta
     """How many documents of each size to take, so that the words come as near ``budget`` as can be.
 
     Counts are first taken in proportion, which leaves a remainder; a bounded knapsack over the
-    remaining budget (of ``table`` words at most) then settles it from what is left of each size.  Where
-    that is not exact or the rest is larger, as with few long documents, POOL documents are chosen anew.
+    remaining budget then settles it from what is left of each size.  A remainder of more than ``table``
+    words is first fitted in coarser units, as large as it takes to come by with a table of that size, and
+    finer ones in each turn.  Where that is not exact, as with few long documents, POOL documents are
+    chosen anew.
     """
     take = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
@@ -53,15 +55,18 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int, ta
     room = min(table // 2, budget)
     take[:] = np.floor(counts * ((budget - room) / total)).astype(np.int64)
     rest = budget - int((take * sizes).sum())
-    # Where the floors of many rare sizes left more than the table holds, whole documents of a
-    # seeded order of sizes fill up first.
+    # Sizes are tried in a seeded order, so that long documents do not come before short ones.
     order = np.random.default_rng(seed).permutation(len(sizes))
-    for k in order:
-        if rest <= table:
+    while rest > table:
+        # Room is left for the exact sum where there are documents that it can take.
+        spare = counts - take
+        aim = rest - table // 2 if ((spare > 0) & (sizes > 0) & (sizes <= table // 2)).any() else rest
+        step = -(-aim // table)
+        more = _subset_sum(-(-sizes // step), spare, aim // step, order)
+        if not more.any():
             break
-        more = min(int(counts[k] - take[k]), max(0, (rest - table // 2) // max(1, int(sizes[k]))))
-        take[k] += more
-        rest -= more * int(sizes[k])
+        take += more
+        rest -= int((more * sizes).sum())
     if 0 <= rest <= table:
         take += _subset_sum(sizes, counts - take, rest)
     if int((take * sizes).sum()) != budget:
@@ -111,9 +116,13 @@ def _exchanged(sizes: np.ndarray, counts: np.ndarray, take: np.ndarray, budget:
     return base
 
 
-def _subset_sum(sizes: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack: numbers per size whose words come nearest to ``budget``, above or below."""
-    usable = [int(k) for k in np.argsort(-sizes, kind="stable") if spare[k] > 0 and 0 < sizes[k]]
+def _subset_sum(sizes: np.ndarray, spare: np.ndarray, budget: int, order: np.ndarray | None = None) -> np.ndarray:
+    """Bounded knapsack: numbers per size whose words come nearest to ``budget``, above or below.
+
+    Sizes come in ``order``, or the largest first.
+    """
+    order = np.argsort(-sizes, kind="stable") if order is None else order
+    usable = [int(k) for k in order if spare[k] > 0 and 0 < sizes[k]]
     limit = budget + (min(int(sizes[k]) for k in usable) if usable else 0)
     reached = np.zeros(limit + 1, bool)
     reached[0] = True
