@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from relaygauge.llm.frames import byte_arrays, chunks, utf8
 
 BATCH_BYTES = 1 << 18  # text that goes to the encoder at once
-KNOWN_WORDS = 1_000_000  # pieces whose length a worker remembers
+KNOWN_BYTES = 64 << 20  # of pieces whose lengths a worker remembers
+KNOWN_LETTERS = 32  # of a piece that is remembered: longer ones seldom come again
+PIECE_BYTES = 160  # that an entry takes besides its letters
 
 # What an encoder that ignores white space may still take for a letter, though Python splits there.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -24,7 +26,7 @@ class Encoder:
     """Lengths of texts under one vocabulary file.
 
     Where the tokenizer drops white space, no token spans it: texts are then split there, each
-    piece is encoded once, and lengths of pieces are remembered.  Other tokenizers get whole texts.
+    short piece is encoded once, and its length is remembered.  Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str):
@@ -46,6 +48,7 @@ class Encoder:
             raise ValueError(f"no library is known for {path}")
         self.splits = self._drops_white_space()
         self._known: dict[str, int] = {}
+        self._held = 0
 
     def _drops_white_space(self) -> bool:
         probes = ["Ab", "ab,", "12", "it's", "(x"]
@@ -70,12 +73,17 @@ class Encoder:
         if not self.splits:
             return self.encode(texts)
         pieces = [[t] if any(c in t for c in _NOT_SPACE) else t.split() for t in texts]
-        if len(self._known) > KNOWN_WORDS:
+        if self._held > KNOWN_BYTES:
             self._known.clear()
-        unknown = list({p for words in pieces for p in words}.difference(self._known))
-        self._known.update(zip(unknown, self.encode(unknown)))
-        known = self._known.__getitem__
-        return [sum(map(known, words)) for words in pieces]
+            self._held = 0
+        distinct = {p for words in pieces for p in words}
+        short = [p for p in distinct if len(p) <= KNOWN_LETTERS and p not in self._known]
+        self._known.update(zip(short, self.encode(short)))
+        self._held += sum(PIECE_BYTES + 4 * len(p) for p in short)
+        long = [p for p in distinct if len(p) > KNOWN_LETTERS]
+        here = dict(zip(long, self.encode(long)))
+        known = self._known.get
+        return [sum(n if (n := known(p)) is not None else here[p] for p in words) if here else sum(map(known, words)) for words in pieces]
 
 
 def _encoder(path: str) -> Encoder:
