@@ -11,6 +11,30 @@ def _words(text: str) -> str:
     return rf"list_filter(regexp_split_to_array({lowered}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 
+# Texts as hexadecimal digits, cut into pieces so that a string is not looked for from a long text's start.
+REPEATS = """WITH d AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS h
+  FROM documents),
+pieces AS (SELECT r, k, c, substr(h, 2 * c + 1, 1122) AS piece FROM (SELECT *, unnest(range(0, length(h) // 2 - 49, 512)) AS c FROM d)),
+strings AS (
+  SELECT r, k, c + i AS p, substr(piece, 2 * i + 1, 100) AS s
+  FROM (SELECT *, unnest(range(0, least(512, length(piece) // 2 - 49))) AS i FROM pieces)),
+firsts AS (SELECT s, min(k) AS first FROM strings GROUP BY s HAVING min(k) < max(k)),
+hits AS (SELECT r, p FROM strings JOIN firsts USING (s) WHERE first < k),
+runs AS (
+  SELECT r, min(p) AS a, max(p) + 50 AS b
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS run
+        FROM (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 1 ELSE 0 END AS fresh FROM hits))
+  GROUP BY r, run),
+gone AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS upto FROM runs GROUP BY r),
+rest AS (
+  SELECT r, a, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS f, a AS t FROM runs
+  UNION ALL SELECT r, 9223372036854775807, coalesce(upto, 0), length(h) // 2 FROM d LEFT JOIN gone USING (r)),
+kept AS (SELECT r, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY a) AS left_over FROM rest JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, sha256(unhex(left_over)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)"""
+
 CONTAMINATION = f"""WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words('text')} AS w FROM benchmark),
 win AS (
@@ -189,6 +213,7 @@ SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value
 FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 200"""
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": REPEATS,
     "op6_jaccard_join": NEAR_DUPLICATES,
     "op7_quality_rules": QUALITY,
     "op8_decontamination": CONTAMINATION,
