@@ -26,7 +26,8 @@ from relaygauge.llm.frames import (
 
 WINDOW = 10  # fixed value: consecutive item words that count as an occurrence
 SHINGLE = 5  # words of the tokens that windows are joined on
-MAP_BITS = 25  # the map of benchmark shingles that tasks carry: 4 MB, whatever the benchmark's size
+MAP_ROOM = 1024  # bits of the map of benchmark shingles that tasks carry, for each of them
+MAP_BITS = (25, 29)  # the map has 2^25 to 2^29 bits: 4 to 64 MB; a fuller one only lets more places pass to the join
 
 
 class _Words:
@@ -60,24 +61,37 @@ class _Words:
 
 
 def _map_of(index: DataFrame, column: str) -> np.ndarray:
-    """A bit for each shingle of ``index``, at a place given by its hash: fixed size, OR of the tasks'."""
+    """A bit for each shingle of ``index``, at a place given by its hash: the OR of the tasks' maps.
+
+    The map grows with the number of distinct shingles.
+    """
+    distinct = index.select(column).distinct()
+    width = min(max((MAP_ROOM * distinct.count()).bit_length(), MAP_BITS[0]), MAP_BITS[1])
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << MAP_BITS, bool)
+        table = np.zeros(1 << (width - 3), np.uint8)
         for batch in batches:
-            hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            table[(hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()])], ["_bits"])
+            _mark(table, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()])], ["_bits"])
 
-    table = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    tasks = index.select(column).distinct().coalesce(8).mapInArrow(bits, "_bits binary")
-    for row in tasks.toLocalIterator():
+    table = np.zeros(1 << (width - 3), np.uint8)
+    for row in distinct.coalesce(8).mapInArrow(bits, "_bits binary").toLocalIterator():
         table |= np.frombuffer(row["_bits"], np.uint8)
     return table
 
 
+def _at(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The bits of a map that hashes fall on: by as many high bits as the map's length has."""
+    return (hashes >> np.uint64(64 - (8 * len(table) - 1).bit_length())).astype(np.int64)
+
+
+def _mark(table: np.ndarray, hashes: np.ndarray) -> None:
+    at = _at(table, hashes)
+    np.bitwise_or.at(table, at >> 3, (1 << (7 - (at & 7))).astype(np.uint8))
+
+
 def _on_map(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    at = _at(table, hashes)
     return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 

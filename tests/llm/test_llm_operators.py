@@ -391,6 +391,17 @@ def test_fit_of_few_long_documents():
         assert abs(taken(sizes, counts, budget) - budget) == min(abs(t - budget) for t in sums)
 
 
+def test_rests_above_the_table_are_fitted():
+    rng = np.random.default_rng(4)
+    for low, high, n in ((100_000, 200_000, 3000), (1, 60_000, 5000), (40_000, 900_000, 400)):
+        sizes, counts = np.unique(rng.integers(low, high, n), return_counts=True)
+        budget = int(0.4 * (sizes * counts).sum())
+        for table in (1 << 10, 1 << 16):
+            taken = mixing.fit_counts(sizes, counts, budget, 1, table)
+            assert ((0 <= taken) & (taken <= counts)).all()
+            assert abs((taken * sizes).sum() - budget) <= 1, (low, table)
+
+
 def test_mix(spark, monkeypatch):
     monkeypatch.setattr(mixing, "GROUP_ROWS", 4)
     rng = random.Random(5)
@@ -522,6 +533,44 @@ def test_windows_equal_brute_force(spark):
     assert hits > 20
 
 
+def test_map_of_shingles_grows_with_them(spark):
+    from relaygauge.llm import decontamination as module
+
+    for n in (1, 1000, 200_000):
+        hashes = module.mix(np.arange(1, n + 1, dtype=np.uint64))
+        index = spark.createDataFrame(pd.DataFrame({"shingle": hashes.view(np.int64)}))
+        table = module._map_of(index, "shingle")
+        assert module.MAP_ROOM // 2 * n <= 8 * len(table) <= max(1 << module.MAP_BITS[0], 2 * module.MAP_ROOM * n)
+        assert module._on_map(table, hashes).all()
+        others = module.mix(np.arange(1 << 40, (1 << 40) + 10_000, dtype=np.uint64))
+        assert module._on_map(table, others).mean() < 0.01
+    empty = module._map_of(spark.createDataFrame([], "shingle long"), "shingle")
+    assert not module._on_map(empty, others).any()
+
+
+def test_threads_do_not_share_staged_tables(spark):
+    import threading
+
+    from relaygauge.llm.frames import finished, stage
+
+    ready, results = threading.Barrier(2), {}
+
+    def work(n):
+        def inner():
+            table = stage(spark.range(n), "thread")
+            ready.wait(60)
+            return table.selectExpr("id + 1 AS id")
+
+        results[n] = finished(spark, "thread-result", inner).count()
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in (5, 9)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert results == {5: 5, 9: 9}
+
+
 # Toxicity
 
 
@@ -575,6 +624,21 @@ def test_token_counts(spark, name):
         assert row.over_limit == (row.n_tokens > 2048)
 
 
+def test_only_short_pieces_are_remembered(monkeypatch):
+    from relaygauge.llm import token_counts as module
+
+    encoder = module.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["語" * (40 + i) + " ab" + "x" * (i % 50) for i in range(200)]
+    expected = encoder.encode(texts)
+    assert encoder.lengths(texts) == expected
+    assert max(map(len, encoder._known)) <= module.KNOWN_LETTERS
+    monkeypatch.setattr(module, "KNOWN_BYTES", 1000)
+    for _ in range(3):
+        assert encoder.lengths(texts) == expected
+    held = encoder._held
+    assert encoder.lengths(["ab"]) == encoder.encode(["ab"]) and len(encoder._known) == 1 and encoder._held < held
+
+
 # Pipeline
 
 
