@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import threading
 from collections.abc import Callable, Iterator, Sequence
 
@@ -61,6 +63,16 @@ def finished(spark: SparkSession, purpose: str, work: Callable[[], DataFrame]) -
     return out
 
 
+def give_back() -> None:
+    """Memory that a worker has freed goes back to the system, and not only to its next arrays.
+
+    An executor's memory holds its workers' too, and a worker stays for the stages that follow.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(text: str) -> Column:
     """The text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
