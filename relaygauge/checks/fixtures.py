@@ -12,7 +12,7 @@ from relaygauge.functions.text import utf8_bytes
 from relaygauge.operators.archive import end_markers, register_tests
 from relaygauge.operators.latencies import latency_buckets
 from relaygauge.operators.lines import text_lines
-from relaygauge.operators.rolling import rolling_averages
+from relaygauge.operators.rolling import rolling_averages, rolling_spans
 from relaygauge.schemas import LATENCY_RECORD, MESSAGE
 
 PARTITIONS = 4
@@ -177,6 +177,11 @@ def buckets(spark: SparkSession, folder: str) -> DataFrame:
     return latency_buckets(records(spark, folder))
 
 
+def result_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The latency events of ``results``, those of consecutive seconds with one value in one row."""
+    return rolling_spans(buckets(spark, folder), RESULT_WINDOWS)
+
+
 def results(spark: SparkSession, folder: str) -> DataFrame:
     """Latency events of two windows, reported every second."""
     return rolling_averages(buckets(spark, folder), RESULT_WINDOWS)

@@ -32,7 +32,7 @@ from relaygauge.sources import catalogue, records, resolution, results, topics
 from relaygauge.streaming import DRAIN
 from relaygauge.streaming.archive import archive_stream, read_counters, read_messages
 from relaygauge.streaming.replay import replay_stream
-from relaygauge.streaming.latency import close_windows, latency_stream, read_buckets, read_events, read_reports
+from relaygauge.streaming.latency import close_windows, latency_stream, read_buckets, read_events, read_report_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +42,8 @@ SECOND_BY_SECOND = (("second", 10), ("second", 30), ("minute", 1))
 LINE_SHAPE = synthetic.Shape("relay", 10, 200)
 DATASET_SHAPE = synthetic.Shape("relay", 1024, 5000)
 DATASET_BYTES = 10_000_000
+# Of all events, so a file of one of four batches has a quarter of them.
+BATCH_FILE_ROWS = 1_000_000
 
 
 def query(function: Query) -> Query:
@@ -696,14 +698,16 @@ def stream_window_reports(spark, folder):
     root = shared_folder(spark, "reports")
     ordered = fx.events(spark, folder).withColumn("_at", epoch_micros(F.col("ts")))
     cuts = ordered.approxQuantile("_at", [0.25, 0.5, 0.75], 0.001)
+    # Each batch has as many files; a file is read by one task.
+    files = 1 + ordered.count() // BATCH_FILE_ROWS
     earlier = F.lit(False)
     for cut in [*cuts, None]:
         upto = F.lit(True) if cut is None else F.col("_at") <= int(cut)
-        ordered.where(upto & ~earlier).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        ordered.where(upto & ~earlier).repartition(files).write.mode("append").parquet(f"{root}/in")
         earlier = upto
-    stream = spark.readStream.schema(ordered.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    stream = spark.readStream.schema(ordered.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
     records_ = fx.records_of(stream).select("tag", "timings", "arrived_at")
     windows = fx.RESULT_WINDOWS
     latency_stream(records_, root, f"{root}/checkpoint", windows, trigger=DRAIN).awaitTermination()
     close_windows(spark, root, windows)
-    return read_reports(spark, root).groupBy(*LATENCY_EVENT.names).agg(F.count(F.lit(1)).alias("reports"))
+    return read_report_counts(spark, root)

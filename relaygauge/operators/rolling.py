@@ -8,7 +8,7 @@ more of a series than one block.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -103,19 +103,63 @@ def rolling_averages(
     """
     if emit_every < 1:
         raise ValueError("emit_every is at least one second")
-    states = rolling_spans(buckets, windows, block_seconds)
+    return unfold_spans(rolling_spans(buckets, windows, block_seconds), emit_every)
+
+
+def unfold_spans(spans: DataFrame, emit_every: int = 1, keep: Sequence[str] = ()) -> DataFrame:
+    """Spans as latency events, one per second, with further columns to ``keep``."""
     first_emission = int_div(F.col("from") + (emit_every - 1), emit_every) * emit_every
     return (
-        states.where(first_emission < F.col("until"))
+        spans.where(first_emission < F.col("until"))
         .select(
             *SERIES_KEY,
             F.explode(_emissions(F.col("from"), F.col("until"), emit_every)).alias("second"),
             "operation",
             "value",
             "cnt",
+            *keep,
         )
-        .select(*LATENCY_EVENT.names)
+        .select(*LATENCY_EVENT.names, *keep)
+    )
+
+
+def newest_spans(spans: DataFrame, version: str) -> DataFrame:
+    """Spans that hold, of all versions of a window, the one of the highest ``version``."""
+    newest = _merged_spans(spans, [*SERIES_KEY, "operation"], F.struct(version, "value", "cnt"), F.max)
+    return newest.select(*[F.col("_merged")[c].alias(c) if c in ("value", "cnt", version) else c for c in spans.columns])
+
+
+def counted_spans(spans: DataFrame, name: str) -> DataFrame:
+    """Spans with the number of times that each window is there with the same value and count, as column ``name``."""
+    keys = [*SERIES_KEY, "operation", "value", "cnt"]
+    return _merged_spans(spans, keys, F.lit(1).cast("bigint"), F.sum).withColumnRenamed("_merged", name)
+
+
+def _merged_spans(spans: DataFrame, keys: Sequence[str], column: Column, merge: Callable[[Column], Column]) -> DataFrame:
+    """(keys, from, until, _merged): ``column`` merged for each second that spans of a key have in common.
+
+    Spans cross the shuffle as they are.  Equal ones meet as such, ones that touch no other stay, and only those
+    that cross another are cut into seconds, so the result has a row per span where versions agree about the bounds.
+    """
+    block = F.sequence(int_div(F.col("from"), BLOCK_SECONDS), int_div(F.col("until") - 1, BLOCK_SECONDS))
+    start = F.col("block") * BLOCK_SECONDS
+    place = [*keys, "block"]
+    cut = (
+        spans.select(*keys, "from", "until", column.alias("_merged"), F.explode(block).alias("block"))
+        .withColumns({"from": F.greatest("from", start), "until": F.least("until", start + BLOCK_SECONDS)})
+        .repartition(*place)
+    )
+    apart = cut.groupBy(*place, "from", "until").agg(merge("_merged").alias("_merged"))
+    line = W.partitionBy(*place).orderBy("from", "until")
+    before = F.max("until").over(line.rowsBetween(W.unboundedPreceding, -1))
+    crossed = F.coalesce(before > F.col("from"), F.lit(False)) | F.coalesce(F.lead("from").over(line) < F.col("until"), F.lit(False))
+    step = F.when(F.col("crossed"), F.lit(1).cast("bigint")).otherwise(F.col("until") - F.col("from"))
+    pieces = (
+        apart.select("*", crossed.alias("crossed"))
+        .select(*place, "_merged", step.alias("step"), F.explode(F.sequence(F.col("from"), F.col("until") - 1, step)).alias("from"))
+        .withColumn("until", F.col("from") + F.col("step"))
     )
+    return pieces.groupBy(*place, "from", "until").agg(merge("_merged").alias("_merged")).drop("block")
 
 
 def native_rolling_averages(buckets: DataFrame, unit: str, length: int) -> DataFrame:

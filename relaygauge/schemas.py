@@ -57,6 +57,13 @@ LATENCY_EVENT = _struct(
     value=_whole,
     cnt=_whole,
 )
+# Windows that end at the seconds ``from`` to ``until`` - 1 with one value: an event for each of them.
+LATENCY_SPAN = _struct(
+    **{"topic": _text, "partition": _text, "consumerid": _text, "eventname": _text, "operation": _text, "from": _whole},
+    until=_whole,
+    value=_whole,
+    cnt=_whole,
+)
 BUCKET = _struct(
     topic=_text, partition=_text, consumerid=_text, eventname=_text, second=_whole, total=_whole, cnt=_whole
 )

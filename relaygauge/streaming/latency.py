@@ -18,10 +18,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 from relaygauge.functions.keys import window_seconds
 from relaygauge.functions.numbers import int_div
 from relaygauge.operators.latencies import latency_buckets
-from relaygauge.operators.rolling import WINDOWS, rolling_spans
-from relaygauge.schemas import BUCKET, EVENT_KEY, LATENCY_EVENT, SERIES_KEY
+from relaygauge.operators.rolling import WINDOWS, counted_spans, newest_spans, rolling_spans, unfold_spans
+from relaygauge.schemas import BUCKET, EVENT_KEY, LATENCY_SPAN, SERIES_KEY
 from relaygauge.sinks.files import Files
-from relaygauge.sinks.levels import LevelledTable, newest_of, summed_by
+from relaygauge.sinks.levels import LevelledTable, summed_by
+from relaygauge.sinks.tables import BATCH
 from relaygauge.sinks.topics import event_values, write_topic
 from relaygauge.streaming import LATENCY_INTERVAL
 
@@ -46,8 +47,9 @@ def buckets_table(spark: SparkSession, root: str) -> LevelledTable:
 
 
 def events_table(spark: SparkSession, root: str) -> LevelledTable:
-    """Reported windows; a window that was reported again replaces the earlier report."""
-    return LevelledTable(spark, f"{root}/events", LATENCY_EVENT, newest_of(EVENT_KEY), tuple(EVENT_KEY), "second")
+    """Reported windows as spans of seconds; a window that was reported again replaces the earlier report."""
+    order = tuple("from" if c == "second" else c for c in EVENT_KEY)
+    return LevelledTable(spark, f"{root}/events", LATENCY_SPAN, lambda rows: newest_spans(rows, BATCH), order)
 
 
 def clock_ticks(spark: SparkSession) -> DataFrame:
@@ -157,11 +159,8 @@ def _report(
         near = stored.unionByName(fresh).withColumn("stretch", int_div(F.col("second"), STRETCH)).join(stretches, "stretch", "left_semi")
         summed = near.groupBy(*SERIES_KEY, "second").agg(*[F.sum(c).alias(c) for c in ("total", "cnt")], F.max("fresh").alias("fresh"))
         reported = _ended(summed.join(frontiers, SERIES_KEY), windows)
-        # A bucket is seen from a window for each second that the frontier moves on, and no longer than the window
-        # is: large batches go to more files.
-        since = low if was["ended"] is None else was["ended"]
-        moved = max(1, longest if now is None else now - since)
-        most = (span["count"] + was["series"]) * sum(min(moved, window_seconds(unit, length)) for unit, length in windows)
+        # A bucket begins and ends a span per window: large batches go to more files.
+        most = 2 * (span["count"] + was["series"]) * len(windows)
         _write_events(reported, events, version, results, max(files, -(-most // FILE_ROWS)))
 
     # Series whose last window has been reported need no frontier any more.
@@ -214,28 +213,27 @@ def _looked_up(
 
 
 def _ended(buckets: DataFrame, windows: Sequence[tuple[str, int]]) -> DataFrame:
-    """Events of windows that end after ``passed`` and up to ``ended``, and earlier ones that hold a fresh bucket."""
+    """Spans of windows that end after ``passed`` and up to ``ended``, and of earlier ones that hold a fresh bucket."""
     spans = rolling_spans(buckets, windows, sums=["fresh"], keep=["passed", "ended"])
     touched = F.col("fresh") > 0
     start = F.when(touched, F.col("from")).otherwise(F.greatest("from", F.col("passed") + 1))
     end = F.least(F.col("until") - 1, F.col("ended"))
-    open_spans = spans.where(start <= end)
-    return open_spans.select(
-        *SERIES_KEY, F.explode(F.sequence(start, end)).alias("second"), "operation", "value", "cnt"
-    ).select(*LATENCY_EVENT.names)
+    return spans.where(start <= end).select(
+        *SERIES_KEY, "operation", start.alias("from"), (end + 1).alias("until"), "value", "cnt"
+    )
 
 
-def _write_events(events: DataFrame, table: LevelledTable, version: int, results: dict | None, files: int) -> None:
+def _write_events(spans: DataFrame, table: LevelledTable, version: int, results: dict | None, files: int) -> None:
     if results is None:
-        table.append(events, version, files, merge_below=None)
+        table.append(spans, version, files, merge_below=None)
         return
-    events.persist()
+    spans.persist()
     try:
-        table.append(events, version, files, merge_below=None)
+        table.append(spans, version, files, merge_below=None)
         sink = dict(results)
-        write_topic(event_values(events, sink.pop("topic"), version), **sink)
+        write_topic(event_values(unfold_spans(spans), sink.pop("topic"), version), **sink)
     finally:
-        events.unpersist()
+        spans.unpersist()
 
 
 def read_buckets(spark: SparkSession, root: str) -> DataFrame:
@@ -245,9 +243,14 @@ def read_buckets(spark: SparkSession, root: str) -> DataFrame:
 
 def read_events(spark: SparkSession, root: str) -> DataFrame:
     """The events table: one row per event key, the one reported last."""
-    return events_table(spark, root).current()
+    return unfold_spans(events_table(spark, root).current())
 
 
 def read_reports(spark: SparkSession, root: str) -> DataFrame:
     """Every report of a window that is still stored as such, with the number of its batch."""
-    return events_table(spark, root).versions()
+    return unfold_spans(events_table(spark, root).versions(), keep=[BATCH])
+
+
+def read_report_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Events that are still stored as reported, with how often: ``reports`` with the same value and count."""
+    return unfold_spans(counted_spans(events_table(spark, root).versions(), "reports"), keep=["reports"])

@@ -147,3 +147,34 @@ def test_series(spark):
     assert extent == {"value": (3598, 7201, 1, 9), "count": (3598, 7201, 1, 3)}
     recent = series.events_history(events, "t", 7300).collect()
     assert [r.second for r in recent] == [7201]
+
+
+SPAN = 'topic STRING, partition STRING, consumerid STRING, eventname STRING, operation STRING, "from" BIGINT, until BIGINT, value BIGINT, cnt BIGINT, batch_id BIGINT'.replace('"', "`")
+
+
+def test_spans_of_versions_merge_as_their_seconds_do(spark):
+    """Equal, touching, nested and crossing spans, some over the edges of blocks."""
+    pick = random.Random(7)
+    rows, newest, often = [], {}, {}
+    edge = 3 * rolling.BLOCK_SECONDS
+    for batch in range(6):
+        at = {"a": edge - 200, "b": edge - 50, "c": 5}
+        for name, second in at.items():
+            while second < at[name] + 400:
+                until = second + pick.choice([1, 3, 40])
+                value = pick.randrange(3)
+                if pick.random() < 0.7:
+                    rows.append(("t", "0", "c", name, "avg10second", second, until, value, 1, batch))
+                    for s in range(second, until):
+                        newest[name, s] = (value, batch)
+                        often[name, s, value] = often.get((name, s, value), 0) + 1
+                second = until
+    frame = spark.createDataFrame(rows + [("t", "0", "c", "whole", "avg10second", edge, edge + 90, 1, 1, b) for b in (1, 2)], SPAN)
+    merged = rolling.newest_spans(frame, "batch_id")
+    assert merged.columns == frame.columns
+    # Versions that agree about the bounds are not unfolded.
+    assert [(r["from"], r.until, r.batch_id) for r in merged.where("eventname = 'whole'").collect()] == [(edge, edge + 90, 2)]
+    got = rolling.unfold_spans(merged.where("eventname <> 'whole'"), keep=["batch_id"]).collect()
+    assert len(got) == len(newest) and {(r.eventname, r.second): (r.value, r.batch_id) for r in got} == newest
+    counted = rolling.unfold_spans(rolling.counted_spans(frame.where("eventname <> 'whole'"), "n"), keep=["n"]).collect()
+    assert len(counted) == len(often) and {(r.eventname, r.second, r.value): r.n for r in counted} == often

@@ -26,6 +26,7 @@ from relaygauge.streaming.latency import (
     latency_stream,
     read_buckets,
     read_events,
+    read_report_counts,
     read_reports,
 )
 
@@ -180,6 +181,19 @@ def test_a_late_record_repeats_the_windows_it_changes(spark, tmp_path):
     assert often.where("count > 2").isEmpty()
 
 
+def test_stored_reports_do_not_grow_with_the_seconds_of_a_window(spark, tmp_path):
+    out = str(tmp_path / "out")
+    deliver_by_seconds(spark, tmp_path, [[0, 40], [80, 300]])
+    run(spark, tmp_path)
+    finish(spark, tmp_path)
+    stored = sum(p.rows for p in events_table(spark, out).manifest().parts)
+    # A bucket begins and ends a span per window, and a batch cuts one.
+    assert stored <= 3 * len(WINDOWS) * read_buckets(spark, out).count() < read_events(spark, out).count()
+    assert same(read_events(spark, out), expected(spark, tmp_path)[1])
+    counts = read_report_counts(spark, out)
+    assert same(counts.drop("reports"), expected(spark, tmp_path)[1]) and counts.where("reports <> 1").isEmpty()
+
+
 def test_a_silent_series_is_ended_by_the_others(spark, tmp_path):
     """Series of one topic fall silent; those of the other go on and carry the clock."""
     out, rows = str(tmp_path / "out"), []
