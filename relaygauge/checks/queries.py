@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +21,10 @@ from relaygauge.plans.dataset import dataset_topic as numbered_dataset
 from relaygauge.plans.latency import decode_latency_topic, latency_report
 from relaygauge.plans.relay import check_relay
 from relaygauge.plans.validation import validate, validate_by_fingerprint, validate_ordered
-from relaygauge.schemas import EVENT_KEY, LATENCY_EVENT, TIMINGS
+from relaygauge.schemas import EVENT_KEY, LATENCY_EVENT, LATENCY_SPAN, TIMINGS
 from relaygauge.session import shared_folder
 from relaygauge.sinks import tables
 from relaygauge.sinks import topics as topic_sinks
-from relaygauge.sinks.levels import LevelledTable, newest_of
 from relaygauge.sinks.ordered import write_ordered
 from relaygauge.sinks.text import report_lines, write_lines
 from relaygauge.sinks.topics import event_values, framed_values, line_values
@@ -32,7 +32,7 @@ from relaygauge.sources import catalogue, records, resolution, results, topics
 from relaygauge.streaming import DRAIN
 from relaygauge.streaming.archive import archive_stream, read_counters, read_messages
 from relaygauge.streaming.replay import replay_stream
-from relaygauge.streaming.latency import close_windows, latency_stream, read_buckets, read_events, read_report_counts
+from relaygauge.streaming.latency import close_windows, events_table, latency_stream, read_buckets, read_events, read_report_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -368,29 +368,29 @@ def latency_from_frames(spark, folder):
 
 @query
 def events_upsert(spark, folder):
-    """Events evaluated again for one topic replace the first ones."""
-    first = fx.results(spark, folder)
+    """Events evaluated again for one topic replace the first ones; stored as spans of seconds."""
+    first = fx.result_spans(spark, folder)
     again = first.where("topic = 'purchase'").withColumn("value", F.col("value") + 1)
     path = shared_folder(spark, "events")
     tables.write_batch(first, path, 0, ["topic"])
     tables.write_batch(again, path, 1, ["topic"])
-    return tables.read_table(spark, path, LATENCY_EVENT, EVENT_KEY)
+    return rolling.unfold_spans(tables.read_spans(spark, path))
 
 
 @query
 def events_levels(spark, folder):
-    """Events that come in many batches and again for one topic, merged by levels on the way."""
-    first = fx.results(spark, folder)
+    """Events that come in many batches and again for one topic, stored as spans and merged by levels on the way."""
+    first = fx.result_spans(spark, folder)
     again = first.where("topic = 'purchase'").withColumn("value", F.col("value") + 1)
-    table = LevelledTable(
-        spark, shared_folder(spark, "levels"), LATENCY_EVENT, newest_of(EVENT_KEY), tuple(EVENT_KEY), "second", width=3
-    )
+    table = replace(events_table(spark, shared_folder(spark, "levels")), width=3)
     pieces = first.persist()
+    key = [c for c in LATENCY_SPAN.names if c not in ("until", "value", "cnt")]
+    # Batches are written where their spans lie, by as many tasks.
     for batch in range(6):
-        table.append(pieces.where(F.pmod(F.xxhash64(*EVENT_KEY), F.lit(6)) == batch), batch)
-    table.append(again, 6)
+        table.append(pieces.where(F.pmod(F.xxhash64(*key), F.lit(6)) == batch), batch, files=None)
+    table.append(again, 6, files=None)
     pieces.unpersist()
-    return table.current()
+    return rolling.unfold_spans(table.current())
 
 
 @query

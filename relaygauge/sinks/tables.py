@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from relaygauge.operators.archive import latest_by_key
+from relaygauge.operators.rolling import newest_spans
+from relaygauge.schemas import LATENCY_SPAN
 
 BATCH = "batch_id"
 
@@ -42,6 +44,11 @@ def read_versions(spark: SparkSession, path: str, schema: StructType) -> DataFra
     return spark.read.schema(StructType([*schema.fields, StructField(BATCH, LongType())])).parquet(path)
 
 
+def read_spans(spark: SparkSession, path: str) -> DataFrame:
+    """The current spans of a table of ``LATENCY_SPAN``: of each second of a series the newest version."""
+    return newest_spans(read_versions(spark, path, LATENCY_SPAN), BATCH).select(*LATENCY_SPAN.names)
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
     """The current rows.  Filters on key columns reach the scan."""
     return latest_by_key(read_versions(spark, path, schema), keys, BATCH).select(*schema.names)

@@ -4,12 +4,15 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, StringType, StructField, StructType
 
+from relaygauge.checks.queries import QUERIES
 from relaygauge.functions.frames import build_frame
 from relaygauge.functions.text import count_lines, split_lines, utf8_bytes
 from relaygauge.operators import synthetic
 from relaygauge.operators.lines import lines_to_messages, newline_terminated
-from relaygauge.schemas import EVENT_KEY, LATENCY_EVENT, TIMINGS, TOPIC
+from relaygauge.operators.rolling import unfold_spans
+from relaygauge.schemas import EVENT_KEY, LATENCY_EVENT, LATENCY_SPAN, TIMINGS, TOPIC
 from relaygauge.sinks import tables, text, topics as topic_sinks
+from relaygauge.sinks.levels import LevelledTable
 from relaygauge.sources import catalogue, lines as line_source, records, results, topics
 
 COUNTER = StructType([StructField("k", LongType())])
@@ -196,3 +199,33 @@ def test_metric_records(spark):
     ids = spark.createDataFrame([(3, 1700000000123)], "id BIGINT, created_ms BIGINT")
     row = synthetic.metric_records(ids, synthetic.Shape("s", 10, 100)).first()
     assert row.id == 0 and row.timings == {"created": 1700000000123000000} and len(row.value) == 91
+
+
+def test_tables_of_spans_keep_the_newest_second(spark, tmp_path):
+    path, span = str(tmp_path / "spans"), ("t", "0", "c", "a-b", "avg10second")
+    tables.write_batch(spark.createDataFrame([span + (5, 15, 7, 1), ("u",) + span[1:] + (5, 15, 7, 1)], LATENCY_SPAN), path, 0, ["topic"])
+    tables.write_batch(spark.createDataFrame([span + (9, 11, 8, 2)], LATENCY_SPAN), path, 1, ["topic"])
+    events = unfold_spans(tables.read_spans(spark, path)).collect()
+    assert len(events) == 20
+    assert {(r.second, r.value) for r in events if r.topic == "t"} == {(s, 8 if s in (9, 10) else 7) for s in range(5, 15)}
+
+
+def test_queries_on_events_store_a_row_per_span(spark, monkeypatch):
+    """A row per second grew with the windows, and levels wrote each batch in one task."""
+    stored = {"events_upsert": [], "events_levels": []}
+    write, add = tables.write_batch, LevelledTable.append
+
+    def written(rows, *others, **options):
+        stored["events_upsert"].append(rows.count())
+        return write(rows, *others, **options)
+
+    def added(self, rows, batch, files=1, **options):
+        assert files is None
+        stored["events_levels"].append(rows.count())
+        return add(self, rows, batch, files, **options)
+
+    monkeypatch.setattr(tables, "write_batch", written)
+    monkeypatch.setattr(LevelledTable, "append", added)
+    for name, counts in stored.items():
+        events = QUERIES[name](spark, "/root/testdata/sf0.001").count()
+        assert 0 < 4 * sum(counts) < events
