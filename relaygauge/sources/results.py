@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from relaygauge.operators.series import chart_events
+from relaygauge.operators.series import CHART_OPERATION, chart_events
 from relaygauge.schemas import EVENT_KEY, LATENCY_EVENT
 from relaygauge.sources.records import evaluated_once
 
@@ -65,5 +65,10 @@ def _whole_rows(values: DataFrame, value: str, schema: StructType) -> DataFrame:
 
 
 def live_feed(values: DataFrame, value: str = "value") -> DataFrame:
-    """What a live chart shows: decoded events of the charted operation."""
-    return chart_events(decode_events(values, value))
+    """What a live chart shows: decoded events of the charted operation.
+
+    Values that cannot name that operation are not parsed: JSON text has it as it is, or else escapes.
+    """
+    text = F.col(value).cast("string")
+    naming = values.where(F.contains(text, F.lit(CHART_OPERATION)) | F.contains(text, F.lit("\\")))
+    return chart_events(decode_events(naming, value))

@@ -188,6 +188,17 @@ def test_events_through_a_topic(spark, tmp_path):
     assert [tuple(r) for r in results.live_feed(values.union(junk)).collect()] == [EVENT]
 
 
+def test_the_feed_parses_only_what_may_be_charted(spark):
+    events = spark.createDataFrame([EVENT, EVENT[:5] + ("avg30second", 7, 1)], LATENCY_EVENT)
+    values = events.select(F.when(F.col("operation") != "avg10second", F.lit("no JSON")).otherwise(results.topic_event_json()).alias("value"))
+    # Escapes may spell the operation in other ways.
+    escaped = values.select(F.replace("value", F.lit("avg10"), F.lit("\\u0061vg10")).alias("value"))
+    fed = results.live_feed(values.unionByName(escaped))
+    assert [tuple(r) for r in fed.collect()] == [EVENT, EVENT]
+    plan = fed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan and plan.index("Generate") < plan.index("Contains(")
+
+
 def test_generators_can_be_added(spark):
     synthetic.register_generator("ids", lambda ids, shape: ids.select((F.col("id") + shape.longest).alias("x")))
     assert [r.x for r in synthetic.generate("ids", spark.range(2), synthetic.Shape("s", 0, 10)).collect()] == [10, 11]
