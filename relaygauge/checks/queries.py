@@ -44,6 +44,8 @@ DATASET_SHAPE = synthetic.Shape("relay", 1024, 5000)
 DATASET_BYTES = 10_000_000
 # Of all events, so a file of one of four batches has a quarter of them.
 BATCH_FILE_ROWS = 1_000_000
+# Events behind a task of sliding windows, each of which makes some 30 of them.
+NATIVE_TASK_ROWS = 10_000
 
 
 def query(function: Query) -> Query:
@@ -351,7 +353,8 @@ def rolling_all_windows(spark, folder):
 
 @query
 def rolling_10second_native(spark, folder):
-    return rolling.native_rolling_averages(fx.buckets(spark, folder), "second", 10)
+    tasks = 1 + fx.events(spark, folder).count() // NATIVE_TASK_ROWS
+    return rolling.native_rolling_averages(fx.buckets(spark, folder), "second", 10, tasks)
 
 
 @query

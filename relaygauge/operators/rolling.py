@@ -162,13 +162,19 @@ def _merged_spans(spans: DataFrame, keys: Sequence[str], column: Column, merge:
     return pieces.groupBy(*place, "from", "until").agg(merge("_merged").alias("_merged")).drop("block")
 
 
-def native_rolling_averages(buckets: DataFrame, unit: str, length: int) -> DataFrame:
+def native_rolling_averages(buckets: DataFrame, unit: str, length: int, tasks: int | None = None) -> DataFrame:
     """The same by Spark's own sliding window, for short windows: each bucket is copied into
-    every window it lies in.  Works on streams."""
+    every window it lies in.  Works on streams.
+
+    A task holds all windows that it adds up in memory, so those of a large table are dealt out to as many ``tasks``.
+    """
     span = window_seconds(unit, length)
     sliding = F.window(F.timestamp_seconds("second"), f"{span} seconds", "1 second")
+    copies = buckets.select(*SERIES_KEY, sliding.alias("window"), "total", "cnt")
+    if tasks is not None:
+        copies = copies.repartition(tasks, *SERIES_KEY, "window")
     return (
-        buckets.groupBy(*SERIES_KEY, sliding.alias("window"))
+        copies.groupBy(*SERIES_KEY, "window")
         .agg(F.sum("total").alias("total"), F.sum("cnt").alias("cnt"))
         .select(
             *SERIES_KEY,

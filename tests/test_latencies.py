@@ -117,6 +117,18 @@ def test_native_windows_agree(buckets):
     assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
 
 
+def test_native_windows_are_dealt_out_to_tasks(buckets):
+    """No task has more windows than its share, before or behind the shuffle."""
+    _, frame = buckets
+    one = rolling.rolling_averages(frame, [("second", 30)])
+    two = rolling.native_rolling_averages(frame, "second", 30, tasks=9).select(one.columns)
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+    assert two.rdd.getNumPartitions() == 9
+    # Before it runs, the plan is there once; the buckets here are given, so the one exchange deals out their copies.
+    plan = rolling.native_rolling_averages(frame, "second", 30, tasks=9)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange ")
+
+
 def test_invalid_windows(buckets):
     _, frame = buckets
     for call in (
