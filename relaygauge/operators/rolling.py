@@ -54,8 +54,11 @@ def rolling_spans(
     enter = F.col("second") + 1
     reach = F.sequence(int_div(enter, block_seconds), int_div(enter + longest - 1, block_seconds))
     placed = buckets.select("*", F.explode(reach).alias("block")).repartition(*SERIES_KEY, "block")
+    # Windows go by number and get their names at the end.  A group's hash comes first where rows are sorted, as
+    # most comparisons end there; the columns behind it tell groups apart.
+    operations = F.array(*[F.lit(o) for o, _ in spans])
     span_rows = F.array(
-        *[F.struct(F.lit(o).alias("operation"), F.lit(s).cast("bigint").alias("span")) for o, s in spans]
+        *[F.struct(F.lit(i).alias("_window"), F.lit(s).cast("bigint").alias("span")) for i, (_, s) in enumerate(spans)]
     )
     leave = enter + F.col("span")
     start = F.col("block") * block_seconds
@@ -66,14 +69,15 @@ def rolling_spans(
         F.struct(leave.alias("at"), *[(-F.col(c)).alias(f"d_{c}") for c in added]),
     )
     seen = placed.select("*", F.inline(span_rows)).where((enter < end) & (leave > start))
-    changed = seen.select(*SERIES_KEY, *keep, "operation", "block", F.inline(changes)).where(F.col("at") < end)
+    group = F.xxhash64(*SERIES_KEY, "block", "_window").alias("_group")
+    changed = seen.select(*SERIES_KEY, *keep, group, "_window", "block", F.inline(changes)).where(F.col("at") < end)
 
-    series = W.partitionBy(*SERIES_KEY, "operation", "block").orderBy("at")
+    series = W.partitionBy("_group", "_window", "block", *SERIES_KEY).orderBy("at")
     upto = series.rangeBetween(W.unboundedPreceding, W.currentRow)
     states = changed.select(
         *SERIES_KEY,
         *keep,
-        "operation",
+        "_window",
         "at",
         F.coalesce(F.lead("at").over(series), end).alias("until"),
         *[F.sum(f"d_{c}").over(upto).alias(c) for c in added],
@@ -81,7 +85,7 @@ def rolling_spans(
     # Changes at one instant all see its final state; only the last of them spans time.
     return states.where((F.col("cnt") > 0) & (F.col("at") < F.col("until"))).select(
         *SERIES_KEY,
-        "operation",
+        F.get(operations, F.col("_window")).alias("operation"),
         F.col("at").alias("from"),
         "until",
         int_div(F.col("total"), F.col("cnt")).alias("value"),

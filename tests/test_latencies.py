@@ -190,3 +190,10 @@ def test_spans_of_versions_merge_as_their_seconds_do(spark):
     assert len(got) == len(newest) and {(r.eventname, r.second): (r.value, r.batch_id) for r in got} == newest
     counted = rolling.unfold_spans(rolling.counted_spans(frame.where("eventname <> 'whole'"), "n"), keep=["n"]).collect()
     assert len(counted) == len(often) and {(r.eventname, r.second, r.value): r.n for r in counted} == often
+
+
+def test_rolling_rows_sort_by_a_number_first(buckets):
+    """Not by texts, which nearly all rows of a task share."""
+    _, frame = buckets
+    plan = rolling.rolling_spans(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [_group#" in plan and "Sort [topic#" not in plan
