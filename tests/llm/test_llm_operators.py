@@ -12,6 +12,7 @@ import zstandard
 
 import brute
 import corpus_pipeline
+from relaygauge.llm import components as component_steps
 from relaygauge.llm import jaccard_join, language_id, mixing, passages, suffix_array, toxicity
 from relaygauge.llm.components import components
 from relaygauge.llm.decontamination import contamination
@@ -427,6 +428,22 @@ def test_components(spark):
     assert found[301] == 300
 
 
+def test_links_of_a_large_component_are_joined_once_a_node(spark, monkeypatch):
+    """Pairs of blocks each give a link per set, so a component of m sets in k blocks has m * k of them."""
+    staged, stage = {}, component_steps.stage
+
+    def noted(table, purpose):
+        staged[purpose] = stage(table, purpose)
+        return staged[purpose]
+
+    monkeypatch.setattr(component_steps, "stage", noted)
+    nodes, blocks = 400, 20
+    pairs = [(i, j) for i in range(nodes) for j in range(min(i, blocks))]
+    found = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert found == dict.fromkeys(range(nodes), 0)
+    assert staged["neighbours"].count() == 2 * (nodes - 1)
+
+
 @pytest.mark.parametrize("others", [0, 30])
 def test_sketches_do_not_decide_on_links(others):
     """Pairs of a set that share 0.8 of their tokens are linked whatever their sketches say."""
