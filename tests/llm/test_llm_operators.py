@@ -249,6 +249,31 @@ def test_a_passage_whose_seeds_stand_earlier_elsewhere(spark, monkeypatch):
     assert any((p["first"], p.start, p.end) == (70, 20, 80) for p in found[71].passages)
 
 
+def test_matches_of_a_text_are_dealt_out_by_the_other_text():
+    """No worker has to hold all matches of a text that shares a seed with many others."""
+    entries = np.zeros(300, passages._ENTRY)
+    for name, values in (("row", np.arange(300) * 7919), ("least", np.arange(300)), ("most", np.arange(300))):
+        entries[name] = values
+    batch = pa.RecordBatch.from_arrays([pa.array([entries.tobytes()]), pa.array([b""])], ["own", "others"])
+    packs = Counter()
+    for part in passages._match(64)(iter([batch])):
+        for pack, rows in zip(part["pack"].to_pylist(), part["rows"].to_pylist()):
+            packs[pack] += int((np.frombuffer(rows, np.int64) == 299 * 7919).sum())
+    assert sum(packs.values()) == 299 and max(packs.values()) < 20
+
+
+def test_passages_do_not_depend_on_buckets_and_packs(spark, monkeypatch):
+    rng = random.Random(12)
+    shared = [prose(rng, 30) for _ in range(6)]
+    rows = [(i, f"{prose(rng, 40)} {shared[i % 6]} {shared[(i + i // 6) % 6]} {prose(rng, 30)}") for i in range(24)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    whole = sorted(passages.repeated_passages(frame).collect())
+    assert any(r.n_passages for r in whole)
+    monkeypatch.setattr(passages, "BUCKET_BYTES", 64)
+    monkeypatch.setattr(passages, "PACK", 50)
+    assert sorted(passages.repeated_passages(frame).collect()) == whole
+
+
 @pytest.mark.parametrize("n", [40, 41, 50, 60])
 def test_passages_just_similar_enough(spark, n):
     """One word in nine to twelve replaced at random: similarity 0.8 to 0.85, none below it."""
