@@ -21,7 +21,7 @@ from relaygauge.plans.dataset import dataset_topic as numbered_dataset
 from relaygauge.plans.latency import decode_latency_topic, latency_report
 from relaygauge.plans.relay import check_relay
 from relaygauge.plans.validation import validate, validate_by_fingerprint, validate_ordered
-from relaygauge.schemas import EVENT_KEY, LATENCY_EVENT, LATENCY_SPAN, TIMINGS
+from relaygauge.schemas import EVENT_KEY, LATENCY_EVENT, LATENCY_SPAN, SERIES_KEY, TIMINGS
 from relaygauge.session import shared_folder
 from relaygauge.sinks import tables
 from relaygauge.sinks import topics as topic_sinks
@@ -46,6 +46,8 @@ DATASET_BYTES = 10_000_000
 BATCH_FILE_ROWS = 1_000_000
 # Events behind a task of sliding windows, each of which makes some 30 of them.
 NATIVE_TASK_ROWS = 10_000
+# Events behind a task of reports, of each of which two windows of three marks make some 120 values.
+REPORT_TASK_ROWS = 10_000
 
 
 def query(function: Query) -> Query:
@@ -623,11 +625,16 @@ def paced_replay(spark, folder):
 @query
 def report_feed(spark, folder):
     """Reports of a batch that was sent twice, and of windows that a later batch reports again: once each."""
-    events = fx.results(spark, folder)
+    # Spans are few and unfold into many events: a small table of them is a task for each core, no fewer.
+    at_least = spark.sparkContext.defaultParallelism
+    n = fx.events(spark, folder).count()
+    spans = fx.result_spans(spark, folder).repartition(max(at_least, n // REPORT_TASK_ROWS), *SERIES_KEY, "from")
+    events = rolling.unfold_spans(spans)
     later = events.where("topic = 'purchase'")
     values = event_values(events, "dataset", 0)
     sent = values.unionByName(values).unionByName(event_values(later, "dataset", 2))
-    reports = results.reported_once(results.decode_reports(sent), "10 minutes")
+    tasks = max(at_least, 2 * n // REPORT_TASK_ROWS)
+    reports = results.reported_once(results.decode_reports(sent), "10 minutes", tasks)
     return reports.select(*LATENCY_EVENT.names, "batch")
 
 

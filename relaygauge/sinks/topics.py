@@ -24,7 +24,8 @@ def framed_values(records: DataFrame, topic: str, schema_id: int, body: Column)
 def event_values(events: DataFrame, topic: str, batch: int | None = None) -> DataFrame:
     """Latency events as values of the results topic of ``topic``, with the ``batch`` that reports them if given."""
     json = topic_event_json() if batch is None else report_json(F.lit(batch))
-    return events.select(F.lit(RESULT_TOPIC % topic).alias("topic"), utf8_bytes(json).alias("value"))
+    # What JSON is written is UTF-8 as it stands; encoding it would decode it first.
+    return events.select(F.lit(RESULT_TOPIC % topic).alias("topic"), json.cast("binary").alias("value"))
 
 
 def write_topic(values: DataFrame, sink_format: str = BROKER_FORMAT, path: str | None = None, **options: str) -> None:

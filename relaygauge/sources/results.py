@@ -41,14 +41,16 @@ def decode_reports(values: DataFrame, value: str = "value") -> DataFrame:
     return events.withColumn("reported", F.timestamp_millis("reported"))
 
 
-def reported_once(reports: DataFrame, within: str) -> DataFrame:
+def reported_once(reports: DataFrame, within: str, tasks: int | None = None) -> DataFrame:
     """Reports without those that a batch sent again when it was run again, up to ``within`` after the first.
 
     The state of a stream holds the keys of that span of time.  It goes by the time of the report, so a late correction
-    of an old window is not late here.  Of bounded reports all repeated ones go.
+    of an old window is not late here.  Of bounded reports all repeated ones go.  A task holds the keys it compares in
+    memory, so those of a large table are dealt out to as many ``tasks``.
     """
     if not reports.isStreaming:
-        return reports.dropDuplicates([*EVENT_KEY, "batch"])
+        dealt = reports if tasks is None else reports.repartition(tasks, *EVENT_KEY, "batch")
+        return dealt.dropDuplicates([*EVENT_KEY, "batch"])
     return reports.withWatermark("reported", within).dropDuplicatesWithinWatermark([*EVENT_KEY, "batch"])
 
 

@@ -1,11 +1,17 @@
 """Each registered query against its SQL on the smallest tables."""
 
+import json
+
 import pytest
 
 import __spark_entry__ as entry
+from relaygauge.checks import queries
 from relaygauge.checks.compare import differences
 from relaygauge.checks.oracles import ORACLES
 from relaygauge.checks.queries import QUERIES
+from relaygauge.schemas import LATENCY_EVENT
+from relaygauge.sinks.topics import event_values
+from relaygauge.sources.results import decode_reports
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -28,3 +34,21 @@ def test_entry_gives_a_report(spark):
     assert not report["dropped"].same_amount and not report["dropped"].order_preserved
     assert report["edited"].same_amount and not report["edited"].order_preserved
     assert report["absent"].status == "NO_SUCH_TEST"
+
+
+def test_reports_are_dealt_out_by_the_number_of_events(spark, monkeypatch):
+    """1,000 events: a task for each hundred of them compares keys twice over, whatever the bytes that cross the shuffle."""
+    monkeypatch.setattr(queries, "REPORT_TASK_ROWS", 100)
+    reports = QUERIES["report_feed"](spark, FOLDER)
+    assert reports.rdd.getNumPartitions() == 2 * spark.read.parquet(f"{FOLDER}/events.parquet").count() // 100
+    rows, difference = differences(spark, "report_feed", FOLDER)
+    assert difference is None and rows > 0
+
+
+def test_event_values_are_the_json_as_utf8(spark):
+    row = ('a"\\\nü ', "0", "\U0001f600", "x-y", 5, "avg10second", -3, 1)
+    events = spark.createDataFrame([row], LATENCY_EVENT)
+    (value,) = event_values(events, "t", 7).collect()
+    assert json.loads(bytes(value.value).decode())["topic"] == row[0]
+    (back,) = decode_reports(event_values(events, "t", 7)).collect()
+    assert tuple(back)[:-1] == (*row, 7)
