@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 import __spark_entry__ as entry
 from relaygauge.checks import queries
@@ -11,7 +12,7 @@ from relaygauge.checks.oracles import ORACLES
 from relaygauge.checks.queries import QUERIES
 from relaygauge.schemas import LATENCY_EVENT
 from relaygauge.sinks.topics import event_values
-from relaygauge.sources.results import decode_reports
+from relaygauge.sources.results import decode_reports, reported_once
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -52,3 +53,13 @@ def test_event_values_are_the_json_as_utf8(spark):
     assert json.loads(bytes(value.value).decode())["topic"] == row[0]
     (back,) = decode_reports(event_values(events, "t", 7)).collect()
     assert tuple(back)[:-1] == (*row, 7)
+
+
+def test_dealt_out_reports_are_the_same(spark):
+    """Seconds around the ends of minutes and below 0; a key with another batch or mark is another report."""
+    rows = [("t", "0", "0", e, s, "avg10second", 1, 1, b, None) for e in "xy" for s in (-61, -60, -1, 0, 59, 60) for b in (0, 2)]
+    reports = spark.createDataFrame(rows * 2, StructType([*LATENCY_EVENT.fields, StructField("batch", LongType()), StructField("reported", TimestampType())]))
+    dealt = reported_once(reports, "10 minutes", 3)
+    assert dealt.columns == reports.columns and dealt.rdd.getNumPartitions() == 3
+    assert sorted(map(tuple, dealt.collect()), key=str) == sorted(rows, key=str)
+    assert sorted(map(tuple, reported_once(reports, "10 minutes").collect()), key=str) == sorted(rows, key=str)
