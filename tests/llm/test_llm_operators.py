@@ -292,6 +292,46 @@ def test_passages_just_similar_enough(spark, n):
     assert min(planted.values()) >= 0.8 and not lost
 
 
+def test_a_passage_of_many_documents_is_not_listed_in_pairs(spark):
+    """Each of them is compared with the first ones; texts grow in number, listed passages per text do not."""
+    rng = random.Random(17)
+    passage = prose(rng, 60, 10**6).split()
+    rows = []
+    for key in range(120):
+        copy = list(passage)
+        if key % 4 == 3:
+            copy[rng.randrange(60)] = f"edit{key}"
+        rows.append((key, " ".join([prose(rng, 20, 10**6), *copy, prose(rng, 20, 10**6)])))
+    found = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert found[0].n_passages == 0
+    for key in range(1, 120):
+        assert found[key].n_passages == 1 and 0 in found[key].first_ids, key
+        assert found[key].n_repeated >= (60 if key % 4 < 3 else 59 - 1), key
+    assert sum(len(r.passages) for r in found.values()) < 8 * len(rows)
+
+
+def test_a_passage_of_frequent_phrases(spark):
+    """Each phrase first stands in other documents, which many share; only two documents have them all."""
+    rng = random.Random(18)
+    phrases = [prose(rng, 15, 10**6) for _ in range(4)]
+    rows = [(100 * k + i, " ".join([prose(rng, 40, 10**6), phrase, prose(rng, 40, 10**6)])) for k, phrase in enumerate(phrases) for i in range(25)]
+    for key in (1000, 1001):
+        between = [f"own{key}x{i} own{key}y{i}" for i in range(4)]
+        rows.append((key, " ".join([prose(rng, 30, 10**6), *(w for pair in zip(phrases, between) for w in pair), prose(rng, 30, 10**6)])))
+    found = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert 1000 in found[1001].first_ids and found[1001].n_repeated >= 60 and found[1000].n_passages == 0
+
+
+def test_touching_places_of_a_seed_are_one_entry(spark):
+    """A text of one word again and again costs its length, not the square of it."""
+    rows = [(k, "again " * n) for k, n in enumerate([300, 3000, 2500, 60])]
+    found = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [found[k].n_repeated for k in range(4)] == [0, 3000, 2500, 60]
+    one, two = np.zeros(1, passages._ENTRY), np.zeros(1, passages._ENTRY)
+    one["more"], one["step"], two["more"], two["step"] = 2999, 1, 299, 1
+    assert len(passages._unfolded(one, two)[0]) <= 2 * 3000
+
+
 def test_chains_are_parted_where_they_differ():
     rng = np.random.default_rng(16)
     one, two = rng.integers(0, 2**32, 45, np.uint32), rng.integers(0, 2**32, 45, np.uint32)
