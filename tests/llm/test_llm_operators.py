@@ -322,6 +322,21 @@ def test_a_passage_of_frequent_phrases(spark):
     assert 1000 in found[1001].first_ids and found[1001].n_repeated >= 60 and found[1000].n_passages == 0
 
 
+def test_a_stretch_of_runs_whose_seeds_stand_in_many_texts(spark):
+    """A passage of 37 words and runs of six and seven beside it are a stretch; the seeds of the runs first stand in other texts, one each."""
+    rng = random.Random(19)
+    passage, runs = prose(rng, 37, 10**6), [prose(rng, n, 10**6).split() for n in (6, 7)]
+    rows = []
+    for run in runs:
+        parts = [run[i : i + 5] for i in range(len(run) - 4) for _ in range(12)] + [run] * 11
+        rows += [(len(rows) + i, " ".join([prose(rng, 20, 10**6), *part, prose(rng, 20, 10**6)])) for i, part in enumerate(parts)]
+    rows.append((500, " ".join([prose(rng, 20, 10**6), passage, prose(rng, 20, 10**6)])))
+    rows.append((501, " ".join([prose(rng, 20, 10**6), passage, *runs[0], *runs[1], prose(rng, 20, 10**6)])))
+    found = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert (found[501].n_passages, found[501].n_repeated) == (1, 50) and 500 in found[501].first_ids
+    assert all(found[key].n_passages == 0 for key, _ in rows[:-1])
+
+
 def test_touching_places_of_a_seed_are_one_entry(spark):
     """A text of one word again and again costs its length, not the square of it."""
     rows = [(k, "again " * n) for k, n in enumerate([300, 3000, 2500, 60])]
